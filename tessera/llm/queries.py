@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import common, token_count, token_store
+from tessera.llm import common, mixing, quality, token_count, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, _table(spark, sf_dir, "documents")).drop("times")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "tokens")
     token_store.write(spark, _table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
@@ -29,8 +33,17 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op4_token_store": op4_token_store,
     "op5_token_count": op5_token_count,
+    "op7_quality": op7_quality,
+}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+    "op7_quality": quality.ORACLE,
 }
-ORACLES: dict[str, str] = {}
