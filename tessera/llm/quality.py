@@ -28,9 +28,11 @@ RULES = (
     ("length", "abs(word_chars / greatest(n_words, 1) - 5.5)", "<=", 1.5, ">", 3.5),
 )
 ROUNDS = 12
-START = 0.8
+#: Where a rule votes, it is taken to be right about good documents and about bad ones so often, until data say more:
+#: good documents seldom break a rule, and most kinds of junk break but one or two. That counts as SMOOTH of the documents.
+RIGHT = (0.99, 0.3)
 PRIOR = 0.5
-SMOOTH = 1.0
+SMOOTH = 0.1
 KEEP = 0.5
 MIN_WORDS = 50
 MAX_REPEATED = 50
@@ -89,7 +91,7 @@ def posterior(model: dict) -> Column:
 
 def fit(patterns: DataFrame) -> dict:
     """EM over (votes..., n): the share of good documents and per rule (right about good, right about bad)."""
-    model: dict = {"share": PRIOR} | {name: (START, START) for name, *_ in RULES}
+    model: dict = {"share": PRIOR} | {name: RIGHT for name, *_ in RULES}
     for _ in range(ROUNDS):
         good, bad = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
         sums = [F.sum(good).alias("good"), F.sum("n").alias("n")]
@@ -100,9 +102,10 @@ def fit(patterns: DataFrame) -> dict:
         row = patterns.withColumn("p", posterior(model)).agg(*sums).first()
         if not row.n:
             break
-        model = {"share": (row.good + SMOOTH) / (row.n + 2 * SMOOTH)}
+        weight = SMOOTH * row.n
+        model = {"share": (row.good + weight) / (row.n + 2 * weight)}
         for name, *_r in RULES:
-            model[name] = tuple((row[f"{name}_{k}1"] + SMOOTH * START) / (row[f"{name}_{k}"] + SMOOTH) for k in "gb")
+            model[name] = tuple((row[f"{name}_{k}1"] + weight * right) / (row[f"{name}_{k}"] + weight) for k, right in zip("gb", RIGHT, strict=True))
     return model
 
 
@@ -127,13 +130,13 @@ def _oracle() -> str:
         terms = "".join(f" + CASE {n} WHEN 1 THEN ln({m}.{n}_a / (1 - {m}.{n}_b)) WHEN -1 THEN ln((1 - {m}.{n}_a) / {m}.{n}_b) ELSE 0.0 END" for n in names)
         return f"1.0 / (1.0 + exp(-(ln({m}.share / (1 - {m}.share)){terms})))"
 
-    rounds = [f"m0 AS (SELECT CAST({PRIOR} AS DOUBLE) AS share, " + ", ".join(f"CAST({START} AS DOUBLE) AS {n}_{k}" for n in names for k in "ab") + ")"]
+    rounds = [f"m0 AS (SELECT CAST({PRIOR} AS DOUBLE) AS share, " + ", ".join(f"CAST({right} AS DOUBLE) AS {n}_{k}" for n in names for k, right in zip("ab", RIGHT, strict=True)) + ")"]
     for i in range(ROUNDS):
         fits = ", ".join(
-            f"(sum(CASE WHEN {n} = {w} THEN n * {q} ELSE 0 END) + {SMOOTH * START}) / (sum(CASE WHEN {n} <> 0 THEN n * {q} ELSE 0 END) + {SMOOTH}) AS {n}_{k}"
-            for n in names for k, w, q in (("a", 1, "p"), ("b", -1, "(1 - p)"))
+            f"(sum(CASE WHEN {n} = {w} THEN n * {q} ELSE 0 END) + {SMOOTH} * sum(n) * {x}) / (sum(CASE WHEN {n} <> 0 THEN n * {q} ELSE 0 END) + {SMOOTH} * sum(n)) AS {n}_{k}"
+            for n in names for k, w, q, x in (("a", 1, "p", RIGHT[0]), ("b", -1, "(1 - p)", RIGHT[1]))
         )
-        rounds.append(f"m{i + 1} AS MATERIALIZED (SELECT (sum(n * p) + {SMOOTH}) / (sum(n) + {2 * SMOOTH}) AS share, {fits} FROM (SELECT pat.*, {p(f'm{i}')} AS p FROM pat, m{i}))")
+        rounds.append(f"m{i + 1} AS MATERIALIZED (SELECT (sum(n * p) + {SMOOTH} * sum(n)) / (sum(n) + 2 * ({SMOOTH} * sum(n))) AS share, {fits} FROM (SELECT pat.*, {p(f'm{i}')} AS p FROM pat, m{i}))")
     return rf"""
 WITH w0 AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import common, mixing, quality, token_count, token_store
+from tessera.llm import common, mixing, quality, token_count, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(spark, docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_token_store": op4_token_store,
     "op5_token_count": op5_token_count,
     "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,

@@ -32,7 +32,7 @@ DICTIONARY_DOCUMENTS = 600
 DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 2 << 20
 #: Encoded words that a Python worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 LEVEL = 3
 
 _loaded: dict[str, object] = {}
@@ -169,7 +169,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str) -> No
                 names=["part", "seq", "dict_hash", "firsts", "doc_ids", "n_ids", "offsets", "lengths", "payload"],
             )
 
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, limit=4 << 20):
             ids, bounds = coder.encode(batch.column("text"))
             ids = ids.astype(f"<u{width}")
             part = batch.column("part")[0].as_py()
