@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import common, mixing, quality, token_count, token_store, toxicity
+from tessera.llm import common, decontamination, jaccard_join, mixing, quality, token_count, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, _table(spark, sf_dir, "documents")).drop("times")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "tokens")
     token_store.write(spark, _table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
@@ -42,14 +46,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(spark, docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_decontamination": op3_decontamination,
     "op4_token_store": op4_token_store,
     "op5_token_count": op5_token_count,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
+    "op3_decontamination": decontamination.ORACLE,
     "op7_quality": quality.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
 }
