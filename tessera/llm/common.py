@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,12 +42,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Within, Spark deletes a query's shuffle files as soon as the query is done."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def drop(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete what cut() wrote for frames that nothing reads any more."""
     for df in frames:
@@ -59,15 +73,6 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release_shuffles(spark: SparkSession, *frames: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are done."""
-    import gc
-
-    del frames
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

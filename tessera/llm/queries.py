@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import common, decontamination, jaccard_join, mixing, quality, token_count, token_store, toxicity
+from tessera.llm import common, decontamination, jaccard_join, mixing, quality, repeated_passages, token_count, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(spark, _table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.remove(spark, _table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
