@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import common, decontamination, jaccard_join, mixing, quality, repeated_passages, token_count, token_store, toxicity
+from tessera.llm import common, decontamination, jaccard_join, line_dedup, mixing, quality, repeated_passages, token_count, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +55,16 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages.remove(spark, _table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(spark, _table(spark, sf_dir, "documents")).withColumn("kept_md5", F.md5("text")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
     "op4_token_store": op4_token_store,
     "op5_token_count": op5_token_count,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
@@ -68,5 +74,6 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
     "op7_quality": quality.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
 }
