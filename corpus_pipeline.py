@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import common, decontamination, jaccard_join, mixing, queries, token_store, toxicity
 
@@ -14,7 +15,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of the labels table predicts to be toxic go."""
     model = toxicity.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
+    clean = toxicity.score(docs, model, tuple(docs.columns)).filter("predicted = 0")
+    return clean.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

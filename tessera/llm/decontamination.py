@@ -125,7 +125,7 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id holds no item."""
     bad = search(spark, docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
 
 
 ORACLE = r"""

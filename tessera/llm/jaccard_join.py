@@ -346,7 +346,6 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
         owned = owned.withColumn("root", F.col("set_id"))
     linker.connect(tiles(spark, owned, sets))
 
-    node = F.col("set_id")
     named = profiles
     if linker.labels is not None:
         named = profiles.join(linker.labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("set_id", F.coalesce("root", "set_id"))
@@ -354,14 +353,13 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if linker.labels is not None:
         least = least.join(linker.labels.withColumnRenamed("id", "set_id"), "set_id", "left").groupBy(F.coalesce("root", "set_id").alias("set_id")).agg(F.min("m").alias("m"))
     out = named.join(least, "set_id", "left")
-    del node
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("m")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of docs for each component: that of its smallest doc_id (rows of equal doc_id and text stay together as one)."""
     kept = join(spark, docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 ORACLE = r"""

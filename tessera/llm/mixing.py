@@ -79,7 +79,7 @@ def _cross(bucketed: DataFrame, keys: list[str], bucket: str, goal: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target, taken, times, and the columns named in keep."""
+    """Per row of docs: doc_id, size, source_size, target, taken, times, and the columns named in keep as kept_<name>."""
     keys = [F.col(c).alias(f"kept_{c}") for c in keep]
     h = _hash(F.col("doc_id"), seed)
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h"), *keys)
@@ -111,7 +111,7 @@ def mix(spark: SparkSession, docs: DataFrame, seed: str = SEED, keep: tuple[str,
     edge = rows.filter("at_edge").withColumn("more", run - F.col("size") / 2 < F.col("left_low"))
     times = (F.col("whole") + F.col("more").cast("long")).cast("long")
     return clear.unionByName(edge).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), *(F.col(f"kept_{c}").alias(c) for c in keep)
+        "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), *(f"kept_{c}" for c in keep)
     )
 
 
@@ -136,7 +136,6 @@ SELECT doc_id, size, source_size, target,
 def repeat(spark: SparkSession, docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken."""
     columns = docs.columns
-    mixed = mix(spark, docs, seed, tuple(columns))
-    return mixed.select(*(F.col(c) for c in columns if c != "doc_id"), "doc_id", "times").filter("times > 0").withColumn(
-        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
-    ).select(*columns)
+    mixed = mix(spark, docs, seed, tuple(columns)).filter("times > 0")
+    copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return copies.select(*(F.col(f"kept_{c}").alias(c) for c in columns))

@@ -191,12 +191,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted, and the columns named in keep."""
-    more = [c for c in keep if c not in ("doc_id", "text")]
+    """Per row of docs: doc_id, held_out, score, predicted, and the columns named in keep as kept_<name>."""
+    more = list(keep)
     given = docs.select("doc_id", "text", *(F.col(c).alias(f"kept_{c}") for c in more))
-    if "text" in keep:
-        given = given.withColumn("kept_text", F.col("text"))
-        more.append("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -216,5 +213,5 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     kinds = {f.name: f.dataType.simpleString() for f in given.schema.fields}
     out = given.mapInArrow(run, f"doc_id {kinds['doc_id']}, score double" + "".join(f", kept_{c} {kinds[f'kept_{c}']}" for c in more))
     return out.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *(F.col(f"kept_{c}").alias(c) for c in more)
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *(f"kept_{c}" for c in more)
     )
