@@ -9,14 +9,15 @@ are one shingle as a whole. Sets are arrays of 64-bit hashes.
 2. ``keys``: the n - ceil(0.75 n) + 1 shingles of a set that come first when rare ones precede frequent ones. Linked
    sets have one of them in common.
 3. ``members``: the sets of each key, in order of size, with the first of them as the key's centre.
-4. Sets are tested against their keys' centres; what links is a component. A huge group of near copies falls together
-   here, without a pair for each two of them.
-5. Tiles: for each key, the sets of neighbouring size bands (sizes in a ratio under 4:3), in blocks of at most
-   ``BLOCK`` a side. In a tile, all pairs from different components whose bit counts allow a link are tested.
+4. Sets are tested against their keys' centres; what links is a component. Keys that hold several components are then
+   tested against a few sets drawn for each key, and once more against others. A huge group of near copies falls
+   together here, with as many pairs as rows.
+5. Tiles: for each key that still holds several components, the sets of neighbouring size bands (sizes in a ratio under
+   4:3), in blocks of at most ``BLOCK`` a side. In a tile, all pairs from different components whose bit counts allow a
+   link are candidates, each given by the first key that it shares.
 
 A test has two parts: bits that only one bitmap has are shingles that the other set lacks, which bounds the overlap
-from above; what passes is decided by intersecting the sorted arrays. A set takes part in one test a round, and tests
-within a component are left out, so arrays travel about once for each set.
+from above; what passes is decided by intersecting the sorted arrays. Pairs within a component are left out.
 
 Null, empty and wordless texts have 0 shingles, link with nothing and are their own component. Rows are neither
 merged nor dropped; of rows with a null doc_id the component is null, if no other document is in it.
@@ -42,6 +43,9 @@ CHUNK_BITS = 15
 HOT_LEVEL = 6
 BLOCK = 512
 BAND = np.log(4 / 3)
+#: Rounds of tests against drawn sets of a key, and how many are drawn for each key and round.
+TURNS = 2
+HUBS = 3
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -246,39 +250,57 @@ class Linker:
         return pairs.select("a", "b", "na", "nb", "left", "right").mapInArrow(_bounded, "a long, b long")
 
     def connect(self, pairs: DataFrame) -> None:
-        """Test pairs (a, b; bounded already) until each is within a component or known not to link."""
-        left = common.cut(self.spark, pairs.distinct(), "candidates")
-        while True:
-            open_ = self.label(left).filter(F.col("ra") != F.col("rb"))
-            if self.tested is not None:
-                open_ = open_.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-            # one test for each set and round: its end in the smaller component decides
-            low = F.greatest("ra", "rb")
-            open_ = common.cut(self.spark, open_.select("a", "b", low.alias("low")), "open")
-            picked = open_.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            wanted = picked.select(F.col("a").alias("set_id")).union(picked.select(F.col("b"))).distinct().join(self.sets.select("set_id", "first_id"), "set_id")
-            if open_.isEmpty():
-                return
-            arrays = common.cut(self.spark, _arrays(self.docs, wanted), "arrays")
-            both = picked.join(arrays.select(F.col("set_id").alias("b"), F.col("hashes").alias("right")), "b")
-            both = both.join(arrays.select(F.col("set_id").alias("a"), F.col("hashes").alias("left")), "a").select("a", "b", "left", "right")
-            fresh = common.cut(self.spark, both.mapInArrow(_intersect, "a long, b long, linked boolean"), "tested")
-            common.drop(self.spark, arrays)
-            self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
-            self.labels = components(self.spark, self.tested.filter("linked"))
-            left = common.cut(self.spark, open_.select("a", "b"), "candidates")
+        """Test the pairs (a, b; bounded already) that weren't tested before, and label the components anew."""
+        pairs = self.label(pairs.distinct()).filter("ra <> rb").select("a", "b")
+        if self.tested is not None:
+            pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = common.cut(self.spark, pairs, "candidates")
+        if pairs.isEmpty():
+            return
+        wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(self.sets.select("set_id", "first_id"), "set_id")
+        arrays = common.cut(self.spark, _arrays(self.docs, wanted), "arrays")
+        both = pairs.join(arrays.select(F.col("set_id").alias("b"), F.col("hashes").alias("right")), "b")
+        both = both.join(arrays.select(F.col("set_id").alias("a"), F.col("hashes").alias("left")), "a").select("a", "b", "left", "right")
+        fresh = common.cut(self.spark, both.mapInArrow(_intersect, "a long, b long, linked boolean"), "tested")
+        common.drop(self.spark, arrays, pairs)
+        self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
+        self.labels = components(self.spark, self.tested.filter("linked"))
+
+    def owned(self, held: DataFrame) -> DataFrame:
+        """(key, set_id, n, root) of the keys that several components share; of keys with the same sets (those of one
+        passage, say) one stands for all."""
+        rows = held.select("key", "set_id", "n").distinct()
+        if self.labels is None:
+            rows = rows.withColumn("root", F.col("set_id"))
+        else:
+            rows = rows.join(self.labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        mark = F.xxhash64("set_id")
+        mixed = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.bit_xor(mark).alias("mark"), F.count("*").alias("c")).filter("x <> y")
+        mixed = mixed.groupBy("mark", "c").agg(F.min("key").alias("key")).select("key")
+        return common.cut(self.spark, rows.join(mixed, "key"), "owned")
 
 
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def hubs(owned: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of sets and a few sets of their keys, other ones each turn: as many as rows, whatever a key's size."""
+    drawn = [F.min(F.struct(F.xxhash64("set_id", F.lit(HUBS * turn + i)).alias("h"), F.col("set_id"), F.col("root"))) for i in range(HUBS)]
+    chosen = owned.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("hubs")).select("key", F.explode("hubs").alias("hub"))
+    pairs = owned.join(chosen, "key").filter(F.col("root") != F.col("hub.root")).select("set_id", F.col("hub.set_id").alias("hub"))
+    return pairs.select(*_ordered("set_id", "hub")).distinct()
+
+
 # --- 5: tiles ---------------------------------------------------------------------------------------------------
 
 
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components from the rows of each tile, which come one after the other."""
 
+    def ring(row: dict) -> np.ndarray:
+        return np.array(row["keys"], np.int64)
+
     def pairs(rows: list[dict]) -> list[tuple[int, int]]:
         low = np.array([r["low"] for r in rows])
         n = np.array([r["n"] for r in rows], np.int64)
@@ -290,7 +312,11 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             j = np.flatnonzero(with_ & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n))
             if len(j):
                 j = j[_possible(bits[i], bits[j], n[i], n[j])]
-                out += [(rows[i]["set_id"], rows[k]["set_id"]) for k in j]
+                own = ring(rows[i])
+                for k in j:  # a pair is given by the first of the keys that it shares
+                    shared = np.intersect1d(own, ring(rows[k]), assume_unique=True)
+                    if shared[0] == rows[i]["key"]:
+                        out.append((rows[i]["set_id"], rows[k]["set_id"]))
         return out
 
     rows, tile = [], None
@@ -308,11 +334,11 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
 
 
-def tiles(spark: SparkSession, held: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of held (key, set_id, n, root) from keys that several components share."""
-    mixed = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+def tiles(spark: SparkSession, owned: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of owned (key, set_id, n, root)."""
     band = F.floor(F.log("n") / F.lit(BAND)).cast("int")
-    rows = held.join(mixed, "key").select("key", "set_id", "n", "root", band.alias("own"))
+    rings = owned.groupBy("set_id").agg(F.collect_set("key").alias("keys"))  # a quarter of the set at most
+    rows = owned.select("key", "set_id", "n", "root", band.alias("own"))
     rows = rows.select("*", F.explode(F.array("own", F.col("own") - 1)).alias("band")).withColumn("low", F.col("own") == F.col("band"))
     size = rows.groupBy("key", "band").agg(F.count("*").alias("c"), F.count_if("low").alias("lows"), F.min("root").alias("x"), F.max("root").alias("y"))
     size = size.filter("c > 1 AND lows > 0 AND x <> y").select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
@@ -323,7 +349,7 @@ def tiles(spark: SparkSession, held: DataFrame, sets: DataFrame) -> DataFrame:
     tile = F.least("block", "with") * F.col("blocks") + F.greatest("block", "with")
     side = F.when(F.col("block") == F.col("with"), 0).when(F.col("block") < F.col("with"), 1).otherwise(2)
     rows = rows.select("key", "band", tile.alias("tile"), "set_id", "n", "root", "low", side.cast("int").alias("side"))
-    rows = rows.join(sets.select("set_id", "bits"), "set_id").select("key", "band", "tile", "set_id", "n", "root", "low", "side", "bits")
+    rows = rows.join(sets.select("set_id", "bits").join(rings, "set_id"), "set_id").select("key", "band", "tile", "set_id", "n", "root", "low", "side", "bits", "keys")
     rows = rows.repartition(common.tasks(spark), "key", "band", "tile").sortWithinPartitions("key", "band", "tile", "set_id")
     return rows.mapInArrow(_tile, "a long, b long").distinct()
 
@@ -339,12 +365,11 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stars = stars.union(centres.join(first, "key").filter("set_id <> centre").select(*_ordered("set_id", "centre"))).distinct()
     linker.connect(linker.bounded(stars))
 
-    owned = held.select("key", "set_id", "n").distinct()
-    if linker.labels is not None:
-        owned = owned.join(linker.labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    else:
-        owned = owned.withColumn("root", F.col("set_id"))
-    linker.connect(tiles(spark, owned, sets))
+    for turn in range(TURNS):
+        owned = linker.owned(held)
+        linker.connect(linker.bounded(hubs(owned, turn)))
+        common.drop(spark, owned)
+    linker.connect(tiles(spark, linker.owned(held), sets))
 
     named = profiles
     if linker.labels is not None:
