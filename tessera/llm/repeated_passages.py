@@ -35,8 +35,8 @@ from tessera.llm import common
 
 LENGTH = 50
 SAMPLE = 30
-BUCKET = 3_000_000
-SLICE = 6 << 20
+BUCKET = 1_500_000
+SLICE = 4 << 20
 
 _ROWS = "bucket int, done boolean, doc_ids array<long>, counts array<int>, hashes binary"
 
@@ -123,13 +123,15 @@ def _deal(h: np.ndarray, doc: np.ndarray, buckets: int, all_of_tie: bool) -> pa.
     return _rows(parts)
 
 
-def _settled(all_of_tie: bool):
-    """Reads rows bucket by bucket; gives (doc_id, hashes) of what is tied."""
+def _settled(all_of_tie: bool, targets: int):
+    """Reads rows bucket by bucket; gives what is tied, packed for as many targets (a document has one)."""
 
     def out(doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        docs, counts, h = _by_doc(doc, h)
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "tied"])
+        target = (common.mix(doc.astype(np.uint64)) % np.uint64(targets)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        ends = np.flatnonzero(np.diff(target[order], prepend=-1, append=-1))
+        parts = [(int(target[order[a]]), False, doc[order[a:b]], h[order[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
+        return _rows(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -158,17 +160,45 @@ def _settled(all_of_tie: bool):
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads packed rows target by target; gives each document's hashes in one row."""
+
+    def close(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        docs, counts, h = _by_doc(doc, h)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        for i in range(0, len(docs), 1000):
+            blobs = [h[a:b].tobytes() for a, b in zip(ends[i : i + 1000], ends[i + 1 : i + 1001], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 1000], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "tied"])
+
+    target, held = None, []
+    for batch in batches:
+        for row in range(batch.num_rows):
+            t = batch.column("bucket")[row].as_py()
+            docs, counts = (batch.column(c)[row].values.to_numpy() for c in ("doc_ids", "counts"))
+            if t != target and held:
+                yield from close(held)
+                held = []
+            target = t
+            held.append((np.frombuffer(batch.column("hashes")[row].as_buffer(), np.uint64).copy(), np.repeat(docs, counts)))
+    if held:
+        yield from close(held)
+
+
 def _ties(spark: SparkSession, rows: DataFrame, all_of_tie: bool, name: str) -> DataFrame:
     """(doc_id, tied): hashes in tie, gathered for each document."""
-    dealt = rows.repartition(common.tasks(spark), "bucket").sortWithinPartitions("bucket", "done")
-    found = dealt.mapInArrow(_settled(all_of_tie), "doc_id long, tied binary")
-    return common.cut(spark, found, name).groupBy("doc_id").agg(F.collect_list("tied").alias("tied"))
+    n = common.tasks(spark)
+    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "done")
+    found = common.cut(spark, dealt.mapInArrow(_settled(all_of_tie, n), _ROWS), name)
+    packed = found.select("bucket", "doc_ids", "counts", "hashes").repartition(n, "bucket").sortWithinPartitions("bucket")
+    tied = common.cut(spark, packed.mapInArrow(_gathered, "doc_id long, tied binary"), name)
+    common.drop(spark, found)
+    return tied
 
 
 def _joined(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    """The hashes of a row's list of blobs."""
-    got = batch.column("tied")[row].as_py()
-    return np.unique(np.frombuffer(b"".join(got), np.uint64)) if got else np.zeros(0, np.uint64)
+    """A row's hashes, in order."""
+    return np.unique(np.frombuffer(batch.column("tied")[row].as_buffer(), np.uint64))
 
 
 def _row_mask(h: np.ndarray, row: np.ndarray, batch: pa.RecordBatch, n: int) -> np.ndarray:
@@ -204,7 +234,7 @@ def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFr
     profile = common.cut(spark, profile, "passages-profile")
     first = common.cut(spark, profile.filter("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"), F.first("n_bytes").alias("size")), "passages-first")
     total = first.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, total // (10 * BUCKET) + 1)
+    buckets, fine = max(1, total // (10 * BUCKET) + 1), max(1, total // (4 * BUCKET) + 1)  # a tenth of the positions is sampled
     n = common.tasks(spark)
 
     name = f"passages_{uuid.uuid4().hex}"
@@ -230,10 +260,11 @@ def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFr
             start = _starts(at[hit], row[hit], off, len(buf), length)
             if len(start):
                 row = np.searchsorted(off, start, "right") - 1
-                yield _deal(window_hashes(buf, length)[start], batch.column("doc_id").to_numpy()[row], buckets, False)
+                yield _deal(window_hashes(buf, length)[start], batch.column("doc_id").to_numpy()[row], fine, False)
 
     near = texts.select("doc_id", "text").join(tied, "doc_id").select("doc_id", "text", "tied")
     repeated = _ties(spark, near.mapInArrow(suffixes, _ROWS), False, "passages-repeated")
+    common.drop(spark, tied)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, limit=SLICE):
@@ -264,6 +295,7 @@ def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFr
     hit = hit.mapInArrow(cut_out, "doc_id long, sha string, removed long, runs long, kept string, where array<array<long>>")
     hit = common.cut(spark, hit, "passages-cut")
     spark.sql(f"DROP TABLE {name}")
+    common.drop(spark, repeated)
     out = profile.join(first.select("sha", "first"), "sha", "left").join(hit, ["doc_id", "sha"], "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= length)
     empty = hashlib.sha256(b"").hexdigest()
