@@ -161,8 +161,9 @@ def walks(edges: DataFrame, attempts: DataFrame, bounce: bool, sharp: int = 1, s
             return path
 
         paths = [one(w, s, n) for w, s, n in zip(todo["walk_id"], todo["start"], todo["length"], strict=True)]
-        return todo[["wsi_id", "walk_id", "start", "length"]].assign(path=paths)
+        return todo.assign(path=paths)[["slide", "walk_id", "start", "length", "path"]]
 
-    near = edges.select("wsi_id", "src", "dir", "dst").groupBy("wsi_id")
-    return near.cogroup(attempts.groupBy("wsi_id")).applyInPandas(slide, "wsi_id int, walk_id long, start long, length long, path array<long>")
+    near = edges.select(F.col("wsi_id").alias("graph"), "src", "dir", "dst").groupBy("graph")
+    todo = attempts.select(F.col("wsi_id").alias("slide"), "walk_id", "start", "length").groupBy("slide")
+    return near.cogroup(todo).applyInPandas(slide, "slide int, walk_id long, start long, length long, path array<long>").withColumnRenamed("slide", "wsi_id")
 
