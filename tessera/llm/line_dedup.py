@@ -53,16 +53,28 @@ def _without(words: str, i: Column) -> Column:
     return F.concat(F.slice(words, 1, i), F.slice(words, i + 2, F.size(words)))
 
 
+def _words_at(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """some (line_id, place) with w, the words of the line at place. Each text is moved once, not its lines one by one."""
+    wanted = some.groupBy(F.struct("place.doc_id", "place.mark").alias("doc")).agg(F.collect_list(F.struct("place.at", "line_id")).alias("wanted"))  # lines of one text
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(F.struct("doc_id", F.xxhash64(text).alias("mark")).alias("doc"), text.alias("text")).join(wanted, "doc")
+    again = F.row_number().over(Window.partitionBy("doc").orderBy("doc"))
+    texts = texts.withColumn("again", again).filter("again = 1")
+    # The text is split once for all of its lines.
+    found = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("wanted", lambda s: F.struct(s["at"].alias("at"), s["line_id"].alias("line_id"), F.get(lines, s["at"]).alias("line"))))
+    line = texts.select("doc", F.explode(F.get(found, F.lit(0))).alias("s"))
+    return line.select("s.line_id", F.struct("doc.doc_id", "doc.mark", "s.at").alias("place"), _words(F.col("s.line")).alias("w"))
+
+
 def near_lines(spark: SparkSession, docs: DataFrame, first: DataFrame) -> DataFrame:
     """line_id of the lines of first (line_id, place, halves) that have a near line before them."""
     keys = first.select("line_id", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.min("line_id").alias("x"), F.max("line_id").alias("y")).filter("x <> y").select("half")
     some = keys.join(shared, "half").select("line_id").distinct().join(first.select("line_id", "place"), "line_id")
-    some = some.select("line_id", "place", F.col("place.doc_id").alias("d"), F.col("place.mark").alias("mark"), F.col("place.at").alias("at"))
-    lines = _lines(docs).join(some, ["mark", "at"]).filter(F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["line_id"])
-    lines = common.cut(spark, lines.select("line_id", "place", "w"), "line-words")
+    lines = common.cut(spark, _words_at(docs, some), "line-words")
 
-    word = lines.select("line_id", "place", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
+    # Dealt by line before the words are told apart, so that the running sums need no shuffle of single words.
+    word = lines.repartition("line_id").select("line_id", "place", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
     here, moved = F.xxhash64("x", "i"), F.xxhash64("x", F.col("i") - 1)
     order = Window.partitionBy("line_id").orderBy("i")
     whole = Window.partitionBy("line_id")
@@ -74,9 +86,11 @@ def near_lines(spark: SparkSession, docs: DataFrame, first: DataFrame) -> DataFr
         F.bit_xor(here).over(whole).alias("full"),
     )
     variants = common.cut(spark, word.select("line_id", "place", "n", "i", F.col("before").bitwiseXOR(F.col("after")).alias("key"), "full"), "line-variants")
-    # Equal but for word i: linked to the earliest of the group.
-    group = variants.groupBy("n", "i", "key").agg(F.min_by("line_id", "place").alias("other"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    replaced = variants.join(group, ["n", "i", "key"]).filter("line_id <> other").select(F.col("line_id").alias("later"), F.col("other").alias("earlier"), "i", F.lit(0).alias("longer"))
+    # Equal but for word i: linked to the earliest of the group. Few keys have two lines; only these look for it.
+    both = variants.groupBy("n", "i", "key").agg(F.min("line_id").alias("x"), F.max("line_id").alias("y")).filter("x <> y").drop("x", "y")
+    alike = common.cut(spark, variants.select("line_id", "place", "n", "i", "key").join(both, ["n", "i", "key"]), "line-alike")
+    group = alike.groupBy("n", "i", "key").agg(F.min_by("line_id", "place").alias("other"))
+    replaced = alike.join(group, ["n", "i", "key"]).filter("line_id <> other").select(F.col("line_id").alias("later"), F.col("other").alias("earlier"), "i", F.lit(0).alias("longer"))
     # Equal to another line but for word i, which that line lacks: the later of the two is linked to the earlier.
     fulls = variants.filter("i = 0").select((F.col("n") + 1).alias("n"), F.col("full").alias("key"), F.col("line_id").alias("short"), F.col("place").alias("short_place"))
     added = variants.join(fulls, ["n", "key"]).filter("line_id <> short")
