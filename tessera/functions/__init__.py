@@ -14,14 +14,19 @@ def draw(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which ends its lineage."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/{name}-{uuid.uuid4().hex}"
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back, which ends its lineage."""
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
