@@ -213,5 +213,6 @@ def walk_classifier(spark, sf):
     pooled = s.select("walk_id", F.posexplode("embedding").alias("dim", "x")).groupBy("walk_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     pooled = pooled.groupBy("walk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda d: d["x"]).alias("embedding"))  # dimensions
     rows = pooled.join(label, "walk_id").join(F.broadcast(ids), "name")
-    return learners.linear_probe(rows.select(F.col("walk_id").alias("key"), "label", "embedding"))
+    # The fit reads its rows many times.
+    return learners.linear_probe(cut(spark, rows.select(F.col("walk_id").alias("key"), "label", "embedding"), "pooled"))
 
