@@ -106,18 +106,26 @@ def class_capacity(regions_: DataFrame) -> DataFrame:
     return per.join(F.broadcast(least)).withColumn("target", F.least("capacity", "ceiling")).drop("ceiling")  # one row
 
 
-def balanced_allocation(regions_: DataFrame) -> DataFrame:
-    """Adds region_key, size_rank and alloc (walks of each region): large regions first, in proportion to what is left."""
+def balanced_allocation(regions_: DataFrame, made: DataFrame | None = None) -> DataFrame:
+    """Adds region_key, size_rank and alloc (walks of each region): large regions first, in proportion to what is left.
+
+    made (wsi_id, label, root, quota, got) has what regions yielded for a quota. Where a region's alloc is its quota,
+    later regions of the label share what it did not yield; else a region is taken to yield its alloc."""
     targets = class_capacity(regions_).select("label", "target", F.col("n_nodes").alias("total"))
     order = Window.partitionBy("label").orderBy(F.col("n_nodes").desc(), "wsi_id", "root")
     ranked = regions_.withColumn("size_rank", F.row_number().over(order) - 1).join(targets, "label")
-    folded = ranked.groupBy("label", "target", "total").agg(F.array_sort(F.collect_list(F.struct("size_rank", "n_nodes"))).alias("rs"))  # regions, not nodes
+    if made is None:
+        known = ranked.withColumn("quota", F.lit(None).cast("long")).withColumn("got", F.lit(None).cast("long"))
+    else:
+        known = ranked.join(made.select("wsi_id", "label", "root", "quota", "got"), ["wsi_id", "label", "root"], "left")
+    folded = known.groupBy("label", "target", "total").agg(F.array_sort(F.collect_list(F.struct("size_rank", "n_nodes", "quota", "got"))).alias("rs"))  # regions, not nodes
     start = F.struct(F.col("target").alias("left"), F.col("total").alias("nodes"), F.array().cast("array<bigint>").alias("allocs"))
 
     def step(acc, r):
         share = F.when(acc["left"] <= 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.bround(acc["left"] * r["n_nodes"] / acc["nodes"]).cast("long")))
         share = share.cast("long")
-        return F.struct((acc["left"] - share).alias("left"), (acc["nodes"] - r["n_nodes"]).alias("nodes"), F.concat(acc["allocs"], F.array(share)).alias("allocs"))
+        yielded = F.when(r["quota"] == share, r["got"]).otherwise(share)
+        return F.struct((acc["left"] - yielded).alias("left"), (acc["nodes"] - r["n_nodes"]).alias("nodes"), F.concat(acc["allocs"], F.array(share)).alias("allocs"))
 
     allocs = folded.select("label", F.aggregate("rs", start, step)["allocs"].alias("allocs"))
     allocs = allocs.select("label", F.posexplode("allocs").alias("size_rank", "alloc"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from tessera import config
-from tessera.functions import draw
+from tessera.functions import cut, draw
+from tessera.operators import graph
 
 # Means and deviations of colour channels that image encoders are trained with.
 CHANNEL_MEAN = (0.485, 0.456, 0.406)
@@ -122,22 +123,35 @@ def overfit_subset(items: DataFrame, key: str, label: str, size: int, seed: int
     return items.withColumn("h_", h).withColumn("more_", k > share).orderBy("more_", "h_", key).limit(size).drop("h_", "more_")
 
 
-def walk_report(allocated: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Per label: target, produced walks, how often they visit a node on average, and what held their number down."""
-    made = allocated.groupBy("label").agg(F.sum("alloc").alias("produced"))
+def walk_report(made: DataFrame, capacity: DataFrame) -> DataFrame:
+    """Per label: target, produced walks, how often they visit a node on average, and what held their number down.
+
+    made (label, got) has the walks accepted in each region."""
+    made = made.groupBy("label").agg(F.sum("got").alias("produced"))
     length = (config.WALK_MIN + config.WALK_MAX) / 2
     both = capacity.join(made, "label", "left").withColumn("produced", F.coalesce("produced", F.lit(0)))
     reason = F.when(F.col("produced") >= F.col("capacity"), F.lit("none")).when(F.col("target") == F.col("capacity"), "tissue").otherwise("ratio")
     return both.select("label", "target", "produced", (F.col("produced") * length / F.col("n_nodes")).alias("redundancy"), reason.alias("limited_by"))
 
 
+def most_attempts(quota: Column) -> Column:
+    """Ten tries for each walk of a region's quota, and ten at least."""
+    return F.greatest(10 * quota, F.lit(10)).cast("long")
+
+
 def attempts(nodes: DataFrame, quotas: DataFrame, seed: str = "attempt") -> DataFrame:
-    """(wsi_id, walk_id, start, length, label, root, attempt, quota): ten tries for each walk of a region's quota.
+    """(wsi_id, walk_id, start, length, label, root, attempt, quota): all tries that a region's quota may take.
 
     nodes has (wsi_id, node_id, label, root), quotas (wsi_id, label, root, n_nodes, quota). Starts and lengths are md5
     draws of region and attempt."""
+    whole = quotas.filter("quota > 0").withColumn("since", F.lit(0).cast("long")).withColumn("until", most_attempts(F.col("quota")))
+    return attempts_between(nodes, whole, seed)
+
+
+def attempts_between(nodes: DataFrame, ranges: DataFrame, seed: str = "attempt") -> DataFrame:
+    """The attempts of ranges (wsi_id, label, root, n_nodes, quota, since, until), until excluded."""
     region = F.concat_ws(":", F.col("wsi_id").cast("string"), "label", F.col("root").cast("string"))
-    tries = quotas.filter("quota > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(10 * F.col("quota"), F.lit(10)) - 1)).alias("attempt"))
+    tries = ranges.filter("since < until").select("*", F.explode(F.sequence(F.col("since"), F.col("until") - 1)).alias("attempt"))
     name = F.concat_ws(":", region, F.col("attempt").cast("string"))
     tries = tries.withColumn("place", draw(F.lit(seed), name) % F.col("n_nodes"))
     tries = tries.withColumn("length", config.WALK_MIN + draw(F.lit("length"), name) % (config.WALK_MAX - config.WALK_MIN + 1))
@@ -148,8 +162,52 @@ def attempts(nodes: DataFrame, quotas: DataFrame, seed: str = "attempt") -> Data
 
 def accept(walks: DataFrame, tries: DataFrame, least: int = config.WALK_MIN) -> DataFrame:
     """The first walks of each region, up to its quota, that are long enough and no earlier walk either way round."""
-    w = walks.filter(F.size("path") >= least).select("wsi_id", "walk_id", "path").join(tries.select("wsi_id", "walk_id", "label", "root", "attempt", "quota"), ["wsi_id", "walk_id"])
+    return _first_distinct(_long_enough(walks, tries, least)).select("wsi_id", "label", "root", "attempt", "path")
+
+
+def _long_enough(walks: DataFrame, tries: DataFrame, least: int) -> DataFrame:
+    w = walks.filter(F.size("path") >= least).select("wsi_id", "walk_id", "path")
+    return w.join(tries.select("wsi_id", "walk_id", "label", "root", "attempt", "quota"), ["wsi_id", "walk_id"])
+
+
+def _first_distinct(w: DataFrame) -> DataFrame:
     w = w.withColumn("canonical", F.least("path", F.reverse("path")))
     first = w.groupBy("wsi_id", "label", "root", "quota", "canonical").agg(F.min("attempt").alias("attempt"), F.min_by("path", "attempt").alias("path"))
     k = F.row_number().over(Window.partitionBy("wsi_id", "label", "root").orderBy("attempt"))
-    return first.withColumn("k", k).filter("k <= quota").select("wsi_id", "label", "root", "attempt", "path")
+    return first.withColumn("k", k).filter("k <= quota")
+
+
+def balanced_walks(spark: SparkSession, edges: DataFrame, nodes: DataFrame, sizes: DataFrame, bounce: bool, least: int = config.WALK_MIN) -> tuple[DataFrame, DataFrame]:
+    """(walks, made) of the whole balanced allocation: walks (wsi_id, label, root, attempt, path) and per region made
+    (wsi_id, label, root, quota, tried, got).
+
+    What a region does not yield in ten tries a walk is shared among the later regions of its label. Each round takes
+    the regions at their word that are not through yet, makes the walks that this needs, and counts; it ends when no
+    region has tries left that it needs and all allocations rest on counts. edges lead to nodes of the same label."""
+    region = ["wsi_id", "label", "root"]
+    walked: DataFrame | None = None
+    made: DataFrame | None = None
+    alloc, quota, tried = F.col("alloc"), F.col("quota"), F.col("tried")
+    limit = most_attempts(alloc)
+    while True:
+        plan = graph.balanced_allocation(sizes, made).select(*region, "n_nodes", "alloc")
+        if made is None:
+            plan = plan.withColumns({"quota": F.lit(0).cast("long"), "tried": F.lit(0).cast("long"), "got": F.lit(0).cast("long")})
+        else:
+            plan = plan.join(made, region)
+        through = (alloc == quota) & ((F.col("got") >= alloc) | (tried >= limit))
+        # A quarter more tries than walks at first, then twice as many as before: most regions need few.
+        more = F.least(limit, F.greatest(alloc + F.expr("alloc div 4") + 10, F.when(alloc == quota, 2 * tried).otherwise(0)))
+        plan = cut(spark, plan.withColumn("through", through).withColumn("until", F.when(through, tried).otherwise(F.greatest(tried, more))), "plan")
+        if made is not None and plan.filter("NOT through").isEmpty():
+            break
+        tries = attempts_between(nodes, plan.select(*region, "n_nodes", F.col("alloc").alias("quota"), F.col("tried").alias("since"), "until"))
+        tries = cut(spark, tries, "attempts")
+        fresh = cut(spark, _long_enough(graph.walks(edges, tries, bounce), tries, least).select(*region, "attempt", "path"), "walked")
+        walked = fresh if walked is None else walked.unionByName(fresh)
+        now = plan.select(*region, F.col("alloc").alias("quota"), F.col("until").alias("tried"))
+        kept = _first_distinct(walked.join(now, region).filter(F.col("attempt") < most_attempts(quota)))
+        kept = cut(spark, kept.select(*region, "attempt", "path"), "kept")
+        counts = kept.groupBy(*region).agg(F.count("*").alias("got"))
+        made = cut(spark, now.join(counts, region, "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long"))), "made")
+    return kept, made

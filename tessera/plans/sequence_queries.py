@@ -157,8 +157,16 @@ def overfit_subset(spark, sf):
 
 @query(None)
 def walk_report(spark, sf):
-    r = _regions(spark, sf)
-    return sequences.walk_report(graph.balanced_allocation(r), graph.class_capacity(r)).withColumn("redundancy", F.round("redundancy", 6))
+    sizes, _, made = _balanced(spark, sf)
+    return sequences.walk_report(made, graph.class_capacity(sizes)).withColumn("redundancy", F.round("redundancy", 6))
+
+
+def _balanced(spark, sf):
+    n = cut(spark, X.labelled(spark, sf), "labelled")
+    found = cut(spark, graph.regions(spark, n), "regions")
+    sizes = cut(spark, graph.region_sizes(found), "region-sizes")
+    e = cut(spark, grid.neighbours(spark, n).filter("src_label = dst_label"), "edges")
+    return sizes, *sequences.balanced_walks(spark, e, found, sizes, True)
 
 
 def _region_walks(spark, sf, quotas):
@@ -177,12 +185,8 @@ def walks_by_region(spark, sf):
 
 @query(None)
 def walks_balanced(spark, sf):
-    """A tenth of the balanced allocation of each region, and one at least."""
-
-    def quotas(sizes):
-        return graph.balanced_allocation(sizes).withColumn("quota", F.expr("greatest(1L, alloc div 10)"))
-
-    return _region_walks(spark, sf, quotas)
+    """The whole balanced allocation of each region; what a region falls short of is shared among later ones."""
+    return _balanced(spark, sf)[1].select("wsi_id", "label", "root", "attempt", _text("path"))
 
 
 # --- learners ---------------------------------------------------------------------------------------------------

@@ -79,3 +79,51 @@ def test_region_walks_stay_inside_and_differ(spark):
     label = {r.node_id: r.label for r in nodes.collect()}
     assert len(walks) == 10 and len({min(tuple(w.path), tuple(w.path[::-1])) for w in walks}) == 10
     assert all(len(w.path) >= 30 and {label[k] for k in w.path} == {w.label} for w in walks)
+
+
+def test_balanced_walks_are_whole_and_shortfalls_roll_over(spark):
+    """A thin region, the largest, yields few walks where they stop; the reference gives what it lacks to later ones."""
+    cells = [(0, 0, r, "SOLIDE") for r in range(32)] + [(0, c, r, "SOLIDE") for c in range(4, 10) for r in range(5)] + [(0, c, r, "SOLIDE") for c in range(14, 19) for r in range(6)]
+    cells += [(0, c, r, "ACINAIRE") for c in range(30, 37) for r in range(6)]
+    nodes = graph.number_nodes(spark.createDataFrame(cells, "wsi_id int, c long, r long, label string"))
+    found = graph.regions(spark, nodes)
+    sizes = graph.region_sizes(found)
+    edges = grid.neighbours(spark, nodes).filter("src_label = dst_label")
+    target = {r.label: r.target for r in graph.class_capacity(sizes).collect()}
+    every = sequences.attempts(found, sizes.withColumn("quota", F.lit(max(target.values())).cast("long")))
+    for bounce in (False, True):
+        tried: dict = {}
+        paths = {r.walk_id: tuple(r.path) for r in graph.walks(edges, every, bounce).collect()}
+        for t in every.collect():
+            tried.setdefault((t.label, t.root), {})[t.attempt] = paths[t.walk_id]
+        want = set()
+        for label in target:
+            parts = sorted((r for r in sizes.collect() if r.label == label), key=lambda r: (-r.n_nodes, r.wsi_id, r.root))
+            produced = 0
+            for i, p in enumerate(parts):
+                if target[label] - produced <= 0:
+                    break
+                alloc = max(1, round((target[label] - produced) * p.n_nodes / sum(x.n_nodes for x in parts[i:])))
+                seen = set()
+                for k in range(max(10 * alloc, 10)):
+                    path = tried[label, p.root][k]
+                    if len(seen) < alloc and len(path) >= 30 and min(path, path[::-1]) not in seen:
+                        seen.add(min(path, path[::-1]))
+                        want.add((label, p.root, k, path))
+                produced += len(seen)
+        kept, made = sequences.balanced_walks(spark, edges, found, sizes, bounce)
+        assert {(r.label, r.root, r.attempt, tuple(r.path)) for r in kept.collect()} == want
+        report = {r.label: r for r in sequences.walk_report(made, graph.class_capacity(sizes)).collect()}
+        assert {k: r.produced for k, r in report.items()} == {k: sum(w[0] == k for w in want) for k in target}
+        rows = {(r.label, r.root): r for r in made.collect()}
+        thin = rows["SOLIDE", 0]
+        assert (thin.got < thin.quota) == (not bounce)
+
+
+def test_balanced_query_makes_the_whole_allocation(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    alloc = {(r.wsi_id, r.label, r.root): r.alloc for r in plans.QUERIES["balanced_alloc"](spark, SF).collect() if r.alloc}
+    got = {(r.wsi_id, r.label, r.root): r["count"] for r in plans.QUERIES["walks_balanced"](spark, SF).groupBy("wsi_id", "label", "root").count().collect()}
+    assert got == alloc
+    assert sum(r.produced for r in plans.QUERIES["walk_report"](spark, SF).collect()) == sum(alloc.values())
