@@ -17,12 +17,13 @@ def _scaled() -> StandardScaler:
     return StandardScaler(inputCol="vector", outputCol="features", withMean=True, withStd=True)
 
 
-def linear_probe(items: DataFrame, most: int = 2000, seed: int = config.SEED) -> DataFrame:
+def linear_probe(items: DataFrame, most: int | None = 2000, seed: int = config.SEED) -> DataFrame:
     """One row (n, accuracy, f1_weighted, f1_macro, balanced_accuracy, verdict) for items (key, label, embedding).
 
-    At most so many rows of each label count; all-zero vectors don't. A logistic regression, its classes weighted to
+    At most so many rows of each label count, or all of them where most is None; all-zero vectors don't. A logistic regression, its classes weighted to
     count alike, is fitted on the train and val splits and judged on test."""
-    chosen = metrics.stratified_sample(items, "key", "label", most, seed).filter(F.exists("embedding", lambda v: v != 0))
+    chosen = items if most is None else metrics.stratified_sample(items, "key", "label", most, seed)
+    chosen = chosen.filter(F.exists("embedding", lambda v: v != 0))
     parts = metrics.stratified_split(chosen, "key", "label", 0.70, 0.0, seed)
     weights = parts.filter("split <> 'test'").groupBy("label").agg((1 / F.count("*")).alias("weight"))
     rows = parts.join(F.broadcast(weights), "label").select("key", "label", "split", "weight", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))  # a row for each class

@@ -230,8 +230,8 @@ def walk_dedup(spark, sf):
 _STEPS = X.walk_sql(50, False, False) + ", sp AS (SELECT wsi_id, walk_id, unnest(path) AS node_id, generate_subscripts(path, 1) AS pos FROM walk), sl AS (SELECT sp.walk_id, pos, idx.* FROM sp JOIN idx ON idx.wsi_id = sp.wsi_id AND idx.node_id = sp.node_id)"
 
 
-def _steps(spark, sf):
-    w = _walks(spark, sf, False, False, 50)
+def _steps(spark, sf, every: int = 50):
+    w = _walks(spark, sf, False, False, every)
     w = w.select("wsi_id", "walk_id", F.posexplode("path").alias("pos", "node_id"))
     return w.join(X.index(spark, sf).select("wsi_id", "node_id", "global_idx", "label", "cx", "cy"), ["wsi_id", "node_id"])
 

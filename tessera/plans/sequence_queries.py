@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from tessera import config
@@ -208,15 +210,16 @@ def pca_projection(spark, sf):
 
 @query(None)
 def walk_classifier(spark, sf):
-    """A classifier of pooled walks; labels are those of the nodes that walks start from."""
+    """A classifier of pooled walks from all nodes, fitted on all walks of train and judged on all of test; labels are
+    those of the nodes that walks start from."""
     v = X.table(spark, sf, "embeddings")
     n = v.count()
-    s = _steps(spark, sf).withColumn("vec_id", F.col("global_idx") % n).join(v.select("vec_id", "embedding"), "vec_id")
-    label = s.groupBy("walk_id").agg(F.min_by("label", "pos").alias("name"))
+    s = _steps(spark, sf, 1).withColumn("vec_id", F.col("global_idx") % n).join(v.select("vec_id", "embedding"), "vec_id")
+    x = array_to_vector(F.col("embedding").cast("array<double>"))
+    # Dealt by walk first, as a sum for each walk and task is larger than a step's vector.
+    s = s.select("walk_id", "pos", "label", "embedding").repartition("walk_id")
+    pooled = s.groupBy("walk_id").agg(F.min_by("label", "pos").alias("name"), vector_to_array(Summarizer.mean(x)).alias("embedding"))
     ids = spark.createDataFrame(list(config.LABELS.items()), "name string, label int")
-    pooled = s.select("walk_id", F.posexplode("embedding").alias("dim", "x")).groupBy("walk_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    pooled = pooled.groupBy("walk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda d: d["x"]).alias("embedding"))  # dimensions
-    rows = pooled.join(label, "walk_id").join(F.broadcast(ids), "name")
+    rows = pooled.join(F.broadcast(ids), "name")
     # The fit reads its rows many times.
-    return learners.linear_probe(cut(spark, rows.select(F.col("walk_id").alias("key"), "label", "embedding"), "pooled"))
-
+    return learners.linear_probe(cut(spark, rows.select(F.col("walk_id").alias("key"), "label", "embedding"), "pooled"), None)

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers all queries)
-from tessera.operators import graph, grid, sequences
+from tessera.operators import graph, grid, learners, metrics, sequences
+from tessera.plans import fixture
 from tessera.plans import queries as plans
 from tessera.plans import sequence_queries
 from tessera.sources import annotations, store
@@ -127,3 +128,16 @@ def test_balanced_query_makes_the_whole_allocation(spark):
     got = {(r.wsi_id, r.label, r.root): r["count"] for r in plans.QUERIES["walks_balanced"](spark, SF).groupBy("wsi_id", "label", "root").count().collect()}
     assert got == alloc
     assert sum(r.produced for r in plans.QUERIES["walk_report"](spark, SF).collect()) == sum(alloc.values())
+
+
+def test_probe_without_a_cap_counts_all_rows(spark):
+    rows = spark.range(5000).select(F.col("id").alias("key"), (F.col("id") % 2).cast("int").alias("label"), F.array(F.rand(1) + F.col("id") % 2, F.rand(2)).cast("array<float>").alias("embedding"))
+    assert [learners.linear_probe(rows, most).first().n for most in (2000, None)] == [1200, 1500]
+
+
+def test_walk_classifier_is_judged_on_the_test_walks_of_all_nodes(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    walks = fixture.labelled(spark, SF).select((F.col("wsi_id").cast("long") * 10_000_000 + F.col("node_id")).alias("key"), "label")
+    want = metrics.stratified_split(walks, "key", "label", 0.70, 0.0, 42).filter("split = 'test'").count()
+    assert plans.QUERIES["walk_classifier"](spark, SF).first().n == want
