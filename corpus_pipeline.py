@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing sources", mix_sources),
     ("token ids", store_tokens),
 ]
-#: A model's scores and a tokenizer's ids are beyond SQL; tests hold the stages against brute force.
+#: A model's scores and a tokenizer's ids are beyond SQL. No test holds all five stages against a plain version yet.
 ORACLE_SQL: str | None = None
 
 
