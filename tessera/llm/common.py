@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 8 << 20
+#: Input for each task of a shuffle, at most.
+TASK_BYTES = 64 << 20
 #: The separators of words: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -73,8 +75,9 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def tasks(spark: SparkSession, size: int = 0) -> int:
+    """How many tasks to deal that many bytes to: the session's shuffle partitions, or more where they would be large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
 # --- text columns as byte buffers -------------------------------------------------------------------------------

@@ -1,44 +1,149 @@
-"""Removal of passages that an earlier document has, by blockwise sorting of suffixes; exact up to 64-bit hashes.
-
-A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a document of smaller doc_id. To say which
-suffixes agree in their first LENGTH bytes, a suffix array over everything isn't needed at once:
-
-1. Copies of whole texts fall to the one of smallest doc_id; only that one goes on.
-2. A cover sample of the suffixes: of each LENGTH - SAMPLE + 1 neighbouring positions, the one whose SAMPLE bytes have
-   the least hash. Two equal strings of LENGTH bytes have a sampled position at the same offset, which is what a
-   difference cover gives, with a ninth of the positions instead of a quarter. Sorting the sample, one bucket at a
-   time, ranks it: positions whose rank no other document shares resolve all suffixes that lean on them as unique.
-3. Only suffixes with a tied sample position are left. They are sorted by a fingerprint of their LENGTH bytes, again
-   one bucket at a time, which finds the smallest doc_id of each tie.
-
-Buckets hold about ``BUCKET`` suffixes and are arrays of hashes, not rows. Before anything is shuffled, a task settles
-ties among its own documents, and sends a string once for all of them: a passage that a third of all documents share
-comes to a bucket once for each slice of input. Texts stay where they are, in a table bucketed by doc_id; only ties
-travel back to them.
-
-Null texts are empty. Rows of a null doc_id are left as they are and remove nothing; rows of equal doc_id are judged
-apart and never against each other. Other columns are ignored.
+"""Removal of passages that an earlier document has, by blockwise suffix sorting with a difference cover; exact.
+
+A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a document of smaller doc_id. A suffix is
+what starts at a byte; suffixes matter if their first LENGTH bytes do not end beyond their document.
+
+1. A suffix's bucket comes from the least hash among the ``SAMPLE``-byte strings in its first LENGTH bytes. Equal
+   strings of LENGTH bytes so share a bucket, and neighbouring suffixes mostly do: a run of them travels as one piece of
+   text, which takes about six bytes a suffix instead of fifty. A first pass over these hashes alone finds those that
+   several documents have; suffixes with any other hash are unique and are not sorted. Hashes only choose where and
+   whether suffixes are compared; whether they are equal is always told by their bytes.
+2. A task sorts one bucket at a time. The difference cover modulo ``PERIOD`` has, for any two places, an offset at which
+   both are in the cover. The cover's sample of the bucket is ranked first; then suffixes are sorted by their first
+   ``DEPTH`` bytes, and ties by the ranks at the offset that their pair has in common, by ternary partition of all ties
+   at once. Neighbours in order that agree in LENGTH bytes (LCP >= LENGTH) are one string; all but the smallest document
+   that has it lose it. A bucket of more than ``BLOCK`` suffixes is sorted block by block, and between blocks each
+   string is kept once, so memory is bounded by the different strings of a bucket.
+3. Runs of lost suffixes go back to their documents, where covered bytes are cut out.
+
+Before suffixes are shuffled, a task settles ties among its own documents and sends each string for the smallest of
+them alone: a passage that a third of all documents share comes to a bucket once for each slice of input.
+
+Null texts are empty; so are texts of fewer than LENGTH bytes for the search, and nothing of them goes. Rows of a null
+doc_id are left as they are and remove nothing; rows of equal doc_id are judged apart and never against each other, so
+ties between them remove nothing. A text longer than a slice is a slice of its own; no text is cut. doc_id has to be of
+a whole-number type. Other columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.llm import common
 
 LENGTH = 50
 SAMPLE = 30
-BUCKET = 1_500_000
+#: Bytes of text for each bucket of suffixes, and hashes for each bucket of the first pass.
+BUCKET = 2_000_000
+#: Suffixes that are sorted at a time.
+BLOCK = 600_000
 SLICE = 4 << 20
 
-_ROWS = "bucket int, done boolean, doc_ids array<long>, counts array<int>, hashes binary"
+#: The cover: each difference modulo 21 is one between two of these residues.
+PERIOD = 21
+COVER = (0, 1, 6, 8, 18)
+#: Suffixes are compared by so many leading bytes, ties by ranks at offsets from LOW to DEPTH.
+DEPTH = 24
+LOW = DEPTH - PERIOD + 1
+_IN_COVER = np.isin(np.arange(PERIOD), COVER)
+_COMMON = np.array([[next(d for d in range(LOW, DEPTH + 1) if (r + d) % PERIOD in COVER and (s + d) % PERIOD in COVER) for s in range(PERIOD)] for r in range(PERIOD)])
+
+_HASHES = "bucket int, done boolean, doc_ids array<long>, counts array<int>, hashes binary"
+_PIECES = "bucket int, done boolean, doc_ids array<long>, marks array<int>, starts array<int>, counts array<int>, text binary"
+
+
+# --- sorting suffixes -------------------------------------------------------------------------------------------
+
+
+def _word(text: np.ndarray, at: np.ndarray, k: int, depth: int) -> np.ndarray:
+    """Bytes 8 k to 8 k + 7 of the suffixes at these places as numbers of the same order; bytes from depth on count as 0."""
+    word = np.ascontiguousarray(sliding_window_view(text, 8)[at + 8 * k]).view(">u8")[:, 0].astype(np.uint64)
+    beyond = 8 * k + 8 - depth
+    return word & np.uint64((1 << 64) - (1 << 8 * beyond)) if beyond > 0 else word
+
+
+def _by_bytes(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes by their first depth bytes, and in that order whether one differs from the one before."""
+    words = [_word(text, at, k, depth) for k in range(-(-depth // 8))]
+    order = np.lexsort(words[::-1])
+    new = np.ones(len(at), bool)
+    new[1:] = False
+    for w in words:
+        w = w[order]
+        new[1:] |= w[1:] != w[:-1]
+    return order, new
+
+
+def cover_ranks(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """By place the rank of the cover's suffixes that ties of suffixes at these places can lead to; depth bytes count."""
+    change = np.zeros(len(text) + 1, np.int32)
+    np.add.at(change, at + LOW, 1)
+    np.add.at(change, at + DEPTH + 1, -1)
+    sample = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+    sample = sample[_IN_COVER[sample % PERIOD]]
+    order, new = _by_bytes(text, sample, depth)
+    rank = np.zeros(len(text), np.int32)
+    rank[sample[order]] = np.cumsum(new)
+    return rank
+
+
+def _settle_ties(place: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Where each suffix comes in order, given its group (the place in order where its ties begin): ternary partition of
+    all groups at once, by ranks at the offset that a suffix has in common with its group's pivot."""
+    group = group.copy()
+    size = np.bincount(group, minlength=len(group))
+    tied = np.random.default_rng(1).permutation(np.flatnonzero(size[group] > 1))
+    while len(tied):
+        start, first, which = np.unique(group[tied], return_index=True, return_inverse=True)
+        own, pivot = place[tied], place[tied[first]][which]
+        offset = _COMMON[own % PERIOD, pivot % PERIOD]
+        a, b = rank[own + offset], rank[pivot + offset]
+        less, more = a < b, a > b
+        n_less, n_more = np.bincount(which[less], minlength=len(start)), np.bincount(which[more], minlength=len(start))
+        n_equal = np.bincount(which, minlength=len(start)) - n_less - n_more
+        group[tied] = start[which] + np.where(less, 0, n_less[which] + np.where(more, n_equal[which], 0))
+        tied = tied[(less & (n_less[which] > 1)) | (more & (n_more[which] > 1))]
+    return group
+
+
+def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings of that length at places a and b agree."""
+    windows, out = sliding_window_view(text, length), np.empty(len(a), bool)
+    for i in range(0, len(a), 1 << 17):
+        out[i : i + (1 << 17)] = (windows[a[i : i + (1 << 17)]] == windows[b[i : i + (1 << 17)]]).all(axis=1)
+    return out
+
+
+def suffix_groups(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """For the suffix at each place the number of its first length bytes among all such strings, in order of bytes.
+
+    Ranks tell ties of the first DEPTH bytes apart by LOW + (length - LOW) bytes at least, so suffixes that agree in
+    length bytes come one after the other, and no others come between."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    text = np.concatenate([text, np.zeros(DEPTH + length + 8, np.uint8)])
+    order, new = _by_bytes(text, at, min(DEPTH, length))
+    if length > DEPTH and not new.all():
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        alone = new & np.append(new[1:], True)
+        rank = cover_ranks(text, at[order[~alone]], length - LOW)
+        order = order[np.argsort(_settle_ties(at[order], begin, rank), kind="stable")]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = ~_same(text, at[order[1:]], at[order[:-1]], length)
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(fresh) - 1
+    return out
+
+
+# --- which hashes several documents have ------------------------------------------------------------------------
 
 
 def _slide(a: np.ndarray, width: int, f) -> np.ndarray:
@@ -54,20 +159,20 @@ def window_hashes(buf: np.ndarray, size: int) -> np.ndarray:
     return common.mix((sums[size:] - sums[:-size]) * common.powers(len(buf) + 1)[1][: len(buf) - size + 1])
 
 
-def cover(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled positions, their hashes and rows; none crosses the end of its row."""
-    sample = min(SAMPLE, length)
-    width = length - sample + 1
+def runs(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring suffixes of a row with the same least hash: first place, length, hash and row of each."""
     none = np.zeros(0, np.int64)
     if len(buf) < length:
-        return none, none.astype(np.uint64), none
-    h = window_hashes(buf, sample)
-    least = _slide(h, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == h)
-    row = np.searchsorted(off, at, "right") - 1
-    inside = at + sample <= off[row + 1]
-    return at[inside], h[at[inside]], row[inside]
+        return none, none, none.astype(np.uint64), none
+    sample = min(SAMPLE, length)
+    least = _slide(window_hashes(buf, sample), length - sample + 1, np.minimum)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(least)]
+    inside = np.arange(length, length + len(least)) <= off[row + 1]
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]
+    first = np.flatnonzero(new & inside)
+    ends = np.flatnonzero(np.append(new[1:] | ~inside[1:], True) & inside) + 1
+    return first, ends - first, least[first], row[first]
 
 
 def _by_doc(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,78 +194,70 @@ def _rows(parts: list[tuple[int, bool, np.ndarray, np.ndarray]]) -> pa.RecordBat
     )
 
 
-def _settle(h: np.ndarray, doc: np.ndarray, all_of_tie: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (hash, document) entries: those in ties of several documents (all of them, or all but the smallest
-    document's), and one entry of the smallest document for each hash."""
+def _settle(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of (hash, document) entries: those of hashes that several documents have, and one entry of the smallest document
+    for each hash."""
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    low = doc[first][group]
-    if all_of_tie:
-        several = np.zeros(len(first), bool)
-        several[group[doc != low]] = True
-        hit = several[group]
-    else:
-        hit = doc != low
+    several = np.zeros(len(first), bool)
+    several[group[doc != doc[first][group]]] = True
     once = np.ones(len(h), bool)
     once[1:] = new[1:] | (doc[1:] != doc[:-1])
-    hit &= once
+    hit = several[group] & once
     return h[hit], doc[hit], h[first], doc[first]
 
 
-def _deal(h: np.ndarray, doc: np.ndarray, buckets: int, all_of_tie: bool) -> pa.RecordBatch:
+def _pieces_of(key: np.ndarray) -> list[np.ndarray]:
+    """The indices of each key's elements."""
+    order = np.argsort(key, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(key) else []
+
+
+def _deal(h: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Rows for a slice's entries: its own ties are done, and each hash goes once to its bucket."""
-    done_h, done_doc, h, doc = _settle(h, doc, all_of_tie)
+    done_h, done_doc, h, doc = _settle(h, doc)
     parts = [(int(done_doc[0]) % buckets, True, done_doc, done_h)] if len(done_h) else []
     bucket = (h % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(h) else []
-    for a, b in zip(bounds, [*bounds[1:], len(h)], strict=True):
-        parts.append((int(bucket[order[a]]), False, doc[order[a:b]], h[order[a:b]]))
-    return _rows(parts)
+    return _rows(parts + [(int(bucket[i[0]]), False, doc[i], h[i]) for i in _pieces_of(bucket)])
 
 
-def _settled(all_of_tie: bool, targets: int):
-    """Reads rows bucket by bucket; gives what is tied, packed for as many targets (a document has one)."""
+def _target(doc: np.ndarray, targets: int) -> np.ndarray:
+    return (common.mix(doc.astype(np.uint64)) % np.uint64(targets)).astype(np.int64)
 
-    def out(doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        target = (common.mix(doc.astype(np.uint64)) % np.uint64(targets)).astype(np.int64)
-        order = np.argsort(target, kind="stable")
-        ends = np.flatnonzero(np.diff(target[order], prepend=-1, append=-1))
-        parts = [(int(target[order[a]]), False, doc[order[a:b]], h[order[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
-        return _rows(parts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+def _tied(targets: int):
+    """Reads rows bucket by bucket; gives what several documents have, packed for as many targets (a document has one)."""
 
-        def close() -> pa.RecordBatch:
-            h, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            h, doc, _, _ = _settle(h, doc, all_of_tie)
-            return out(doc, h)
+    def out(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        target = _target(doc, targets)
+        return _rows([(int(target[i[0]]), False, doc[i], h[i]) for i in _pieces_of(target)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
         for batch in batches:
             for row in range(batch.num_rows):
                 b, done = batch.column("bucket")[row].as_py(), batch.column("done")[row].as_py()
                 docs, counts = (batch.column(c)[row].values.to_numpy() for c in ("doc_ids", "counts"))
                 h, doc = np.frombuffer(batch.column("hashes")[row].as_buffer(), np.uint64), np.repeat(docs, counts)
                 if done:
-                    yield out(doc, h)
+                    yield out(h, doc)
                     continue
                 if b != bucket and held:
-                    yield close()
+                    yield out(*_settle(*(np.concatenate(x) for x in zip(*held, strict=True)))[:2])
                     held = []
                 bucket = b
                 held.append((h.copy(), doc))
         if held:
-            yield close()
+            yield out(*_settle(*(np.concatenate(x) for x in zip(*held, strict=True)))[:2])
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads packed rows target by target; gives each document's hashes in one row."""
 
     def close(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +265,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, counts, h = _by_doc(doc, h)
         ends = np.concatenate([[0], np.cumsum(counts)])
         for i in range(0, len(docs), 1000):
-            blobs = [h[a:b].tobytes() for a, b in zip(ends[i : i + 1000], ends[i + 1 : i + 1001], strict=False)]
+            blobs = [np.unique(h[a:b]).tobytes() for a, b in zip(ends[i : i + 1000], ends[i + 1 : i + 1001], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 1000], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "tied"])
 
     target, held = None, []
@@ -185,125 +282,251 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close(held)
 
 
-def _ties(spark: SparkSession, rows: DataFrame, all_of_tie: bool, name: str) -> DataFrame:
-    """(doc_id, tied): hashes in tie, gathered for each document."""
-    n = common.tasks(spark)
-    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "done")
-    found = common.cut(spark, dealt.mapInArrow(_settled(all_of_tie, n), _ROWS), name)
-    packed = found.select("bucket", "doc_ids", "counts", "hashes").repartition(n, "bucket").sortWithinPartitions("bucket")
-    tied = common.cut(spark, packed.mapInArrow(_gathered, "doc_id long, tied binary"), name)
-    common.drop(spark, found)
-    return tied
-
-
-def _joined(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    """A row's hashes, in order."""
-    return np.unique(np.frombuffer(batch.column("tied")[row].as_buffer(), np.uint64))
-
-
 def _row_mask(h: np.ndarray, row: np.ndarray, batch: pa.RecordBatch, n: int) -> np.ndarray:
-    """Which hashes (in order of rows) are in their row's list."""
+    """Which hashes (in order of rows) are in their row's sorted list."""
     at = np.searchsorted(row, np.arange(n + 1))
     hit = np.zeros(len(h), bool)
     for r in range(n):
         if at[r + 1] > at[r]:
-            tied = _joined(batch, r)
-            own = h[at[r] : at[r + 1]]
-            if len(tied):
-                hit[at[r] : at[r + 1]] = tied[np.minimum(np.searchsorted(tied, own), len(tied) - 1)] == own
+            tied, own = np.frombuffer(batch.column("tied")[r].as_buffer(), np.uint64), h[at[r] : at[r + 1]]
+            hit[at[r] : at[r + 1]] = tied[np.minimum(np.searchsorted(tied, own), len(tied) - 1)] == own
     return hit
 
 
-def _starts(at: np.ndarray, row: np.ndarray, off: np.ndarray, size: int, length: int) -> np.ndarray:
-    """Where strings of that length start whose bytes hold one of the sampled positions at."""
-    change = np.zeros(size + 1, np.int32)
-    sample = min(SAMPLE, length)
-    low = np.maximum(at - (length - sample), off[row])
-    high = np.minimum(at, off[row + 1] - length)
-    ok = high >= low
-    np.add.at(change, low[ok], 1)
-    np.add.at(change, high[ok] + 1, -1)
-    return np.flatnonzero(np.cumsum(change[:-1]) > 0)
+# --- pieces of text, and what their suffixes lose ----------------------------------------------------------------
 
 
-def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end of each removed run)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    profile = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    profile = common.cut(spark, profile, "passages-profile")
-    first = common.cut(spark, profile.filter("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"), F.first("n_bytes").alias("size")), "passages-first")
-    total = first.agg(F.sum("size")).first()[0] or 0
-    buckets, fine = max(1, total // (10 * BUCKET) + 1), max(1, total // (4 * BUCKET) + 1)  # a tenth of the positions is sampled
-    n = common.tasks(spark)
-
-    name = f"passages_{uuid.uuid4().hex}"
-    chosen = first.filter(F.col("size") >= length).select(F.col("first").alias("doc_id"), F.col("sha").alias("own"))
-    texts = docs.join(chosen, "doc_id").filter(F.sha2("text", 256) == F.col("own")).dropDuplicates(["doc_id", "own"])
-    with common.tidy(spark):
-        texts.write.option("compression", "zstd").option("path", common.new_path(spark, "passages-texts")).bucketBy(n, "doc_id").sortBy("doc_id").saveAsTable(name)
-    texts = spark.table(name)
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
+def _packed(key: np.ndarray, done: bool, doc: np.ndarray, mark: np.ndarray, start: np.ndarray, count: np.ndarray, text: np.ndarray | None = None, width: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each key with its runs of suffixes; text has their bytes, width[i] for run i, in the order of runs."""
+    order = np.argsort(key, kind="stable")
+    ends = np.concatenate([np.flatnonzero(np.diff(key[order], prepend=-1)), [len(key)]])
+    n = len(ends) - 1
+    if text is None:
+        blobs = pa.nulls(n, pa.binary())
+    else:
+        wide = width[order]
+        from_ = (np.cumsum(width) - width)[order]
+        to = np.concatenate([[0], np.cumsum(wide)])
+        data = text[np.repeat(from_ - to[:-1], wide) + np.arange(to[-1])]
+        blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(to[ends].astype(np.int32)), pa.py_buffer(data)])
+    columns = [_lists(x[order], ends) for x in (doc, mark.astype(np.int32), start.astype(np.int32), count.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[order[ends[:-1]]], pa.int32()), pa.array(np.full(n, done)), *columns, blobs], names=["bucket", "done", "doc_ids", "marks", "starts", "counts", "text"]
+    )
+
+
+def _stretches(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First element and length of each stretch; breaks says where one begins."""
+    first = np.flatnonzero(breaks)
+    return first, np.diff(np.append(first, len(breaks)))
+
+
+def _sent(batch: pa.RecordBatch, length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A slice's suffixes of tied hashes: those that a smaller document of the slice has are lost; the others go to
+    their buckets as pieces of text."""
+    buf, off = common.utf8(batch.column("text"))
+    first, count, h, row = runs(buf, off, length)
+    hit = _row_mask(h, row, batch, batch.num_rows)
+    first, count, h, row = first[hit], count[hit], h[hit], row[hit]
+    if not len(first):
+        return
+    docs, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
+    to = np.cumsum(count)
+    run = np.repeat(np.arange(len(first)), count)
+    at = np.arange(to[-1]) + (first - to + count)[run]
+    doc = docs[row][run]
+    w = window_hashes(buf, length)[at]
+    order = np.argsort(w, kind="stable") if (np.diff(docs) >= 0).all() else np.lexsort((doc, w))
+    w = w[order]
+    equal = np.flatnonzero(w[1:] == w[:-1])
+    new = np.ones(len(w), bool)
+    new[1 + equal] = ~_same(buf, at[order[equal]], at[order[equal + 1]], length)
+    low = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    lost = np.zeros(len(at), bool)
+    lost[order[doc[order] > low]] = True
+    for gone in (True, False):
+        chosen = np.flatnonzero(lost == gone)
+        if not len(chosen):
+            continue
+        place, of = at[chosen], run[chosen]
+        other = row[of] if gone else of  # what is lost needs no hash
+        breaks = np.ones(len(chosen), bool)
+        breaks[1:] = (place[1:] != place[:-1] + 1) | (other[1:] != other[:-1])
+        a, n = _stretches(breaks)
+        start, r = place[a], row[of[a]]
+        if gone:
+            yield _packed(_target(docs[r], buckets), True, docs[r], marks[r], start - off[r], n)
+            continue
+        width = n + length - 1
+        ends = np.cumsum(width)
+        text = buf[np.repeat(start - ends + width, width) + np.arange(ends[-1])]
+        yield _packed((h[of[a]] % np.uint64(buckets)).astype(np.int64), False, docs[r], marks[r], start - off[r], n, text, width)
+
+
+class Bucket:
+    """The suffixes of one bucket, sorted block by block: each different string once, and who of its smallest document has it."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.fresh: list[tuple[np.ndarray, ...]] = []
+        self.n_fresh = 0
+        self.strings = np.zeros((0, length), np.uint8)
+        self.held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64))  # string, document, mark, place
+
+    def add(self, doc: np.ndarray, mark: np.ndarray, start: np.ndarray, count: np.ndarray, text: np.ndarray) -> None:
+        self.fresh.append((doc, mark, start, count, text))
+        self.n_fresh += int(count.sum())
+
+    def sort(self) -> tuple[np.ndarray, ...]:
+        """Sort what came; document, mark, first place and number of the runs of suffixes that are lost."""
+        doc, mark, start, count, text = (np.concatenate(x) for x in zip(*self.fresh, strict=True))
+        self.fresh, self.n_fresh = [], 0
+        width, to = count + self.length - 1, np.cumsum(count)
+        piece = np.repeat(np.arange(len(count)), count)
+        inner = np.arange(to[-1]) - (to - count)[piece]
+        m = len(self.strings)
+        at = np.concatenate([np.arange(m) * self.length, m * self.length + (np.cumsum(width) - width)[piece] + inner])
+        text = np.concatenate([self.strings.ravel(), text])
+        group = suffix_groups(text, at, self.length)
+        string = np.concatenate([group[:m][self.held[0]], group[m:]])
+        doc, mark, place = (np.concatenate(x) for x in zip(self.held[1:], (doc[piece], mark[piece], start[piece] + inner), strict=True))
+        order = np.argsort(string, kind="stable")
+        first = np.flatnonzero(np.diff(string[order], prepend=-1))
+        lost = doc > np.minimum.reduceat(doc[order], first)[string]
+        one = np.empty(group.max() + 1, np.int64)
+        one[group] = at
+        self.strings = sliding_window_view(text, self.length)[one]
+        self.held = tuple(x[~lost] for x in (string, doc, mark, place))
+        doc, mark, place = doc[lost], mark[lost], place[lost]
+        breaks = np.ones(len(doc), bool)
+        breaks[1:] = (place[1:] != place[:-1] + 1) | (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+        a, n = _stretches(breaks)
+        return doc[a], mark[a], place[a], n
+
+
+def _lost(length: int, targets: int):
+    """Reads pieces bucket by bucket; gives the runs of suffixes that are lost, packed for as many targets."""
+
+    def out(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(doc):
+            yield _packed(_target(doc, targets), True, doc, mark, start, count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, Bucket(length)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                b = batch.column("bucket")[row].as_py()
+                doc, mark, start, count = (batch.column(c)[row].values.to_numpy() for c in ("doc_ids", "marks", "starts", "counts"))
+                if batch.column("done")[row].as_py():
+                    yield from out(doc, mark, start, count)
+                    continue
+                if b != bucket:
+                    if held.fresh:
+                        yield from out(*held.sort())
+                    bucket, held = b, Bucket(length)
+                # Long pieces (of periodic texts) are taken a block at a time.
+                text = np.frombuffer(batch.column("text")[row].as_buffer(), np.uint8)
+                to = np.cumsum(count + length - 1)
+                for i in range(len(count)):
+                    if count[i] > BLOCK:
+                        whole = text[to[i] - count[i] - length + 1 : to[i]]
+                        for k in range(0, int(count[i]), BLOCK):
+                            n = min(BLOCK, int(count[i]) - k)
+                            held.add(doc[i : i + 1], mark[i : i + 1], start[i : i + 1] + k, np.array([n]), whole[k : k + n + length - 1].copy())
+                            yield from out(*held.sort())
+                small = count <= BLOCK
+                if small.any():
+                    kept = text if small.all() else text[np.repeat(small, count + length - 1)]
+                    held.add(doc[small], mark[small], start[small].astype(np.int64), count[small].astype(np.int64), kept.copy())
+                if held.n_fresh >= BLOCK:
+                    yield from out(*held.sort())
+        if held.fresh:
+            yield from out(*held.sort())
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads packed runs target by target; gives each document's in one row."""
+
+    def close(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        doc, mark, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((mark, doc))
+        doc, mark = doc[order], mark[order]
+        pairs = np.stack([start[order], count[order]], axis=1).astype(np.int32)
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+        first, n = _stretches(new)
+        for i in range(0, len(first), 1000):
+            blobs = [pairs[a : a + k].tobytes() for a, k in zip(first[i : i + 1000], n[i : i + 1000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first[i : i + 1000]], pa.int64()), pa.array(mark[first[i : i + 1000]], pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "mark", "runs"])
+
+    target, held = None, []
+    for batch in batches:
+        for row in range(batch.num_rows):
+            t = batch.column("bucket")[row].as_py()
+            if t != target and held:
+                yield from close(held)
+                held = []
+            target = t
+            held.append(tuple(batch.column(c)[row].values.to_numpy().copy() for c in ("doc_ids", "marks", "starts", "counts")))
+    if held:
+        yield from close(held)
+
+
+def _cut_out(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, limit=SLICE):
             buf, off = common.utf8(batch.column("text"))
-            _, h, row = cover(buf, off, length)
-            yield _deal(h, batch.column("doc_id").to_numpy()[row], buckets, True)
+            out = []
+            for i, lost in enumerate(batch.column("runs")):
+                own, removed, spans = buf[off[i] : off[i + 1]], 0, []
+                if lost.is_valid:
+                    pairs = np.frombuffer(lost.as_buffer(), np.int32).reshape(-1, 2).astype(np.int64)
+                    change = np.bincount(pairs[:, 0], minlength=len(own) + 1) - np.bincount(pairs.sum(axis=1) + length - 1, minlength=len(own) + 1)
+                    gone = np.cumsum(change[:-1]) > 0
+                    spans = np.flatnonzero(np.diff(gone, prepend=False, append=False)).reshape(-1, 2).tolist()
+                    removed, own = int(gone.sum()), own[~gone]
+                out.append((int(off[i + 1] - off[i]), removed, len(spans), hashlib.sha256(own.tobytes()).hexdigest(), spans))
+            size, removed, n, kept, spans = zip(*out, strict=True)
+            columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    return run
 
-    tied = _ties(spark, texts.select("doc_id", "text").mapInArrow(sampled, _ROWS), True, "passages-sample")
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end of each removed run)."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id has to be of a whole-number type")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("mark"), text.alias("text"))  # mark tells texts of equal doc_id apart
+    known = texts.filter("doc_id IS NOT NULL")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = common.tasks(spark, total)
+    buckets = max(4 * n, total // BUCKET)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, limit=SLICE):
-            buf, off = common.utf8(batch.column("text"))
-            at, h, row = cover(buf, off, length)
-            hit = _row_mask(h, row, batch, batch.num_rows)
-            start = _starts(at[hit], row[hit], off, len(buf), length)
-            if len(start):
-                row = np.searchsorted(off, start, "right") - 1
-                yield _deal(window_hashes(buf, length)[start], batch.column("doc_id").to_numpy()[row], fine, False)
-
-    near = texts.select("doc_id", "text").join(tied, "doc_id").select("doc_id", "text", "tied")
-    repeated = _ties(spark, near.mapInArrow(suffixes, _ROWS), False, "passages-repeated")
-    common.drop(spark, tied)
+            _, _, h, row = runs(*common.utf8(batch.column("text")), length)
+            if len(h):
+                yield _deal(h, batch.column("doc_id").to_numpy()[row], buckets)
 
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, limit=SLICE):
-            buf, off = common.utf8(batch.column("text"))
-            h = window_hashes(buf, length) if len(buf) >= length else np.zeros(0, np.uint64)
-            start = np.arange(len(h))
-            row = np.searchsorted(off, start, "right") - 1
-            inside = start + length <= off[row + 1]
-            start, row = start[inside], row[inside]
-            hit = start[_row_mask(h[start], row, batch, batch.num_rows)]
-            change = np.zeros(len(buf) + 1, np.int32)
-            np.add.at(change, hit, 1)
-            np.add.at(change, hit + length, -1)
-            gone = np.cumsum(change[:-1]) > 0
-            out = []
-            for a, b in zip(off, off[1:], strict=False):
-                own = np.concatenate([[False], gone[a:b], [False]])
-                edges = np.flatnonzero(own[1:] != own[:-1])
-                kept = hashlib.sha256(buf[a:b][~gone[a:b]].tobytes()).hexdigest()
-                out.append((int(gone[a:b].sum()), len(edges) // 2, kept, edges.reshape(-1, 2).tolist()))
-            removed, spans, sha, where = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("own"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(where, pa.list_(pa.list_(pa.int64())))],
-                names=["doc_id", "sha", "removed", "runs", "kept", "where"],
-            )
-
-    hit = texts.join(repeated, "doc_id").select("doc_id", "own", "text", "tied")
-    hit = hit.mapInArrow(cut_out, "doc_id long, sha string, removed long, runs long, kept string, where array<array<long>>")
-    hit = common.cut(spark, hit, "passages-cut")
-    spark.sql(f"DROP TABLE {name}")
-    common.drop(spark, repeated)
-    out = profile.join(first.select("sha", "first"), "sha", "left").join(hit, ["doc_id", "sha"], "left")
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= length)
-    empty = hashlib.sha256(b"").hexdigest()
-    whole = F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))
-    return out.select(
-        "doc_id", "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        F.when(copy, whole).otherwise(F.coalesce("where", F.array().cast("array<array<bigint>>"))).alias("spans"),
-    )
+            yield from _sent(batch, length, buckets)
+
+    dealt = known.select("doc_id", "text").mapInArrow(hashes, _HASHES).repartition(n, "bucket").sortWithinPartitions("bucket", "done")
+    packed = dealt.mapInArrow(_tied(n), _HASHES).repartition(n, "bucket").sortWithinPartitions("bucket")
+    tied = common.cut(spark, packed.mapInArrow(_per_document, "doc_id long, tied binary"), "passages-tied")
+    dealt = known.join(tied, "doc_id").select("doc_id", "mark", "text", "tied").mapInArrow(pieces, _PIECES).repartition(n, "bucket").sortWithinPartitions("bucket", "done")
+    packed = dealt.mapInArrow(_lost(length, n), _PIECES).repartition(n, "bucket").sortWithinPartitions("bucket")
+    lost = common.cut(spark, packed.mapInArrow(_gathered, "doc_id long, mark int, runs binary"), "passages-lost")
+    common.drop(spark, tied)
+    return texts.join(lost, ["doc_id", "mark"], "left").select("doc_id", "text", "runs").mapInArrow(
+        _cut_out(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
+    )
