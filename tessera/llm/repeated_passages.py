@@ -16,8 +16,10 @@ what starts at a byte; suffixes matter if their first LENGTH bytes do not end be
    string is kept once, so memory is bounded by the different strings of a bucket.
 3. Runs of lost suffixes go back to their documents, where covered bytes are cut out.
 
-Before suffixes are shuffled, a task settles ties among its own documents and sends each string for the smallest of
-them alone: a passage that a third of all documents share comes to a bucket once for each slice of input.
+Pieces of text that are equal as a whole (most of those of copies are) are told before any suffix is sorted, in a slice
+and again in a bucket: all but the smallest document lose them. Before suffixes are shuffled, a task settles ties among
+its own documents and sends each string for the smallest of them alone: a passage that a third of all documents share
+comes to a bucket once for each slice of input, besides the pieces at its edges, which differ.
 
 Null texts are empty; so are texts of fewer than LENGTH bytes for the search, and nothing of them goes. Rows of a null
 doc_id are left as they are and remove nothing; rows of equal doc_id are judged apart and never against each other, so
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +125,29 @@ def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.nda
     return out
 
 
+def twins(text: np.ndarray, start: np.ndarray, width: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which pieces of text are, byte for byte, one that a smaller document has too."""
+    sums = common.prefix_hash(text)
+    h = common.mix((sums[start + width] - sums[start]) * common.powers(len(text) + 1)[1][start])
+    order = np.lexsort((doc, width, h))
+    start, width, doc, h = start[order], width[order], doc[order], h[order]
+    same = np.flatnonzero((h[1:] == h[:-1]) & (width[1:] == width[:-1]))
+    new = np.ones(len(order), bool)
+    at = 0
+    while at < len(same):  # about a megabyte of bytes at a time
+        to = max(at + 1, int(np.searchsorted(np.cumsum(width[same[at:]]), 1 << 20)) + at)
+        some, wide = same[at:to], width[same[at:to]]
+        first = np.cumsum(wide) - wide
+        inner = np.arange(int(wide.sum())) - np.repeat(first, wide)
+        equal = text[np.repeat(start[some], wide) + inner] == text[np.repeat(start[some + 1], wide) + inner]
+        new[some + 1] = ~np.logical_and.reduceat(equal, first)
+        at = to
+    low = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = np.zeros(len(order), bool)
+    out[order[doc > low]] = True
+    return out
+
+
 def suffix_groups(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """For the suffix at each place the number of its first length bytes among all such strings, in order of bytes.
 
@@ -312,7 +338,8 @@ def _packed(key: np.ndarray, done: bool, doc: np.ndarray, mark: np.ndarray, star
         from_ = (np.cumsum(width) - width)[order]
         to = np.concatenate([[0], np.cumsum(wide)])
         data = text[np.repeat(from_ - to[:-1], wide) + np.arange(to[-1])]
-        blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(to[ends].astype(np.int32)), pa.py_buffer(data)])
+        squeeze = zstandard.ZstdCompressor(level=1)
+        blobs = pa.array([squeeze.compress(data[a:b]) for a, b in zip(to[ends], to[ends[1:]], strict=False)], pa.binary())
     columns = [_lists(x[order], ends) for x in (doc, mark.astype(np.int32), start.astype(np.int32), count.astype(np.int32))]
     return pa.RecordBatch.from_arrays(
         [pa.array(key[order[ends[:-1]]], pa.int32()), pa.array(np.full(n, done)), *columns, blobs], names=["bucket", "done", "doc_ids", "marks", "starts", "counts", "text"]
@@ -335,6 +362,11 @@ def _sent(batch: pa.RecordBatch, length: int, buckets: int) -> Iterator[pa.Recor
     if not len(first):
         return
     docs, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
+    copy = twins(buf, first, count + length - 1, docs[row])  # whole pieces first, then suffix by suffix
+    if copy.any():
+        r = row[copy]
+        yield _packed(_target(docs[r], buckets), True, docs[r], marks[r], first[copy] - off[r], count[copy])
+        first, count, h, row = first[~copy], count[~copy], h[~copy], row[~copy]
     to = np.cumsum(count)
     run = np.repeat(np.arange(len(first)), count)
     at = np.arange(to[-1]) + (first - to + count)[run]
@@ -385,7 +417,12 @@ class Bucket:
         """Sort what came; document, mark, first place and number of the runs of suffixes that are lost."""
         doc, mark, start, count, text = (np.concatenate(x) for x in zip(*self.fresh, strict=True))
         self.fresh, self.n_fresh = [], 0
-        width, to = count + self.length - 1, np.cumsum(count)
+        width = count + self.length - 1
+        copy = twins(text, np.cumsum(width) - width, width, doc)
+        whole = tuple(x[copy] for x in (doc, mark, start, count))
+        text = text[np.repeat(~copy, width)]
+        doc, mark, start, count, width = (x[~copy] for x in (doc, mark, start, count, width))
+        to = np.cumsum(count)
         piece = np.repeat(np.arange(len(count)), count)
         inner = np.arange(to[-1]) - (to - count)[piece]
         m = len(self.strings)
@@ -405,7 +442,7 @@ class Bucket:
         breaks = np.ones(len(doc), bool)
         breaks[1:] = (place[1:] != place[:-1] + 1) | (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
         a, n = _stretches(breaks)
-        return doc[a], mark[a], place[a], n
+        return tuple(np.concatenate(x) for x in zip(whole, (doc[a], mark[a], place[a], n), strict=True))
 
 
 def _lost(length: int, targets: int):
@@ -429,7 +466,7 @@ def _lost(length: int, targets: int):
                         yield from out(*held.sort())
                     bucket, held = b, Bucket(length)
                 # Long pieces (of periodic texts) are taken a block at a time.
-                text = np.frombuffer(batch.column("text")[row].as_buffer(), np.uint8)
+                text = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("text")[row].as_buffer()), np.uint8)
                 to = np.cumsum(count + length - 1)
                 for i in range(len(count)):
                     if count[i] > BLOCK:
