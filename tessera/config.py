@@ -19,10 +19,11 @@ LABELS = {
     "CRIBRIFORME": 12,
     "PAPILLAIRE": 13,
 }
-#: Coarse classes: any other class beats them, and regions and walks leave them out.
+# Coarse classes; any other class beats them, and regions and walks leave them out.
 EXCLUDED = ("background", "no_Tissu", "no_Tumor", "Tumor")
 BACKGROUND = "background"
 
+# Sizes, limits and seed.
 PATCH = 224
 TARGET_MPP = 0.5
 DEFAULT_MPP = 0.25
@@ -32,7 +33,7 @@ MAX_REDUNDANCY = 50
 MAX_IMBALANCE = 10
 SEED = 42
 
-#: Offsets (dc, dr) of the six neighbours, clockwise from the top, for even and odd columns.
+# Offsets (dc, dr) of the six neighbours, clockwise from the top, for even and odd columns.
 NEIGHBOURS = {
     0: ((0, -1), (1, -1), (1, 0), (0, 1), (-1, 0), (-1, -1)),
     1: ((0, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0)),

@@ -2,42 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import config
-from tessera.functions import cut
+from tessera.functions import cut, discard, draw, rank_by_parts
 from tessera.operators import grid
 
 #: A block of tiles that one task joins up: at most BLOCK * BLOCK nodes, whatever a slide holds.
 BLOCK = 64
+#: Neighbouring node_ids that are put in order together, and rows of an index that are hashed together.
+PART, CHUNK = 4096, 1024
 
 
 def number_nodes(tiles: DataFrame) -> DataFrame:
     """Adds node_id: dense from 0 in each slide, by column, then row."""
-    return tiles.withColumn("node_id", (F.row_number().over(Window.partitionBy("wsi_id").orderBy("c", "r")) - 1).cast("long"))
+    ranked = rank_by_parts(tiles, ["wsi_id"], F.col("c"), ["c", "r"])
+    return ranked.withColumn("node_id", (F.col("k_") - 1).cast("long")).drop("k_", "n_")
 
 
 def drop_label(nodes: DataFrame, label: str = "no_Tissu") -> DataFrame:
     return nodes.filter(F.col("label") != label)
 
 
+def one_slide(spark: SparkSession, nodes: DataFrame, wsi_id: object = None) -> DataFrame:
+    """The nodes of the slide of that name, or of the first in order of names; an unknown name is an error that lists the known ones."""
+    names = [r[0] for r in nodes.select("wsi_id").distinct().orderBy("wsi_id").collect()]  # slides
+    if wsi_id is None and names:
+        wsi_id = names[0]
+    if wsi_id not in names:
+        raise ValueError(f"no slide {wsi_id!r}; there are {names}")
+    return nodes.filter(F.col("wsi_id") == F.lit(wsi_id))
+
+
 def node_index(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """Adds global_idx, dense over slides in order of wsi_id and node_id, and label_id (unknown labels: 0)."""
     counts = nodes.groupBy("wsi_id").count()
     before = Window.orderBy("wsi_id").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slide
     base = counts.select("wsi_id", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("wsi_id").orderBy("node_id")) - 1
+    ranked = rank_by_parts(nodes, ["wsi_id"], F.expr(f"node_id div {PART}"), ["node_id"])
     labels = spark.createDataFrame(list(config.LABELS.items()), "label string, label_id int")
-    out = nodes.join(base, "wsi_id").withColumn("global_idx", F.col("base") + place).drop("base")
+    out = ranked.join(base, "wsi_id").withColumn("global_idx", F.col("base") + F.col("k_") - 1).drop("base", "k_", "n_")
     return out.join(F.broadcast(labels), "label", "left").withColumn("label_id", F.coalesce("label_id", F.lit(0)))
 
 
 def fingerprint(index: DataFrame) -> DataFrame:
-    """Per slide n and sha256 over px and py in order of global_idx, and so of one row of bounded length a slide."""
-    listed = F.expr("listagg(concat_ws('|', px, py), ',') WITHIN GROUP (ORDER BY global_idx)")
-    return index.groupBy("wsi_id").agg(F.count("*").alias("n"), F.sha2(listed, 256).alias("sha256"))
+    """Per slide n and sha256 over px and py in order of global_idx.
+
+    Any number of tasks share a slide: each CHUNK of neighbouring global_idx is hashed by itself, and the slide's hash is
+    that of its chunks' hashes in order. It tells the same changes as one hash over all rows, but is another number."""
+    listed = F.expr("sha2(listagg(concat_ws('|', px, py), ',') WITHIN GROUP (ORDER BY global_idx), 256)")
+    chunks = index.groupBy("wsi_id", F.expr(f"global_idx div {CHUNK}").alias("chunk")).agg(F.count("*").alias("n"), listed.alias("sha"))
+    return chunks.groupBy("wsi_id").agg(F.sum("n").alias("n"), F.expr("sha2(listagg(sha, ',') WITHIN GROUP (ORDER BY chunk), 256)").alias("sha256"))
 
 
 def _block_roots(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,7 +87,9 @@ def regions(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     block = n.withColumn("bc", F.floor(F.col("c") / BLOCK)).withColumn("br", F.floor(F.col("r") / BLOCK))
     local = block.groupBy("wsi_id", "bc", "br").applyInPandas(_block_roots, "wsi_id int, node_id long, c long, r long, label string, bc long, br long, root long")
     local = cut(spark, local, "block-roots")
-    edge = grid.neighbours(spark, local.select("wsi_id", "node_id", "c", "r", "label")).filter("src_label = dst_label")
+    # Both ends of an edge between blocks are on a border.
+    border = local.filter(f"pmod(c, {BLOCK}) IN (0, {BLOCK - 1}) OR pmod(r, {BLOCK}) IN (0, {BLOCK - 1})")
+    edge = grid.neighbours(spark, border.select("wsi_id", "node_id", "c", "r", "label")).filter("src_label = dst_label")
     pairs = edge.join(local.select("wsi_id", F.col("node_id").alias("src"), F.col("root").alias("a")), ["wsi_id", "src"])
     pairs = pairs.join(local.select("wsi_id", F.col("node_id").alias("dst"), F.col("root").alias("b")), ["wsi_id", "dst"])
     pairs = cut(spark, pairs.filter("a <> b").select("wsi_id", "a", "b").distinct(), "root-pairs")
@@ -83,8 +103,11 @@ def regions(spark: SparkSession, nodes: DataFrame) -> DataFrame:
         moved = step.join(far, ["wsi_id", "low"]).select("wsi_id", "a", F.least("low", "far").alias("new"), "top")
         moved = cut(spark, moved, "tops")
         done = moved.filter("new <> top").isEmpty()
-        top = moved.select("wsi_id", "a", F.col("new").alias("top"))
+        discard(spark, top)
+        path, top = moved._tessera_path, moved.select("wsi_id", "a", F.col("new").alias("top"))
+        top._tessera_path = path
         if done:
+            discard(spark, pairs)
             break
     found = local.join(top.withColumnRenamed("a", "root"), ["wsi_id", "root"], "left")
     return found.select("wsi_id", "node_id", "c", "r", "label", F.coalesce("top", "root").alias("root"))
@@ -133,45 +156,70 @@ def balanced_allocation(regions_: DataFrame, made: DataFrame | None = None) -> D
     return ranked.join(allocs, ["label", "size_rank"]).select("wsi_id", "label", "root", "n_nodes", "size_rank", "alloc", key.alias("region_key"))
 
 
-def walks(edges: DataFrame, attempts: DataFrame, bounce: bool, sharp: int = 1, straight: int = 10, seed: str = "walk") -> DataFrame:
-    """Adds path (node_ids) to attempts (wsi_id, walk_id, start, length): weighted steps without turning back.
-
-    Weights are whole numbers and the draw is md5 of seed, walk and step, so a walk is the same on every engine and
-    machine. A walk that is stuck ends, or with bounce turns back. A slide's graph is in one task: its size is bounded
-    by the slide's raster."""
-    import hashlib
-
-    def slide(key: tuple, near: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        ways: dict[int, dict[int, int]] = {}
-        for src, d, dst in zip(near["src"], near["dir"], near["dst"], strict=True):
-            ways.setdefault(src, {})[d] = dst
-
-        def draw(walk: int, step: int) -> int:
-            return int(hashlib.md5(f"{seed}:{walk}:{step}".encode()).hexdigest()[:8], 16)
-
-        def one(walk: int, at: int, length: int) -> list[int]:
-            path, came = [at], None
-            for step in range(1, length):
-                out = ways.get(at, {})
-                choice = [(d, straight if came is None or (d - came) % 6 not in (1, 5) else sharp) for d in sorted(out) if came is None or (d - came) % 6 != 3]
-                choice = [x for x in choice if x[1] > 0]
-                if not choice and bounce and came is not None and (came + 3) % 6 in out:
-                    choice = [((came + 3) % 6, 1)]
-                if not choice:
-                    break
-                pick = draw(walk, step) % sum(w for _, w in choice)
-                for d, w in choice:
-                    if pick < w:
-                        break
-                    pick -= w
-                at, came = out[d], d
-                path.append(at)
-            return path
-
-        paths = [one(w, s, n) for w, s, n in zip(todo["walk_id"], todo["start"], todo["length"], strict=True)]
-        return todo.assign(path=paths)[["slide", "walk_id", "start", "length", "path"]]
-
-    near = edges.select(F.col("wsi_id").alias("graph"), "src", "dir", "dst").groupBy("graph")
-    todo = attempts.select(F.col("wsi_id").alias("slide"), "walk_id", "start", "length").groupBy("slide")
-    return near.cogroup(todo).applyInPandas(slide, "slide int, walk_id long, start long, length long, path array<long>").withColumnRenamed("slide", "wsi_id")
-
+def _stepped(seed_draws: np.ndarray, length: np.ndarray, at: np.ndarray, ways: np.ndarray, bounce: bool, sharp: int, straight: int) -> tuple[np.ndarray, np.ndarray]:
+    """All walks of a block step by step: paths (a row each, of places in ways) and how many steps of them count."""
+    k, most = len(at), int(length.max())
+    path = np.full((k, most), -1)
+    path[:, 0] = at
+    made, came = np.ones(k, np.int64), np.full(k, -1)
+    going = np.arange(k)
+    for step in range(1, most):
+        going = going[step < length[going]]
+        out, turn = ways[path[going, step - 1]], (np.arange(6) - came[going, None]) % 6
+        begun = came[going, None] >= 0
+        free = (out >= 0) & ~(begun & (turn == 3))
+        weight = np.where(begun & ((turn == 2) | (turn == 4)), sharp, straight) * free
+        if bounce:  # sharp turns count in full where there is nothing else, and the way back after them
+            weight = np.where(weight.any(axis=1, keepdims=True), weight, free)
+            weight = np.where(weight.any(axis=1, keepdims=True), weight, (out >= 0) & begun)
+        upto = np.cumsum(weight, axis=1)
+        free = upto[:, -1] > 0
+        going, out, upto = going[free], out[free], upto[free]
+        if not len(going):
+            break
+        pick = seed_draws[going, step - 1] % upto[:, -1]
+        way = (upto <= pick[:, None]).sum(axis=1)
+        path[going, step], came[going] = out[np.arange(len(going)), way], way
+        made[going] = step + 1
+    return path, made
+
+
+def walks(edges: DataFrame, attempts: DataFrame, bounce: bool, sharp: int = 1, straight: int = 10, seed: str = "walk", most: int = config.WALK_MAX) -> DataFrame:
+    """Adds path (node_ids) to attempts (wsi_id, walk_id, start, length): weighted steps without turning back. Sharp are the
+    two turns next to the way back.
+
+    edges are those of grid.neighbours, both ways, with the places (c, r) of their sources. Weights are whole numbers and
+    the draw is md5 of seed, walk and step, so a walk is the same on every engine and machine. A walk that is stuck ends;
+    with bounce it takes sharp turns that sharp = 0 forbids, or turns back. length is at most `most`, and a walk so never
+    leaves the tiles within `most` of its start: a task has a block of starts with that margin, whatever a slide holds."""
+
+    def block(key: tuple, near: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        if not len(todo):
+            return todo[["slide", "walk_id", "start", "length"]].assign(path=pd.Series([], dtype=object))
+        ids = np.union1d(near["src"].to_numpy(np.int64), todo["start"].to_numpy(np.int64))
+        ways = np.full((len(ids), 6), -1)
+        if len(near):
+            dst = np.stack(near["ways"].to_numpy()).astype(np.int64)
+            place = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
+            ways[np.searchsorted(ids, near["src"].to_numpy(np.int64))] = np.where(ids[place] == dst, place, -1)
+        length = todo["length"].to_numpy(np.int64)
+        if length.max() > most:
+            raise ValueError(f"a walk of more than {most} steps needs a wider margin")
+        draws = np.zeros((len(todo), most), np.int64)
+        for i, d in enumerate(todo["draws"]):
+            draws[i, : len(d)] = d
+        path, made = _stepped(draws, length, np.searchsorted(ids, todo["start"].to_numpy(np.int64)), ways, bounce, sharp, straight)
+        return todo.assign(path=[ids[p[:n]] for p, n in zip(path, made, strict=True)])[["slide", "walk_id", "start", "length", "path"]]
+
+    ways = F.array(*(F.coalesce(F.max(F.when(F.col("dir") == d, F.col("dst"))), F.lit(-1)) for d in range(6)))
+    near = edges.groupBy(F.col("wsi_id").alias("graph"), "src", F.col("src_c").alias("c"), F.col("src_r").alias("r")).agg(ways.alias("ways"))
+    for x in "cr":
+        low, high = F.floor((F.col(x) - most) / BLOCK), F.floor((F.col(x) + most) / BLOCK)
+        near = near.withColumn(f"b{x}", F.explode(F.sequence(low, high)))
+    at = edges.select(F.col("wsi_id").alias("graph"), F.col("src").alias("start"), "src_c", "src_r").distinct()
+    todo = attempts.select(F.col("wsi_id").alias("slide"), "walk_id", "start", "length")
+    todo = todo.join(at.withColumnRenamed("graph", "slide"), ["slide", "start"], "left")  # a start without edges is a walk by itself
+    draws = F.when(F.col("length") > 1, F.transform(F.sequence(F.lit(1), F.col("length").cast("int") - 1), lambda i: draw(F.lit(seed), F.col("walk_id").cast("string"), i.cast("string"))))
+    todo = todo.select("slide", "walk_id", "start", "length", *(F.coalesce(F.floor(F.col(f"src_{x}") / BLOCK), F.lit(0)).alias(f"t{x}") for x in "cr"), F.coalesce(draws, F.array().cast("array<bigint>")).alias("draws"))
+    grouped = near.select("graph", "bc", "br", "src", "ways").groupBy("graph", "bc", "br").cogroup(todo.groupBy("slide", "tc", "tr"))
+    return grouped.applyInPandas(block, "slide int, walk_id long, start long, length long, path array<long>").withColumnRenamed("slide", "wsi_id")

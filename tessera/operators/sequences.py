@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from tessera import config
-from tessera.functions import cut, draw
+from tessera.functions import cut, draw, rank_by_parts
 from tessera.operators import graph
 
 # Means and deviations of colour channels that image encoders are trained with.
-CHANNEL_MEAN = (0.485, 0.456, 0.406)
-CHANNEL_STD = (0.229, 0.224, 0.225)
+CHANNELS = {
+    "photographs": ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225)),
+    "tissue": ((0.707223, 0.578729, 0.703617), (0.211883, 0.230117, 0.177517)),
+}
 
 
 def reverse_augment(walks: DataFrame) -> DataFrame:
@@ -44,9 +48,9 @@ def linspace_sample(spark: SparkSession, items: DataFrame, position: str, most:
     return items.join(F.broadcast(picks), position, "left_semi")  # `most` numbers
 
 
-def channel_normalize(channels: Sequence[Column]) -> list[Column]:
-    """Colours of 0 to 255 as standardised shares."""
-    return [(c / 255 - m) / s for c, m, s in zip(channels, CHANNEL_MEAN, CHANNEL_STD, strict=True)]
+def channel_normalize(channels: Sequence[Column], kind: str = "photographs") -> list[Column]:
+    """Colours of 0 to 255 as standardised shares, by the means and deviations of that kind of pictures."""
+    return [(c / 255 - m) / s for c, m, s in zip(channels, *CHANNELS[kind], strict=True)]
 
 
 @F.pandas_udf(ArrayType(FloatType()))
@@ -73,10 +77,46 @@ def attention_score(x: Column, hidden: Sequence[Sequence[float]], out: Sequence[
     return sum(units[1:], units[0])
 
 
+def mean_vectors(steps: DataFrame, weight: Column | None = None) -> DataFrame:
+    """(walk_id, dim, value): the mean of the embeddings of each walk's steps, weighted or not.
+
+    Steps are dealt by walk first: a sum for each walk and task would be larger than a step's vector. Vectors are summed
+    whole, and only the means are laid out by dimension."""
+    weight = F.lit(1.0) if weight is None else weight
+    rows = steps.select("walk_id", weight.alias("w"), array_to_vector(F.col("embedding").cast("array<double>")).alias("x")).repartition("walk_id")
+    means = rows.groupBy("walk_id").agg(vector_to_array(Summarizer.mean(F.col("x"), F.col("w"))).alias("means"))
+    return means.select("walk_id", F.posexplode("means").alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
+
+
 def attention_pool(steps: DataFrame, hidden: Sequence[Sequence[float]], out: Sequence[float]) -> DataFrame:
     """(walk_id, dim, value): the mean embedding of a walk's steps, weighted by the softmax of their attention scores."""
-    weighed = steps.select("walk_id", F.exp(attention_score(F.col("embedding"), hidden, out)).alias("w"), F.posexplode("embedding").alias("dim", "x"))
-    return weighed.groupBy("walk_id", F.col("dim").cast("long").alias("dim")).agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("value"))
+    return mean_vectors(steps, F.exp(attention_score(F.col("embedding"), hidden, out)))
+
+
+def valid_mask(length: Column, most: Column, head: bool = True) -> Column:
+    """Which of the places of a padded sequence count, as booleans: those before its end, and the head token before all."""
+    places = F.sequence(F.lit(0), most.cast("int") - (0 if head else 1))
+    return F.transform(places, lambda i: i < length + (1 if head else 0))
+
+
+def pool(steps: DataFrame, mode: str, hidden: Sequence[Sequence[float]] | None = None, out: Sequence[float] | None = None) -> DataFrame:
+    """(walk_id, dim, value) of steps (walk_id, pos, embedding), pos 0 being the head token: its embedding (cls), the mean
+    of the others (mean; 0 for a walk without any), both one after the other (concat), or their attention pool (attention)."""
+    if mode == "attention":
+        return attention_pool(steps.filter("pos > 0"), hidden, out)
+    if mode not in ("cls", "mean", "concat"):
+        raise ValueError(f"unknown mode {mode!r}: cls, mean, concat or attention")
+    wide = steps.select("walk_id", "pos", "embedding")
+    head = wide.filter("pos = 0").select("walk_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
+    if mode == "cls":
+        return head
+    rest = mean_vectors(wide.filter("pos > 0"))
+    alone = wide.groupBy("walk_id").agg(F.max("pos").alias("last"), F.max(F.size("embedding")).alias("width")).filter("last = 0")
+    rest = rest.unionByName(alone.select("walk_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)).alias("dim"), F.lit(0.0).alias("value")))
+    if mode == "mean":
+        return rest
+    width = wide.filter("pos = 0").select("walk_id", F.size("embedding").cast("long").alias("width"))
+    return head.unionByName(rest.join(width, "walk_id").select("walk_id", (F.col("dim") + F.col("width")).alias("dim"), "value"))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
@@ -115,23 +155,45 @@ def region_holdout(regions: DataFrame, per_class: int = 1, train: float = 0.70,
     return ranked.withColumn("split", F.when(F.col("k_") <= per_class, "test").when(F.col("k_") <= upto, "val").otherwise("train")).drop("k_", "n_")
 
 
-def overfit_subset(items: DataFrame, key: str, label: str, size: int, seed: int = config.SEED) -> DataFrame:
-    """So many rows: an equal share of each label first, then others, in hashed order."""
-    share = max(1, size // max(1, items.select(label).distinct().count()))
-    h = draw(F.lit(str(seed)), F.col(key).cast("string"))
-    k = F.row_number().over(Window.partitionBy(label).orderBy(h, key))
-    return items.withColumn("h_", h).withColumn("more_", k > share).orderBy("more_", "h_", key).limit(size).drop("h_", "more_")
-
-
-def walk_report(made: DataFrame, capacity: DataFrame) -> DataFrame:
+def holdout_walks(walks: DataFrame, per_class: int | Mapping[str, int] = 1, train: float = 0.70, val: float = 0.15, seed: int = config.SEED) -> DataFrame:
+    """Adds split to walks (label, label_id, region_key): of each label so many regions, drawn by hash and all of them if
+    there are fewer, are test with all of their walks; per_class may name labels, and `default` for the others.
+
+    The other regions go to train and val, each region whole: by the label_id that most of its walks have (of equal ones
+    the smallest), or all together where some label_id has one region only."""
+    if "region_key" not in walks.columns:
+        raise ValueError("walks need a region_key")
+    h = draw(F.lit(str(seed)), F.col("region_key"))
+    per = walks.groupBy("label", "region_key").agg(F.count("*").alias("n_walks")).withColumn("h_", h)  # a row for each region
+    if isinstance(per_class, Mapping):
+        named = [F.when(F.col("label") == k, F.lit(v)) for k, v in per_class.items() if k != "default"]
+        most = F.coalesce(*named, F.lit(per_class.get("default", 1)))
+    else:
+        most = F.lit(per_class)
+    k = F.row_number().over(Window.partitionBy("label").orderBy("h_", "region_key"))
+    test = per.withColumn("k_", k).filter(F.col("k_") <= most).select("region_key").distinct()
+    rest = mode_label(walks.join(test, "region_key", "left_anti"), ["region_key"], "label_id").withColumn("h_", h)
+    fewest = rest.groupBy("label_id").agg(F.count("*").alias("c")).agg(F.min("c").alias("fewest"))
+    rest = rest.join(F.broadcast(fewest)).withColumn("stratum", F.when(F.col("fewest") >= 2, F.col("label_id")).otherwise(-1))  # one row
+    stratum = Window.partitionBy("stratum")
+    rest = rest.withColumn("k_", F.row_number().over(stratum.orderBy("h_", "region_key"))).withColumn("n_", F.count("*").over(stratum))
+    upto = F.bround(F.col("n_") * F.lit(val / (train + val)))
+    parts = rest.select("region_key", F.when(F.col("k_") <= upto, "val").otherwise("train").alias("split")).unionByName(test.withColumn("split", F.lit("test")))
+    return walks.join(parts, "region_key")
+
+
+def walk_report(made: DataFrame, capacity: DataFrame, most: int | None = None) -> DataFrame:
     """Per label: target, produced walks, how often they visit a node on average, and what held their number down.
 
-    made (label, got) has the walks accepted in each region."""
+    made (label, got) has the walks accepted in each region; most is the absolute number of walks a class may have. Where
+    fewer walks than the capacity were produced, the first limit that the target equals is named: tissue (the capacity),
+    ratio (the imbalance ceiling), absolute."""
     made = made.groupBy("label").agg(F.sum("got").alias("produced"))
     length = (config.WALK_MIN + config.WALK_MAX) / 2
     both = capacity.join(made, "label", "left").withColumn("produced", F.coalesce("produced", F.lit(0)))
-    reason = F.when(F.col("produced") >= F.col("capacity"), F.lit("none")).when(F.col("target") == F.col("capacity"), "tissue").otherwise("ratio")
-    return both.select("label", "target", "produced", (F.col("produced") * length / F.col("n_nodes")).alias("redundancy"), reason.alias("limited_by"))
+    target = F.col("target") if most is None else F.least("target", F.lit(most))
+    reason = F.when(F.col("produced") >= F.col("capacity"), F.lit("none")).when(target == F.col("capacity"), "tissue").when(target == F.col("target"), "ratio").otherwise("absolute")
+    return both.select("label", target.alias("target"), "produced", (F.col("produced") * length / F.col("n_nodes")).alias("redundancy"), reason.alias("limited_by"))
 
 
 def most_attempts(quota: Column) -> Column:
@@ -155,7 +217,8 @@ def attempts_between(nodes: DataFrame, ranges: DataFrame, seed: str = "attempt")
     name = F.concat_ws(":", region, F.col("attempt").cast("string"))
     tries = tries.withColumn("place", draw(F.lit(seed), name) % F.col("n_nodes"))
     tries = tries.withColumn("length", config.WALK_MIN + draw(F.lit("length"), name) % (config.WALK_MAX - config.WALK_MIN + 1))
-    placed = nodes.select("wsi_id", "label", "root", "node_id", (F.row_number().over(Window.partitionBy("wsi_id", "label", "root").orderBy("node_id")) - 1).cast("long").alias("place"))
+    ranked = rank_by_parts(nodes.select("wsi_id", "label", "root", "node_id"), ["wsi_id", "label", "root"], F.expr(f"node_id div {graph.PART}"), ["node_id"])
+    placed = ranked.select("wsi_id", "label", "root", "node_id", (F.col("k_") - 1).cast("long").alias("place"))
     out = tries.join(placed, ["wsi_id", "label", "root", "place"])
     return out.select("wsi_id", F.abs(F.xxhash64(name)).alias("walk_id"), F.col("node_id").alias("start"), F.col("length").cast("long").alias("length"), "label", "root", "attempt", "quota")
 

@@ -45,10 +45,29 @@ def area(rings: Column) -> Column:
     return ring_area(F.get(rings, F.lit(0))) - F.aggregate(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(1))), F.lit(0.0), lambda a, r: a + ring_area(r))
 
 
-def extract_label(value: Column) -> Column:
-    """The class in an annotation's text: null is background, an object's name (background without), other text is itself."""
+def _is_object(value: Column) -> Column:
+    """Whether text is a JSON object, with single or double quotes."""
     text = F.trim(value)
-    return F.when(value.isNull(), config.BACKGROUND).when(text.startswith("{") & text.endswith("}"), F.coalesce(F.get_json_object(text, "$.name"), F.lit(config.BACKGROUND))).otherwise(value)
+    return text.startswith("{") & text.endswith("}") & F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"}).isNotNull()
+
+
+def extract_label(value: Column) -> Column:
+    """The class in an annotation's text: null is background, an object's name (background without), other text is
+    itself, that in braces that do not parse too."""
+    name = F.coalesce(F.get_json_object(F.trim(value), "$.name"), F.lit(config.BACKGROUND))
+    return F.when(value.isNull(), config.BACKGROUND).when(_is_object(value), name).otherwise(value)
+
+
+def extract_label_for_counts(value: Column) -> Column:
+    """The class as the counts of classes name it: an object's name (unknown without), other text is itself, null is None."""
+    name = F.coalesce(F.get_json_object(F.trim(value), "$.name"), F.lit("unknown"))
+    return F.when(value.isNull(), "None").when(_is_object(value), name).otherwise(value)
+
+
+def outlines(polygons: DataFrame) -> DataFrame:
+    """(wsi_id, poly_id, cls, ring, point, x, y) of each point of each ring."""
+    rings = polygons.select("wsi_id", "poly_id", "cls", F.posexplode("rings").alias("ring", "points"))
+    return rings.select("wsi_id", "poly_id", "cls", "ring", F.posexplode("points").alias("point", "p")).select("wsi_id", "poly_id", "cls", "ring", "point", "p.x", "p.y")
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: int = CELL) -> DataFrame:

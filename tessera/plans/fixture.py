@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def edge_tiles(spark: SparkSession, sf_dir: str) -> int:
+@functools.lru_cache(maxsize=64)
+def _edge_tiles(session: str, spark: SparkSession, sf_dir: str) -> int:
     return math.ceil(math.sqrt(table(spark, sf_dir, "orders").count() / 5))
 
 
+def edge_tiles(spark: SparkSession, sf_dir: str) -> int:
+    """Tiles along a slide's edge; counted once a session."""
+    return _edge_tiles(spark.sparkContext.applicationId, spark, sf_dir)
+
+
 def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(wsi_id, width, height, mpp): every third slide lacks its mpp."""
     side = edge_tiles(spark, sf_dir) * TILE
@@ -71,10 +78,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).withColumn("h", h).select("global_idx", F.col("label_id").cast("long").alias("y_true"), pred.cast("long").alias("y_pred"))
 
 
-def starts(spark: SparkSession, sf_dir: str, every: int, excluded: bool) -> DataFrame:
-    """(wsi_id, walk_id, start, length) of a walk from each so many-th node."""
-    n = labelled(spark, sf_dir).filter(F.col("node_id") % every == 0)
-    n = n if excluded else n.filter(~F.col("label").isin(*config.EXCLUDED))
+def starts(nodes_: DataFrame, excluded: bool) -> DataFrame:
+    """(wsi_id, walk_id, start, length) of a walk from each node, those of excluded labels too or not."""
+    n = nodes_ if excluded else nodes_.filter(~F.col("label").isin(*config.EXCLUDED))
     walk = F.col("wsi_id").cast("long") * 10_000_000 + F.col("node_id")
     length = config.WALK_MIN + draw(F.lit("length"), walk.cast("string")) % (config.WALK_MAX - config.WALK_MIN + 1)
     return n.select("wsi_id", walk.alias("walk_id"), F.col("node_id").alias("start"), length.alias("length"))
@@ -118,18 +124,22 @@ cap0 AS (SELECT label, count(*) AS n_regions, CAST(sum(n_nodes) AS BIGINT) AS n_
 cap AS (SELECT *, least(capacity, min(capacity) OVER () * {config.MAX_IMBALANCE}) AS target FROM cap0)"""
 
 
-def walk_sql(every: int, bounce: bool, same_label: bool) -> str:
-    """CTE walk(wsi_id, walk_id, path): the walks of starts(every) on the graph, step by step."""
+def walk_sql(bounce: bool, same_label: bool, sharp: int = 1) -> str:
+    """CTE walk(wsi_id, walk_id, path): the walks from all nodes on the graph, step by step."""
     same = "WHERE src_label = dst_label" if same_label else ""
-    only = f"AND label NOT IN ({_EXCLUDED})" if same_label else ""
+    only = f"WHERE label NOT IN ({_EXCLUDED})" if same_label else ""
+    weights = f"list_transform(dirs, lambda x: CASE WHEN came IS NULL OR (x - came + 6) % 6 NOT IN (2, 4) THEN 10 ELSE {sharp} END)"
+    if sharp == 0:  # where only sharp turns are left they count in full, or not at all without bounce
+        only_sharp = "list_transform(dirs, lambda x: 1)" if bounce else "list_transform(dirs, lambda x: 0)"
+        weights = f"CASE WHEN list_sum({weights}) > 0 THEN {weights} ELSE {only_sharp} END"
     back = "CASE WHEN came IS NOT NULL AND d[(came + 3) % 6 + 1] IS NOT NULL THEN (came + 3) % 6 END" if bounce else "NULL"
     return f""", adj AS MATERIALIZED (SELECT wsi_id, src, [max(dst) FILTER (WHERE dir = 0), max(dst) FILTER (WHERE dir = 1), max(dst) FILTER (WHERE dir = 2), max(dst) FILTER (WHERE dir = 3), max(dst) FILTER (WHERE dir = 4), max(dst) FILTER (WHERE dir = 5)] AS d FROM e {same} GROUP BY wsi_id, src),
-st AS (SELECT wsi_id, CAST(wsi_id AS BIGINT) * 10000000 + node_id AS walk_id, node_id AS start FROM lab WHERE node_id % {every} = 0 {only}),
+st AS (SELECT wsi_id, CAST(wsi_id AS BIGINT) * 10000000 + node_id AS walk_id, node_id AS start FROM lab {only}),
 stl AS (SELECT *, {config.WALK_MIN} + CAST('0x' || substr(md5('length:' || walk_id), 1, 8) AS BIGINT) % {config.WALK_MAX - config.WALK_MIN + 1} AS length FROM st),
 wk(wsi_id, walk_id, length, step, nd, came, path) AS (SELECT wsi_id, walk_id, length, CAST(1 AS BIGINT), start, CAST(NULL AS INTEGER), [start] FROM stl
     UNION ALL SELECT wsi_id, walk_id, length, step + 1, d[go + 1], go, list_append(path, d[go + 1]) FROM (
         SELECT *, coalesce(dirs[list_position(list_transform(generate_series(1, len(ws)), lambda i: list_sum(ws[1:i]) > h % list_sum(ws)), true)], {back}) AS go FROM (
-        SELECT *, list_transform(dirs, lambda x: CASE WHEN came IS NULL OR (x - came + 6) % 6 NOT IN (1, 5) THEN 10 ELSE 1 END) AS ws FROM (
+        SELECT *, {weights} AS ws FROM (
         SELECT wk.*, adj.d, list_filter([0, 1, 2, 3, 4, 5], lambda x: adj.d[x + 1] IS NOT NULL AND (wk.came IS NULL OR (x - wk.came + 6) % 6 <> 3)) AS dirs,
             CAST('0x' || substr(md5('walk:' || wk.walk_id || ':' || wk.step), 1, 8) AS BIGINT) AS h
         FROM wk JOIN adj ON adj.wsi_id = wk.wsi_id AND adj.src = wk.nd WHERE wk.step < wk.length))) WHERE go IS NOT NULL),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import cut, draw
-from tessera.operators import graph, grid, metrics, spatial
+from tessera.operators import graph, grid, metrics, sequences, spatial, walk_pipeline
 from tessera.plans import fixture as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,22 @@ def tissue_filter(spark, sf):
     return grid.tissue_filter(grid.luma_mask(px, 130), ["tile_key"])
 
 
+@query("""WITH w AS (SELECT CAST(ceil(sqrt(count(*) / 5.0)) AS BIGINT) AS w FROM orders), g AS (SELECT r_regionkey AS wsi_id, c, r, w, 448 * c AS px, 448 * r + CASE WHEN c % 2 = 1 THEN 224 ELSE 0 END AS py
+    FROM region, w, (SELECT unnest(generate_series(3, 3 + least(w - 3, 8) - 1)) AS c FROM w), (SELECT unnest(generate_series(2, w - 1)) AS r FROM w))
+SELECT wsi_id, c, r, px, py, px + 224 AS cx, py + 224 AS cy FROM g WHERE py + 448 <= 448 * w""")
+def grid_window(spark, sf):
+    """Tiles of at most 8 columns from the fourth on, and of the rows from the third on."""
+    return grid.hex_grid(grid.slide_geometry(X.slides(spark, sf), 3, 2, 8, 0), 3, 2)
+
+
+@query(X.BASE + """, b AS (SELECT wsi_id, node_id, CAST(trunc(px / 33.5) AS BIGINT) AS x1, CAST(trunc(py / 33.5) AS BIGINT) AS y1, least(CAST(trunc((px + 448) / 33.5) AS BIGINT), 13 * w - 40) AS x2, least(CAST(trunc((py + 448) / 33.5) AS BIGINT), 13 * w - 40) AS y2 FROM nodes, w)
+SELECT * FROM b WHERE x1 < x2 AND y1 < y2""")
+def thumbnail_window(spark, sf):
+    side = 13 * X.edge_tiles(spark, sf) - 40
+    tiles = X.nodes(spark, sf).withColumn("tile", F.lit(X.TILE))
+    return grid.thumbnail_window(tiles, 33.5, side, side).select("wsi_id", "node_id", "x1", "y1", "x2", "y2")
+
+
 @query(X.BASE + """, p AS (SELECT event_id, CAST(user_id % 5 AS INTEGER) AS wsi_id, CAST(event_id * 37 % (448 * w) AS BIGINT) AS x, CAST(event_id * 91 % (448 * w) AS BIGINT) AS y FROM events, w),
 q AS (SELECT *, x // 448 AS c, CAST(floor((y - CASE WHEN (x // 448) % 2 = 1 THEN 224 ELSE 0 END) / 448.0) AS BIGINT) AS r FROM p)
 SELECT q.event_id, q.wsi_id, q.c, q.r, n.node_id FROM q LEFT JOIN nodes n ON n.wsi_id = q.wsi_id AND n.c = q.c AND n.r = q.r""")
@@ -88,11 +104,38 @@ def label_distribution(spark, sf):
     return X.labelled(spark, sf).groupBy("wsi_id", "label").agg(F.count("*").alias("n_nodes"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'background' WHEN event_id % 4 = 1 THEN event_type WHEN event_id % 4 = 2 THEN 'background' ELSE event_type END AS label FROM events")
+def _raw_labels(spark, sf):
+    """Events with a class as annotation files write it: none, an object with and without a name, a name, and braces that are no object."""
+    k, t = F.col("event_id") % 5, F.col("event_type")
+    raw = F.when(k == 0, F.lit(None)).when(k == 1, F.to_json(F.struct(t.alias("name")))).when(k == 2, F.lit('{"color": 3}')).when(k == 3, t).otherwise(F.concat(F.lit("{"), t, F.lit("}")))
+    return X.table(spark, sf, "events").select("event_id", raw.alias("raw"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 IN (0, 2) THEN 'background' WHEN event_id % 5 = 4 THEN '{' || event_type || '}' ELSE event_type END AS label FROM events")
 def extract_label(spark, sf):
-    k, t = F.col("event_id") % 4, F.col("event_type")
-    raw = F.when(k == 0, F.lit(None)).when(k == 1, F.to_json(F.struct(t.alias("name")))).when(k == 2, F.lit('{"color": 3}')).otherwise(t)
-    return X.table(spark, sf, "events").select("event_id", spatial.extract_label(raw).alias("label"))
+    return _raw_labels(spark, sf).select("event_id", spatial.extract_label(F.col("raw")).alias("label"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'None' WHEN event_id % 5 = 2 THEN 'unknown' WHEN event_id % 5 = 4 THEN '{' || event_type || '}' ELSE event_type END AS label FROM events")
+def extract_label_for_counts(spark, sf):
+    return _raw_labels(spark, sf).select("event_id", spatial.extract_label_for_counts(F.col("raw")).alias("label"))
+
+
+@query(X.BASE + "SELECT label, count(*) AS n_nodes, count(DISTINCT wsi_id) AS n_slides FROM lab GROUP BY label")
+def label_totals(spark, sf):
+    return X.labelled(spark, sf).groupBy("label").agg(F.count("*").alias("n_nodes"), F.countDistinct("wsi_id").alias("n_slides"))
+
+
+@query(X.BASE + "SELECT wsi_id, CAST(poly_id AS BIGINT) AS poly_id, cls, i AS ring_point, x0 + s * CASE WHEN i IN (1, 2) THEN 1 ELSE 0 END AS x, y0 + s * CASE WHEN i IN (2, 3) THEN 1 ELSE 0 END AS y FROM poly, (SELECT unnest(generate_series(0, 3)) AS i)")
+def polygon_outlines(spark, sf):
+    """The points of each ring, for drawing."""
+    return spatial.outlines(X.polygons(spark, sf)).select("wsi_id", F.col("poly_id").cast("long").alias("poly_id"), "cls", F.col("point").cast("long").alias("ring_point"), "x", "y")
+
+
+@query(X.BASE + "SELECT wsi_id, src, dst, src_label, dst_label FROM e WHERE src < dst AND wsi_id = 2")
+def one_slide_graph(spark, sf):
+    """The labelled graph of the slide of that name."""
+    return grid.edges(spark, graph.one_slide(spark, X.labelled(spark, sf), 2))
 
 
 @query(X.BASE + "SELECT wsi_id, count(*) AS n_matched, count(*) FILTER (WHERE k > 1) AS n_overlapping, max(k) AS most FROM (SELECT wsi_id, node_id, count(*) AS k FROM m GROUP BY ALL) GROUP BY wsi_id")
@@ -155,7 +198,7 @@ def drop_label_nodes(spark, sf):
     return graph.drop_label(X.labelled(spark, sf), "background").select("wsi_id", "node_id", "label")
 
 
-@query(X.BASE + "SELECT wsi_id, count(*) AS n, sha256(string_agg(px || '|' || py, ',' ORDER BY global_idx)) AS sha256 FROM idx GROUP BY wsi_id")
+@query(X.BASE + f"SELECT wsi_id, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(sha, ',' ORDER BY chunk)) AS sha256 FROM (SELECT wsi_id, global_idx // {graph.CHUNK} AS chunk, count(*) AS n, sha256(string_agg(px || '|' || py, ',' ORDER BY global_idx)) AS sha FROM idx GROUP BY ALL) GROUP BY wsi_id")
 def index_fingerprint(spark, sf):
     return graph.fingerprint(X.index(spark, sf))
 
@@ -204,36 +247,43 @@ def balanced_alloc(spark, sf):
 # --- walks ------------------------------------------------------------------------------------------------------
 
 
-def _walks(spark, sf, bounce: bool, same: bool, every: int):
-    n = cut(spark, X.labelled(spark, sf), "labelled")
+def _walks(spark, sf, bounce: bool, same: bool, sharp: int = 1, n=None):
+    n = cut(spark, X.labelled(spark, sf), "labelled") if n is None else n
     e = grid.neighbours(spark, n)
     e = e.filter("src_label = dst_label") if same else e
-    return graph.walks(e, X.starts(spark, sf, every, not same), bounce)
+    return graph.walks(e, X.starts(n, not same), bounce, sharp)
 
 
-@query(X.BASE + X.walk_sql(50, False, False) + "SELECT wsi_id, walk_id, array_to_string(path, ',') AS path FROM walk")
+@query(X.BASE + X.walk_sql(False, False) + "SELECT wsi_id, walk_id, array_to_string(path, ',') AS path FROM walk")
 def walk_stop(spark, sf):
-    return _walks(spark, sf, False, False, 50).select("wsi_id", "walk_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    return _walks(spark, sf, False, False).select("wsi_id", "walk_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
-@query(X.BASE + X.walk_sql(20, True, True) + "SELECT wsi_id, walk_id, array_to_string(path, ',') AS path FROM walk")
+@query(X.BASE + X.walk_sql(True, True) + "SELECT wsi_id, walk_id, array_to_string(path, ',') AS path FROM walk")
 def walk_bounce(spark, sf):
-    return _walks(spark, sf, True, True, 20).select("wsi_id", "walk_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    return _walks(spark, sf, True, True).select("wsi_id", "walk_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@query(X.BASE + X.walk_sql(True, True, 0) + "SELECT wsi_id, walk_id, array_to_string(path, ',') AS path FROM walk")
+def walk_bounce_no_sharp(spark, sf):
+    """Bouncing walks whose sharp turns have no weight: they count in full only where nothing else is left."""
+    return _walks(spark, sf, True, True, 0).select("wsi_id", "walk_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
-@query(X.BASE + X.walk_sql(20, True, True) + "SELECT wsi_id, min(walk_id) AS walk_id, len(least(path, list_reverse(path))) AS path_len FROM walk GROUP BY wsi_id, least(path, list_reverse(path))")
+@query(X.BASE + X.walk_sql(True, True) + "SELECT wsi_id, min(walk_id) AS walk_id, len(least(path, list_reverse(path))) AS path_len FROM walk GROUP BY wsi_id, least(path, list_reverse(path))")
 def walk_dedup(spark, sf):
-    w = _walks(spark, sf, True, True, 20).withColumn("canonical", F.least("path", F.reverse("path")))
+    w = _walks(spark, sf, True, True).withColumn("canonical", F.least("path", F.reverse("path")))
     return w.groupBy("wsi_id", "canonical").agg(F.min("walk_id").alias("walk_id")).select("wsi_id", "walk_id", F.size("canonical").cast("long").alias("path_len"))
 
 
-_STEPS = X.walk_sql(50, False, False) + ", sp AS (SELECT wsi_id, walk_id, unnest(path) AS node_id, generate_subscripts(path, 1) AS pos FROM walk), sl AS (SELECT sp.walk_id, pos, idx.* FROM sp JOIN idx ON idx.wsi_id = sp.wsi_id AND idx.node_id = sp.node_id)"
+_STEPS = X.walk_sql(False, False) + ", sp AS (SELECT wsi_id, walk_id, unnest(path) AS node_id, generate_subscripts(path, 1) AS pos FROM walk), sl AS (SELECT sp.walk_id, pos, idx.* FROM sp JOIN idx ON idx.wsi_id = sp.wsi_id AND idx.node_id = sp.node_id)"
 
 
-def _steps(spark, sf, every: int = 50):
-    w = _walks(spark, sf, False, False, every)
+def _steps(spark, sf):
+    n = cut(spark, X.labelled(spark, sf), "labelled")
+    w = _walks(spark, sf, False, False, n=n)
     w = w.select("wsi_id", "walk_id", F.posexplode("path").alias("pos", "node_id"))
-    return w.join(X.index(spark, sf).select("wsi_id", "node_id", "global_idx", "label", "cx", "cy"), ["wsi_id", "node_id"])
+    return w.join(graph.node_index(spark, n).select("wsi_id", "node_id", "global_idx", "label", "cx", "cy"), ["wsi_id", "node_id"])
 
 
 @query(X.BASE + _STEPS + "SELECT walk_id, arg_max(label, (c, -p)) AS label FROM (SELECT walk_id, label, count(*) AS c, min(pos) AS p FROM sl GROUP BY ALL) GROUP BY walk_id")
@@ -254,13 +304,70 @@ def walk_polyline(spark, sf):
     return g.select("walk_id", F.array_join(F.transform("p", lambda s: F.concat_ws(" ", s["cx"].cast("string"), s["cy"].cast("string"))), ",").alias("line"))
 
 
-@query(X.BASE + _STEPS + ", v AS (SELECT vec_id, embedding, count(*) OVER () AS n FROM embeddings) SELECT walk_id, dim, round(avg(CAST(x AS DOUBLE)), 5) AS mean FROM (SELECT walk_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM sl JOIN v ON v.vec_id = sl.global_idx % v.n) GROUP BY ALL")
+@query(X.BASE + _STEPS + ", v AS (SELECT vec_id, embedding, count(*) OVER () AS n FROM embeddings) SELECT walk_id, dim, round(avg(CAST(x AS DOUBLE)), 5) + 0.0 AS mean FROM (SELECT walk_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM sl JOIN v ON v.vec_id = sl.global_idx % v.n) GROUP BY ALL")
 def walk_embedding_mean(spark, sf):
     v = X.table(spark, sf, "embeddings")
     n = v.count()
     s = _steps(spark, sf).withColumn("vec_id", F.col("global_idx") % n).join(v.select("vec_id", "embedding"), "vec_id")
-    s = s.select("walk_id", F.posexplode("embedding").alias("d", "x"))
-    return s.groupBy("walk_id", F.col("d").cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+    return sequences.mean_vectors(s).select("walk_id", "dim", (F.round("value", 5) + F.lit(0.0)).alias("mean"))
+
+
+_HEADED = X.walk_sql(False, False) + """, sp AS (SELECT wsi_id, walk_id, unnest(path) AS node_id, generate_subscripts(path, 1) - 1 AS pos FROM walk),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, count(*) OVER () AS n FROM embeddings),
+hd AS (SELECT walk_id, pos, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM sp JOIN idx ON idx.wsi_id = sp.wsi_id AND idx.node_id = sp.node_id JOIN v ON v.vec_id = idx.global_idx % v.n),
+both_ AS (SELECT walk_id, dim, max(x) FILTER (WHERE pos = 0) AS cls, coalesce(avg(x) FILTER (WHERE pos > 0), 0) AS mean FROM hd GROUP BY ALL)"""
+
+
+def _headed(spark, sf):
+    """Steps of walks with embeddings; the first node stands in for the head token."""
+    v = X.table(spark, sf, "embeddings")
+    n = v.count()
+    return _steps(spark, sf).withColumn("vec_id", F.col("global_idx") % n).join(v.select("vec_id", "embedding"), "vec_id").select("walk_id", "pos", "embedding")
+
+
+@query(X.BASE + _HEADED + "SELECT walk_id, dim, round(cls, 5) + 0.0 AS value FROM both_ UNION ALL SELECT walk_id, dim + 64, round(mean, 5) + 0.0 FROM both_")
+def pool_concat(spark, sf):
+    return sequences.pool(_headed(spark, sf), "concat").withColumn("value", F.round("value", 5) + F.lit(0.0))
+
+
+@query(X.BASE + _HEADED + "SELECT walk_id, dim, round(cls, 5) + 0.0 AS value FROM both_")
+def pool_cls(spark, sf):
+    return sequences.pool(_headed(spark, sf), "cls").withColumn("value", F.round("value", 5) + F.lit(0.0))
+
+
+@query(X.BASE + X.walk_sql(False, False) + "SELECT walk_id, array_to_string(list_transform(generate_series(0, 40), lambda i: CASE WHEN i < len(path) + 1 THEN 1 ELSE 0 END), '') AS mask FROM walk")
+def valid_mask(spark, sf):
+    mask = sequences.valid_mask(F.size("path"), F.lit(config.WALK_MAX))
+    return _walks(spark, sf, False, False).select("walk_id", F.array_join(F.transform(mask, lambda x: x.cast("int").cast("string")), "").alias("mask"))
+
+
+@query(X.BASE + X.walk_sql(False, False) + "SELECT walk_id, array_to_string(path, ',') AS path FROM walk ORDER BY substr(md5('42:' || walk_id), 1, 8), walk_id LIMIT 300")
+def walk_sample(spark, sf):
+    """At most 300 walks for a picture."""
+    w = _walks(spark, sf, False, False)
+    return w.orderBy(draw(F.lit(str(config.SEED)), F.col("walk_id").cast("string")), "walk_id").limit(300).select("walk_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@query(None)
+def walks_per_slide(spark, sf):
+    """Fifty walks of each slide, over nodes of all labels."""
+    return walk_pipeline.slide_walks(spark, cut(spark, X.labelled(spark, sf), "labelled")).select("wsi_id", "attempt", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+def _numbered(walks):
+    return walks.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+
+
+@query(None)
+def walk_pipeline_balanced(spark, sf):
+    """The whole pipeline: balanced walks, split by walks of each label."""
+    return _numbered(walk_pipeline.run(spark, X.labelled(spark, sf)))
+
+
+@query(None)
+def walk_pipeline_holdout(spark, sf):
+    """The whole pipeline: thirty walks a region, split by whole regions."""
+    return _numbered(walk_pipeline.run(spark, X.labelled(spark, sf), balanced=False, holdout={"default": 1, "SOLIDE": 2}))
 
 
 # --- splits and samples -----------------------------------------------------------------------------------------
@@ -290,6 +397,48 @@ def resume_antijoin(spark, sf):
     return i.join(done, "global_idx", "left_anti").groupBy("wsi_id").agg(F.count("*").alias("todo"))
 
 
+_KEYED = X.REGIONS + """, hold AS (SELECT lab.node_id, lab.wsi_id, reg.label, ids.label_id, reg.wsi_id || '__' || reg.label || '__' || reg.component_id AS region_key
+    FROM reg JOIN cc ON cc.root = reg.wsi_id * 10000000 + reg.root JOIN lab ON lab.wsi_id * 10000000 + lab.node_id = cc.id JOIN ids ON ids.label = reg.label)"""
+
+
+def _keyed(spark, sf):
+    """Nodes of regions in the role of walks: one from each."""
+    found = cut(spark, graph.regions(spark, X.labelled(spark, sf)), "regions")
+    key = F.concat_ws("__", F.col("wsi_id").cast("string"), "label", F.col("component_id").cast("string"))
+    regions = graph.region_sizes(found).withColumn("region_key", key).select("wsi_id", "label", "root", "region_key")
+    ids = spark.createDataFrame(list(config.LABELS.items()), "label string, label_id int")
+    return found.join(regions, ["wsi_id", "label", "root"]).join(F.broadcast(ids), "label").select("wsi_id", "node_id", "label", "label_id", "region_key")
+
+
+@query(X.BASE + _KEYED + f""", pr AS (SELECT label, region_key, any_value(label_id) AS label_id, substr(md5('42:' || region_key), 1, 8) AS h FROM hold GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, region_key) AS k FROM pr),
+rest AS (SELECT * FROM rk WHERE k > CASE WHEN label = 'SOLIDE' THEN 2 ELSE 1 END),
+fw AS (SELECT min(c) AS fewest FROM (SELECT count(*) AS c FROM rest GROUP BY label_id)),
+st AS (SELECT region_key, h, CASE WHEN fewest >= 2 THEN label_id ELSE -1 END AS s FROM rest, fw),
+tv AS (SELECT region_key, CASE WHEN row_number() OVER (PARTITION BY s ORDER BY h, region_key) <= round_even(count(*) OVER (PARTITION BY s) * CAST({0.15 / (0.70 + 0.15)!r} AS DOUBLE), 0) THEN 'val' ELSE 'train' END AS split FROM st)
+SELECT hold.wsi_id, hold.node_id, hold.region_key, coalesce(tv.split, 'test') AS split FROM hold LEFT JOIN tv ON tv.region_key = hold.region_key""")
+def holdout_walks(spark, sf):
+    return sequences.holdout_walks(_keyed(spark, sf), {"default": 1, "SOLIDE": 2}).select("wsi_id", "node_id", "region_key", "split")
+
+
+@query(X.BASE + _KEYED + "SELECT region_key, label, count(*) AS n_walks FROM hold GROUP BY ALL")
+def walks_per_region(spark, sf):
+    return _keyed(spark, sf).groupBy("region_key", "label").agg(F.count("*").alias("n_walks"))
+
+
+@query(X.BASE + """, s AS (SELECT label_id, label, row_number() OVER (PARTITION BY label ORDER BY substr(md5('42:' || global_idx), 1, 8), global_idx) AS k, count(*) OVER (PARTITION BY label) AS n FROM idx)
+SELECT split, string_agg(label_id, ',' ORDER BY label_id) AS classes FROM (SELECT DISTINCT label_id, CASE WHEN k <= round_even(n * CAST(0.15000000000000005 AS DOUBLE), 0) THEN 'test' WHEN k <= round_even(n * CAST(0.30000000000000004 AS DOUBLE), 0) THEN 'val' ELSE 'train' END AS split FROM s) GROUP BY split""")
+def split_classes(spark, sf):
+    parts = metrics.stratified_split(X.index(spark, sf).select("global_idx", "label", "label_id"), "global_idx", "label")
+    return parts.groupBy("split").agg(F.array_join(F.array_sort(F.collect_set("label_id")).cast("array<string>"), ",").alias("classes"))  # classes, of which there are few
+
+
+@query(X.BASE + "SELECT wsi_id, count(*) AS n, avg(CASE WHEN global_idx % 3 = 0 THEN 1.0 ELSE 0.0 END) AS done_share FROM idx GROUP BY wsi_id")
+def completion_ratio(spark, sf):
+    done = (F.col("global_idx") % 3 == 0).cast("double")
+    return X.index(spark, sf).groupBy("wsi_id").agg(F.count("*").alias("n"), F.avg(done).alias("done_share"))
+
+
 # --- metrics ----------------------------------------------------------------------------------------------------
 
 
@@ -308,6 +457,12 @@ def eval_metrics(spark, sf):
     return metrics.eval_metrics(X.predictions(spark, sf)).select("n", *(F.round(c, 6).alias(c) for c in ("accuracy", "f1_weighted", "f1_macro", "balanced_accuracy")))
 
 
+@query(X.BASE + X.REPORT + """SELECT 'macro' AS average, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, CAST(sum(support) AS BIGINT) AS support FROM rep
+UNION ALL SELECT 'weighted', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM rep""")
+def report_averages(spark, sf):
+    return metrics.report_averages(X.predictions(spark, sf)).select("average", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
 @query(X.BASE + X.PRED + "SELECT y_pred, count(*) AS n FROM pred GROUP BY y_pred")
 def prediction_distribution(spark, sf):
     return X.predictions(spark, sf).groupBy("y_pred").agg(F.count("*").alias("n"))
@@ -328,6 +483,25 @@ def embedding_norms(spark, sf):
     return X.table(spark, sf, "embeddings").select("vec_id", F.round(metrics.norm(F.col("embedding")), 5).alias("norm"))
 
 
+_NORMS = "SELECT count(*) AS n, round(avg(x), 5) AS mean, round(min(x), 5) AS least, round(max(x), 5) AS most, round(stddev_pop(x), 5) AS deviation, avg(CASE WHEN x = 0 THEN 1.0 ELSE 0.0 END) AS zero_share FROM (SELECT sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS x FROM {})"
+
+
+def _rounded_norms(v):
+    got = metrics.norm_statistics(v, "embedding")
+    return got.select("n", *(F.round(c, 5).alias(c) for c in ("mean", "least", "most", "deviation")), "zero_share")
+
+
+@query(_NORMS.format("embeddings"))
+def norm_statistics(spark, sf):
+    return _rounded_norms(X.table(spark, sf, "embeddings"))
+
+
+@query(X.BASE + _NORMS.format("idx JOIN embeddings v ON v.vec_id = idx.global_idx"))
+def alignment_norms(spark, sf):
+    """Norms of the embeddings that nodes of the index have."""
+    return _rounded_norms(X.index(spark, sf).join(X.table(spark, sf, "embeddings"), F.col("global_idx") == F.col("vec_id")))
+
+
 @query(X.BASE + "SELECT count(*) AS n_nodes, count(v.vec_id) AS n_found, min(len(v.embedding)) AS least_dim, max(len(v.embedding)) AS most_dim FROM idx LEFT JOIN embeddings v ON v.vec_id = idx.global_idx")
 def embedding_alignment(spark, sf):
     both = X.index(spark, sf).join(X.table(spark, sf, "embeddings"), F.col("global_idx") == F.col("vec_id"), "left")
@@ -347,13 +521,43 @@ def layer_norm(spark, sf):
     return z.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("z", 4).alias("z"))
 
 
-@query("""WITH h AS (SELECT CAST(event_id AS BIGINT) AS epoch, round(CAST('0x' || substr(md5('h:' || event_id), 1, 8) AS BIGINT) / 4294967296.0, 6) AS va_f1m FROM events WHERE event_id BETWEEN 1 AND 30),
-b AS (SELECT *, coalesce(max(va_f1m) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS best FROM h),
-l AS (SELECT epoch, va_f1m, va_f1m > best AS improved, epoch - coalesce(max(CASE WHEN va_f1m > best THEN epoch END) OVER (ORDER BY epoch), 0) AS bad FROM b)
-SELECT * FROM l WHERE epoch <= coalesce((SELECT min(epoch) FROM l WHERE bad >= 5), 30)""")
+_HISTORY = "h AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS epoch, round(CAST('0x' || substr(md5('h:' || event_id), 1, 8) AS BIGINT) / 4294967296.0, 6) AS va_f1m FROM events)"
+
+
+def _history(spark, sf):
+    """A history for each user: an epoch for each event."""
+    epoch = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    return X.table(spark, sf, "events").select("user_id", epoch.alias("epoch"), F.round(draw(F.lit("h"), F.col("event_id").cast("string")) / 4294967296, 6).alias("va_f1m"))
+
+
+@query("WITH " + _HISTORY + """,
+b AS (SELECT *, coalesce(max(va_f1m) OVER (PARTITION BY user_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS best FROM h),
+l AS (SELECT user_id, epoch, va_f1m, va_f1m > best AS improved, epoch - coalesce(max(CASE WHEN va_f1m > best THEN epoch END) OVER (PARTITION BY user_id ORDER BY epoch), 0) AS bad FROM b),
+s AS (SELECT user_id, min(epoch) AS stop FROM l WHERE bad >= 5 GROUP BY user_id)
+SELECT l.* FROM l LEFT JOIN s ON s.user_id IS NOT DISTINCT FROM l.user_id WHERE stop IS NULL OR epoch <= stop""")
 def early_stopping(spark, sf):
-    e = X.table(spark, sf, "events").filter("event_id BETWEEN 1 AND 30")
-    return metrics.early_stopping(e.select(F.col("event_id").alias("epoch"), F.round(draw(F.lit("h"), F.col("event_id").cast("string")) / 4294967296, 6).alias("va_f1m")))
+    return metrics.early_stopping(_history(spark, sf), runs=("user_id",))
+
+
+@query("WITH RECURSIVE " + _HISTORY + """,
+p(user_id, epoch, loss, lr, best, bad, next) AS (SELECT user_id, epoch, va_f1m, CAST(0.0002 AS DOUBLE), va_f1m, 0, CAST(0.0002 AS DOUBLE) FROM h WHERE epoch = 1
+    UNION ALL SELECT h.user_id, h.epoch, h.va_f1m, p.next, CASE WHEN h.va_f1m < p.best * (1 - 1e-4) THEN h.va_f1m ELSE p.best END,
+    CASE WHEN h.va_f1m < p.best * (1 - 1e-4) OR p.bad = 3 THEN 0 ELSE p.bad + 1 END, CASE WHEN h.va_f1m >= p.best * (1 - 1e-4) AND p.bad = 3 THEN p.next * 0.5 ELSE p.next END
+    FROM p JOIN h ON h.user_id = p.user_id AND h.epoch = p.epoch + 1)
+SELECT user_id, epoch, round(lr * 1000000, 6) AS micro_lr FROM p""")
+def lr_schedule_plateau(spark, sf):
+    h = _history(spark, sf).withColumnRenamed("va_f1m", "loss")
+    return metrics.plateau_schedule(h, runs=("user_id",)).select("user_id", "epoch", F.round(F.col("lr") * 1000000, 6).alias("micro_lr"))
+
+
+@query("SELECT epoch, round(CAST(0.000001 AS DOUBLE) + (CAST(0.0002 AS DOUBLE) - CAST(0.000001 AS DOUBLE)) * (1 + cos(pi() * CASE WHEN epoch <= 10 THEN (epoch - 1) / 10 ELSE (epoch - 11) / 20 END)) / 2, 10) AS lr FROM (SELECT unnest(generate_series(1, 30)) AS epoch)")
+def lr_schedule_restart(spark, sf):
+    return metrics.schedule(spark, "cosine_restart", 30, period=10, growth=2).withColumn("lr", F.round("lr", 10))
+
+
+@query("SELECT epoch, CASE WHEN epoch > 4 THEN 2 ELSE 1 END AS phase, round((CAST(0.000001 AS DOUBLE) + (CAST(0.0002 AS DOUBLE) - CAST(0.000001 AS DOUBLE)) * (1 + cos(pi() * (epoch - 1) / 30)) / 2) * CASE WHEN epoch > 4 THEN 0.1 ELSE 1 END, 10) AS lr FROM (SELECT unnest(generate_series(1, 30)) AS epoch)")
+def two_phases(spark, sf):
+    return metrics.two_phases(metrics.schedule(spark, "cosine", 30), 4).withColumn("lr", F.round("lr", 10))
 
 
 @query("SELECT vec_id, CASE WHEN b < 1.5 / 10 THEN 'fail' WHEN b > 0.45 THEN 'separable' ELSE 'intermediate' END AS verdict FROM (SELECT vec_id, (vec_id % 100) / 100.0 AS b FROM embeddings)")

@@ -49,24 +49,24 @@ def geojson_parse(spark, sf):
     return got.select("poly_id", "cls", F.round("area", 3).alias("area"), F.size(F.flatten("rings")).cast("long").alias("n_points"))
 
 
-@query(X.BASE + X.walk_sql(50, False, False) + "SELECT wsi_id, walk_id, array_to_string(path, ',') AS path FROM walk")
+@query(X.BASE + X.walk_sql(False, False) + "SELECT wsi_id, walk_id, array_to_string(path, ',') AS path FROM walk")
 def walk_roundtrip(spark, sf):
     path = shared_path(spark, "walks")
-    store.save_walks(_walks(spark, sf, False, False, 50).select("wsi_id", "walk_id", "path"), path)
+    store.save_walks(_walks(spark, sf, False, False).select("wsi_id", "walk_id", "path"), path)
     return store.load_walks(spark, path).select("wsi_id", "walk_id", _text("path"))
 
 
 # --- sequences --------------------------------------------------------------------------------------------------
 
 
-@query(X.BASE + X.walk_sql(50, False, False) + "SELECT walk_id, false AS reversed, array_to_string(path, ',') AS path FROM walk UNION ALL SELECT walk_id, true, array_to_string(list_reverse(path), ',') FROM walk")
+@query(X.BASE + X.walk_sql(False, False) + "SELECT walk_id, false AS reversed, array_to_string(path, ',') AS path FROM walk UNION ALL SELECT walk_id, true, array_to_string(list_reverse(path), ',') FROM walk")
 def reverse_augment(spark, sf):
-    return sequences.reverse_augment(_walks(spark, sf, False, False, 50).select("walk_id", "path")).select("walk_id", "reversed", _text("path"))
+    return sequences.reverse_augment(_walks(spark, sf, False, False).select("walk_id", "path")).select("walk_id", "reversed", _text("path"))
 
 
-@query(X.BASE + X.walk_sql(50, False, False) + "SELECT walk_id, CAST(len(path) AS BIGINT) AS length, array_to_string(list_resize(path, max(len(path)) OVER (PARTITION BY walk_id // 1600), 0), ',') AS path FROM walk")
+@query(X.BASE + X.walk_sql(False, False) + "SELECT walk_id, CAST(len(path) AS BIGINT) AS length, array_to_string(list_resize(path, max(len(path)) OVER (PARTITION BY walk_id // 1600), 0), ',') AS path FROM walk")
 def pad_sequences(spark, sf):
-    w = _walks(spark, sf, False, False, 50).select("walk_id", "path").withColumn("batch", F.expr("walk_id div 1600"))
+    w = _walks(spark, sf, False, False).select("walk_id", "path").withColumn("batch", F.expr("walk_id div 1600"))
     return sequences.pad_sequences(w, "batch").select("walk_id", "length", _text("path"))
 
 
@@ -78,11 +78,21 @@ def linspace_sample(spark, sf):
 @query("""SELECT l_orderkey, l_linenumber, round((l_quantity * 5 / 255 - 0.485) / 0.229, 6) AS red, round((l_partkey % 256 / 255.0 - 0.456) / 0.224, 6) AS green, round((l_linenumber * 36 / 255.0 - 0.406) / 0.225, 6) AS blue
 FROM (SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_partkey AS DOUBLE) AS l_partkey FROM lineitem)""")
 def channel_normalize(spark, sf):
+    return _channels(spark, sf, "photographs")
+
+
+def _channels(spark, sf, kind):
     cols = (F.col("l_quantity") * 5, F.col("l_partkey") % 256, F.col("l_linenumber") * 36)
-    named = zip(sequences.channel_normalize(cols), ("red", "green", "blue"), strict=True)
+    named = zip(sequences.channel_normalize(cols, kind), ("red", "green", "blue"), strict=True)
     return X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(c, 6).alias(n) for c, n in named))
 
 
+@query("""SELECT l_orderkey, l_linenumber, round((l_quantity * 5 / 255 - 0.707223) / 0.211883, 6) AS red, round((l_partkey % 256 / 255.0 - 0.578729) / 0.230117, 6) AS green, round((l_linenumber * 36 / 255.0 - 0.703617) / 0.177517, 6) AS blue
+FROM (SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_partkey AS DOUBLE) AS l_partkey FROM lineitem)""")
+def channel_normalize_tissue(spark, sf):
+    return _channels(spark, sf, "tissue")
+
+
 @query(None)
 def fp16_quantize(spark, sf):
     return X.table(spark, sf, "embeddings").select("vec_id", sequences.to_half("embedding").alias("embedding"))
@@ -101,12 +111,12 @@ _HIDDEN = [[0.1] * 64, [0.05 if i % 2 == 0 else -0.05 for i in range(64)]]
 
 @query(X.BASE + _STEPS + """, v AS (SELECT vec_id, embedding, count(*) OVER () AS n, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 a AS (SELECT walk_id, e, exp(0.7 * tanh(list_sum(list_transform(e, lambda x: 0.1 * x))) - 0.3 * tanh(list_sum(list_transform(e, lambda x, i: CASE WHEN i % 2 = 1 THEN 0.05 * x ELSE -0.05 * x END)))) AS w FROM sl JOIN v ON v.vec_id = sl.global_idx % v.n)
-SELECT walk_id, dim, round(sum(w * x) / sum(w), 5) AS value FROM (SELECT walk_id, w, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM a) GROUP BY ALL""")
+SELECT walk_id, dim, round(sum(w * x) / sum(w), 5) + 0.0 AS value FROM (SELECT walk_id, w, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM a) GROUP BY ALL""")
 def attention_pool(spark, sf):
     v = X.table(spark, sf, "embeddings")
     n = v.count()
     s = _steps(spark, sf).withColumn("vec_id", F.col("global_idx") % n).join(v.select("vec_id", "embedding"), "vec_id")
-    return sequences.attention_pool(s, _HIDDEN, [0.7, -0.3]).withColumn("value", F.round("value", 5))
+    return sequences.attention_pool(s, _HIDDEN, [0.7, -0.3]).withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 @query("SELECT vec_id, CAST(list_position(e, list_max(e)) - 1 AS BIGINT) AS best, round(1 / list_sum(list_transform(e, lambda x: exp(x - list_max(e)))), 6) AS p FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)")
@@ -154,7 +164,7 @@ def region_holdout(spark, sf):
 rk AS (SELECT global_idx, label, substr(md5('42:' || global_idx), 1, 8) AS h, row_number() OVER (PARTITION BY label ORDER BY substr(md5('42:' || global_idx), 1, 8), global_idx) AS r FROM idx)
 SELECT global_idx, label FROM rk, k ORDER BY r > share, h, global_idx LIMIT 32""")
 def overfit_subset(spark, sf):
-    return sequences.overfit_subset(X.index(spark, sf).select("global_idx", "label"), "global_idx", "label", 32)
+    return metrics.overfit_subset(X.index(spark, sf).select("global_idx", "label"), "global_idx", "label", 32)
 
 
 @query(None)
@@ -214,7 +224,7 @@ def walk_classifier(spark, sf):
     those of the nodes that walks start from."""
     v = X.table(spark, sf, "embeddings")
     n = v.count()
-    s = _steps(spark, sf, 1).withColumn("vec_id", F.col("global_idx") % n).join(v.select("vec_id", "embedding"), "vec_id")
+    s = _steps(spark, sf).withColumn("vec_id", F.col("global_idx") % n).join(v.select("vec_id", "embedding"), "vec_id")
     x = array_to_vector(F.col("embedding").cast("array<double>"))
     # Dealt by walk first, as a sum for each walk and task is larger than a step's vector.
     s = s.select("walk_id", "pos", "label", "embedding").repartition("walk_id")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import config
 from tessera.operators import spatial
 
 _FEATURES = "features array<struct<properties: struct<classification: string>, geometry: struct<type: string, coordinates: string>>>"
@@ -28,14 +31,14 @@ def pair_files(paths: DataFrame, raster: str = ".svs", annotation: str = ".geojs
     return rasters.join(annots, "wsi_id"), rasters.join(annots, "wsi_id", "left_anti").select("wsi_id")
 
 
-def parse_features(collections: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, feature, cls, rings, area) of each Polygon or MultiPolygon in the GeoJSON texts. Text that is no feature
+def parse_features(collections: DataFrame, key: str, text: str, name: Callable[[Column], Column] = spatial.extract_label) -> DataFrame:
+    """(key, feature, cls, rings, area), cls by that rule of names, of each Polygon or MultiPolygon in the GeoJSON texts. Text that is no feature
     collection, and features of another kind, give no rows. Rings of all parts stand in one list; area counts holes off."""
     parsed = collections.select(key, F.from_json(F.col(text), _FEATURES).alias("j"))
     flat = parsed.select(key, F.posexplode("j.features").alias("feature", "f"))
     kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     parts = F.when(kind == "Polygon", F.array(F.from_json(raw, _POLYGON))).when(kind == "MultiPolygon", F.from_json(raw, f"array<{_POLYGON}>"))
-    flat = flat.select(key, "feature", spatial.extract_label(F.col("f.properties.classification")).alias("cls"), parts.alias("parts")).filter("parts IS NOT NULL AND parts[0] IS NOT NULL")
+    flat = flat.select(key, "feature", name(F.col("f.properties.classification")).alias("cls"), parts.alias("parts")).filter("parts IS NOT NULL AND parts[0] IS NOT NULL")
 
     def ring(points: Column) -> Column:
         return F.transform(points, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
@@ -49,3 +52,23 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """parse_features of the files under path, keyed by file."""
     texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
     return parse_features(texts, "file", "value")
+
+
+def class_counts(spark: SparkSession, folder: str, out: str | None = None, patch: int = config.PATCH) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
+    """(global, per slide) counts of the annotation files right in the folder, or (None, None) if there are none: polygons
+    and their area in patches, by class and by slide and class, and the classes' share of all patches in percent.
+
+    Unlike pair_files, the ending has to be in small letters. With out, both are written there as CSV."""
+    paths = list_files(spark, folder).filter(F.col("path").endswith(".geojson") & ~F.lower(F.element_at(F.split("path", "/"), -1)).contains("pred"))
+    names = [r.path for r in paths.collect()]  # files
+    if not names:
+        return None, None
+    texts = spark.read.text(names, wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[^.]*$", "").alias("slide"), F.col("value"))
+    each = parse_features(texts, "slide", "value", spatial.extract_label_for_counts).select("slide", F.col("cls").alias("class"), (F.col("area") / patch**2).alias("patches"))
+    per_slide = each.groupBy("slide", "class").agg(F.count("*").alias("polygons"), F.sum("patches").alias("patches"))
+    whole = each.groupBy("class").agg(F.count("*").alias("polygons"), F.sum("patches").alias("patches"))
+    whole = whole.withColumn("pct", 100 * F.col("patches") / F.sum("patches").over(Window.partitionBy()))  # a row for each class
+    if out:
+        for name, df in (("class_balance_global", whole), ("class_balance_per_slide", per_slide)):
+            df.write.mode("overwrite").option("header", "true").csv(f"{out.rstrip('/')}/{name}")
+    return whole, per_slide
