@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 8 << 20
+#: Text that a Python worker holds arrays of at a time; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 20
 #: Input for each task of a shuffle, at most.
 TASK_BYTES = 64 << 20
 #: The separators of words: space and U+0009 to U+000D.
@@ -83,12 +85,17 @@ def tasks(spark: SparkSession, size: int = 0) -> int:
 # --- text columns as byte buffers -------------------------------------------------------------------------------
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches re-cut so that the named text column has at most limit bytes, one row at least; nulls become ''."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, as_given: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches re-cut so that the named text column has at most limit bytes, one row at least; nulls become ''.
+
+    as_given names a further column with the text as it came, nulls included; it shares the buffers of the batch."""
     for batch in batches:
         i = batch.schema.get_field_index(column)
-        text = pc.fill_null(batch.column(i), "").cast(pa.large_string())
+        given = batch.column(i)
+        text = pc.fill_null(given, "").cast(pa.large_string())
         batch = batch.set_column(i, column, text)
+        if as_given:
+            batch = batch.append_column(as_given, given)
         if not batch.num_rows:
             continue
         ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
@@ -97,6 +104,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that the worker's allocators hold unused: idle workers stay, beside those of other stages and the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def utf8(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ are one shingle as a whole. Sets are arrays of 64-bit hashes.
 
 1. ``profile``: per document the size of its set, a fingerprint of it (copies share it, and are one node from here on)
    and a bitmap of hashed shingles, twice as many bits as shingles; besides, how frequent shingles are, in a table of
-   fixed size.
+   fixed size. A set's text is found again by a hash of one of its rows' doc_id and text, so null ids do no harm.
 2. ``keys``: the n - ceil(0.75 n) + 1 shingles of a set that come first when rare ones precede frequent ones. Linked
    sets have one of them in common.
 3. ``members``: the sets of each key, in order of size, with the first of them as the key's centre.
@@ -19,8 +19,10 @@ are one shingle as a whole. Sets are arrays of 64-bit hashes.
 A test has two parts: bits that only one bitmap has are shingles that the other set lacks, which bounds the overlap
 from above; what passes is decided by intersecting the sorted arrays. Pairs within a component are left out.
 
-Null, empty and wordless texts have 0 shingles, link with nothing and are their own component. Rows are neither
-merged nor dropped; of rows with a null doc_id the component is null, if no other document is in it.
+Null, empty and wordless texts have 0 shingles, link with nothing and are their own component. Very long texts are
+taken whole, each in one worker. Rows are neither merged nor dropped, and repeated rows share a set. Rows of a null
+doc_id link like others, but give a component no name: it is null where no other document is in it. Other columns are
+ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -54,6 +56,11 @@ def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     return common.shingle_sets(common.LOWER[buf], off, WORDS)
 
 
+def _row_key() -> Column:
+    """Tells rows apart, but for repeated ones; whether a row has the set that is looked for is told by the set."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _fingerprint(s: np.ndarray) -> int:
     return int(common.mix(np.array([common.mix(s ^ _SALT).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
@@ -88,26 +95,26 @@ def _possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
 
 
 def profile(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """(doc_id, n, set_id), (set_id, n, bits, first_id) and the levels of the frequency table."""
+    """(doc_id, row_key, n, set_id), (set_id, n, bits, first_key) and the levels of the frequency table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << TABLE_BITS, np.uint32)
-        names = ["doc_id", "n", "set_id", "bits", "chunk", "counts"]
+        names = ["doc_id", "row_key", "n", "set_id", "bits", "chunk", "counts"]
         kind = None
-        for batch in common.slices(batches, limit=4 << 20):
+        for batch in common.slices(batches):
             sets = _sets(batch)
             kind, none = batch.schema.field("doc_id").type, pa.nulls(len(sets))
             if len(flat := np.concatenate(sets)):
                 counts += np.bincount(flat >> np.uint64(64 - TABLE_BITS), minlength=len(counts)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())],
+                [batch.column("doc_id"), batch.column("row_key"), pa.array([len(s) for s in sets], pa.int32()), pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())],
                 names=names,
             )
         if kind is not None:
             parts = counts.reshape(-1, 1 << CHUNK_BITS)
             none = pa.nulls(len(parts))
             yield pa.RecordBatch.from_arrays(
-                [none.cast(kind), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
+                [none.cast(kind), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
                 names=names,
             )
 
@@ -121,16 +128,16 @@ def profile(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, set_id long, bits binary, chunk int, counts binary")
+    both = docs.select("doc_id", _row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key long, n int, set_id long, bits binary, chunk int, counts binary")
     both = common.cut(spark, both, "profile")
-    profiles = both.filter("chunk IS NULL").select("doc_id", "n", "set_id", "bits")
+    profiles = both.filter("chunk IS NULL").select("doc_id", "row_key", "n", "set_id", "bits")
     chunks = both.filter("chunk IS NOT NULL").select("chunk", "counts").repartition(1 << (TABLE_BITS - CHUNK_BITS), "chunk")
     total = np.zeros((1 << (TABLE_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int64)
     for row in chunks.mapInArrow(add, "chunk int, counts binary").collect():  # the table, of fixed size
         total[row.chunk] = np.frombuffer(zlib.decompress(row.counts), np.int64)
     level = np.log2(np.maximum(total.ravel() / max(64.0, total.mean()), 1)).astype(np.uint8)
-    sets = profiles.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("first_id"))
-    return profiles.select("doc_id", "n", "set_id"), common.cut(spark, sets, "sets"), level
+    sets = profiles.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("row_key").alias("first_key"))
+    return profiles.select("doc_id", "row_key", "n", "set_id"), common.cut(spark, sets, "sets"), level
 
 
 # --- 2 and 3: keys, and the sets that share them ----------------------------------------------------------------
@@ -141,7 +148,7 @@ def members(spark: SparkSession, docs: DataFrame, level: np.ndarray) -> DataFram
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies in one task send their keys once
-        for batch in common.slices(batches, limit=4 << 20):
+        for batch in common.slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for s in _sets(batch):
                 n = len(s)
@@ -181,7 +188,8 @@ def members(spark: SparkSession, docs: DataFrame, level: np.ndarray) -> DataFram
             last, centre = (key[-1], part[-1]), (int(c_n[-1]), int(c_set[-1]))
 
     keyed = docs.select("text").mapInArrow(keys, "key long, part int, n int, set_id long")
-    keyed = keyed.repartition(common.tasks(spark), "key", "part").sortWithinPartitions("key", "part", "n", "set_id")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a key is as long as a word, and a quarter of them are sent
+    keyed = keyed.repartition(common.tasks(spark, size), "key", "part").sortWithinPartitions("key", "part", "n", "set_id")
     return common.cut(spark, keyed.mapInArrow(groups, "key long, set_id long, n int, centre long, hot boolean"), "members")
 
 
@@ -189,17 +197,17 @@ def members(spark: SparkSession, docs: DataFrame, level: np.ndarray) -> DataFram
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, hashes) of the wanted sets (set_id, first_id), each from one document."""
+    """(set_id, hashes) of the wanted sets (set_id, first_key), each from one document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, limit=4 << 20):
+        for batch in common.slices(batches):
             sets = _sets(batch)
             marks = [_fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(marks), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "hashes"]
             ).filter(pa.array(np.array(marks) == batch.column("wanted").to_numpy()))
 
-    chosen = docs.select("doc_id", "text").join(wanted.select(F.col("first_id").alias("doc_id"), F.col("set_id").alias("wanted")), "doc_id")
+    chosen = docs.select(_row_key().alias("row_key"), "text").join(wanted.select(F.col("first_key").alias("row_key"), F.col("set_id").alias("wanted")), "row_key")
     found = chosen.select("text", "wanted").mapInArrow(run, "set_id long, hashes binary")
     return found.dropDuplicates(["set_id"])
 
@@ -257,7 +265,7 @@ class Linker:
         pairs = common.cut(self.spark, pairs, "candidates")
         if pairs.isEmpty():
             return
-        wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(self.sets.select("set_id", "first_id"), "set_id")
+        wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(self.sets.select("set_id", "first_key"), "set_id")
         arrays = common.cut(self.spark, _arrays(self.docs, wanted), "arrays")
         both = pairs.join(arrays.select(F.col("set_id").alias("b"), F.col("hashes").alias("right")), "b")
         both = both.join(arrays.select(F.col("set_id").alias("a"), F.col("hashes").alias("left")), "a").select("a", "b", "left", "right")
@@ -295,49 +303,63 @@ def hubs(owned: DataFrame, turn: int) -> DataFrame:
 # --- 5: tiles ---------------------------------------------------------------------------------------------------
 
 
+def _tile_pairs(key: int, own: np.ndarray, n: np.ndarray, root: np.ndarray, low: np.ndarray, side: np.ndarray, bits: list[bytes], rings: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of different components of a tile that bit counts allow, of those whose least common key this is."""
+    i, j = np.triu_indices(len(own), 1)
+    ok = (root[i] != root[j]) & (low[i] | low[j]) & ((side[i] == 0) | (side[i] != side[j])) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return []
+    folded, out = _folded(bits), []
+    step = max(1, (1 << 19) // folded.shape[1])
+    for k in range(0, len(i), step):
+        a, b = i[k : k + step], j[k : k + step]
+        keep = _possible(folded[a], folded[b], n[a], n[b])
+        for x, y in zip(a[keep], b[keep], strict=True):
+            if np.intersect1d(rings[x], rings[y], assume_unique=True)[0] == key:
+                out.append((min(own[x], own[y]), max(own[x], own[y])))
+    return out
+
+
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components from the rows of each tile, which come one after the other."""
 
-    def ring(row: dict) -> np.ndarray:
-        return np.array(row["keys"], np.int64)
-
-    def pairs(rows: list[dict]) -> list[tuple[int, int]]:
-        low = np.array([r["low"] for r in rows])
-        n = np.array([r["n"] for r in rows], np.int64)
-        root = np.array([r["root"] for r in rows])
-        side = np.array([r["side"] for r in rows])
-        bits, out = _folded([r["bits"] for r in rows]), []
-        for i in np.flatnonzero(low):
-            with_ = (root != root[i]) & (~low | (np.arange(len(rows)) > i)) & ((side == 0) | (side != side[i]))
-            j = np.flatnonzero(with_ & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n))
-            if len(j):
-                j = j[_possible(bits[i], bits[j], n[i], n[j])]
-                own = ring(rows[i])
-                for k in j:  # a pair is given by the first of the keys that it shares
-                    shared = np.intersect1d(own, ring(rows[k]), assume_unique=True)
-                    if shared[0] == rows[i]["key"]:
-                        out.append((rows[i]["set_id"], rows[k]["set_id"]))
+    def found(rows: pa.RecordBatch, starts: np.ndarray) -> list[tuple[int, int]]:
+        key, own, n, root, low, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "set_id", "n", "root", "low", "side"))
+        n, ring, bits, out = n.astype(np.int64), rows.column("keys"), rows.column("bits"), []
+        ends, keys = ring.offsets.to_numpy(), ring.values.to_numpy()
+        for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            if b - a > 1 and (root[a:b] != root[a]).any():
+                rings = [keys[ends[k] : ends[k + 1]] for k in range(a, b)]
+                out += _tile_pairs(key[a], own[a:b], n[a:b], root[a:b], low[a:b], side[a:b], bits.slice(a, b - a).to_pylist(), rings)
         return out
 
-    rows, tile = [], None
+    def result(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rest: pa.RecordBatch | None = None  # the last tile so far
     for batch in batches:
-        found = []
-        for r in batch.to_pylist():
-            if (t := (r["key"], r["band"], r["tile"])) != tile:
-                if len(rows) > 1:
-                    found += pairs(rows)
-                rows, tile = [], t
-            rows.append(r)
-        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
-    if len(rows) > 1:
-        found = pairs(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        if not batch.num_rows:
+            continue
+        key, band, tile = (batch.column(c).to_numpy() for c in ("key", "band", "tile"))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (tile[1:] != tile[:-1])
+        starts = np.flatnonzero(new)
+        rest = batch.slice(starts[-1])
+        if len(starts) > 1:
+            whole = pa.concat_batches([batch.slice(0, starts[-1])])
+            yield result(found(whole, starts[:-1]))
+    if rest is not None:
+        yield result(found(pa.concat_batches([rest]), np.zeros(1, np.int64)))
 
 
 def tiles(spark: SparkSession, owned: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of owned (key, set_id, n, root)."""
     band = F.floor(F.log("n") / F.lit(BAND)).cast("int")
-    rings = owned.groupBy("set_id").agg(F.collect_set("key").alias("keys"))  # a quarter of the set at most
+    rings = owned.groupBy("set_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # a quarter of the set at most
     rows = owned.select("key", "set_id", "n", "root", band.alias("own"))
     rows = rows.select("*", F.explode(F.array("own", F.col("own") - 1)).alias("band")).withColumn("low", F.col("own") == F.col("band"))
     size = rows.groupBy("key", "band").agg(F.count("*").alias("c"), F.count_if("low").alias("lows"), F.min("root").alias("x"), F.max("root").alias("y"))
@@ -354,8 +376,8 @@ def tiles(spark: SparkSession, owned: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(_tile, "a long, b long").distinct()
 
 
-def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id."""
+def _grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, row_key, n, and root, the set that names its component (null without words)."""
     profiles, sets, level = profile(spark, docs)
     held = members(spark, docs, level)
     linker = Linker(spark, docs, sets)
@@ -369,22 +391,34 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
         owned = linker.owned(held)
         linker.connect(linker.bounded(hubs(owned, turn)))
         common.drop(spark, owned)
-    linker.connect(tiles(spark, linker.owned(held), sets))
+    owned = linker.owned(held)
+    linker.connect(tiles(spark, owned, sets))
+    common.drop(spark, owned, held)
 
-    named = profiles
-    if linker.labels is not None:
-        named = profiles.join(linker.labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("set_id", F.coalesce("root", "set_id"))
-    least = profiles.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("m"))
+    named = profiles.withColumn("root", F.col("set_id"))
     if linker.labels is not None:
-        least = least.join(linker.labels.withColumnRenamed("id", "set_id"), "set_id", "left").groupBy(F.coalesce("root", "set_id").alias("set_id")).agg(F.min("m").alias("m"))
-    out = named.join(least, "set_id", "left")
+        labels = linker.labels.select(F.col("id").alias("set_id"), F.col("root").alias("linked"))
+        named = profiles.join(labels, "set_id", "left").withColumn("root", F.coalesce("linked", "set_id"))
+    return named.select("doc_id", "row_key", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+
+
+def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id."""
+    named = _grouped(spark, docs).select("doc_id", "n", "root")
+    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("m"))
+    out = named.join(least, "root", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("m")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row of docs for each component: that of its smallest doc_id (rows of equal doc_id and text stay together as one)."""
-    kept = join(spark, docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of docs for each component: one of its smallest doc_id, a null one only where there is no other. Rows without
+    words link with nothing and all stay."""
+    named = _grouped(spark, docs).filter("root IS NOT NULL")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row_key"))).alias("b"))
+    best = best.select(F.coalesce("b.row_key", F.lit(0)).alias("kept_key_")).distinct()
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.filter(worded).withColumn("kept_key_", _row_key()).join(best, "kept_key_", "left_semi").dropDuplicates(["kept_key_"])
+    return docs.filter(~worded).unionByName(kept.drop("kept_key_"))
 
 
 ORACLE = r"""
