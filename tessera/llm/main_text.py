@@ -7,13 +7,17 @@ field has two states, main and rest; its weights are trained by gradient ascent
 and Viterbi's path through a page says which blocks make the text.
 
 Labelled pages are of two kinds: at most ``SAMPLE`` pages of the input itself, those with the smallest key hashes among
-the pages whose own markup tells the article (an ``article`` or ``main`` element), and ``MADE`` pages laid out by a
-seeded generator in the usual ways (with sidebars, notices, forms and comments, with and without telling elements).
-While training, the features of ancestors are dropped now and then, so that texts and neighbours count too.
+the pages of at most ``SAMPLE_BYTES`` whose own markup tells the article (an ``article`` or ``main`` element), and ``MADE``
+pages laid out by a seeded generator in the usual ways (with sidebars, notices, forms and comments, with and without
+telling elements, of one paragraph or many, with tables, figures and lists). While training, the features of ancestors
+are dropped now and then, so that texts and neighbours count too.
 
 Character references are decoded, white space inside a block is one space, and the main blocks are joined by line
-ends. Null or empty html, and pages without main blocks, give ''. Rows are neither merged nor dropped; other columns
-are ignored. Without labelled pages of its own the field is trained on made ones alone.
+ends. Formulas stay in their sentence. Null or empty html, and pages without main blocks, give ''. Very long pages are
+taken whole, in time linear in their length; markup that nothing closes is no exception. Of states of equal score a block
+takes rest, so ties are settled alike everywhere. Repeated rows give equal texts, each for itself. Rows are neither merged
+nor dropped; other columns are ignored, and an empty table gives an empty result. Without labelled pages of its own the
+field is trained on made ones alone.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +37,25 @@ from tessera.llm import common
 
 #: Pages of the input that the field is trained on, at most.
 SAMPLE = 300
-MADE = 300
+MADE = 500
 BITS = 12
 SEED = 11
-STEPS = 120
+STEPS = 400
 RATE = 0.12
 RIDGE = 2e-4
-DROPPED = 0.35
+DROPPED = 0.3
+
+#: Training pages of the input have at most so many bytes of html; longer ones are not used to train, but extracted like all.
+SAMPLE_BYTES = 1 << 20
+#: Chains that the field is trained on have at most so many blocks: longer pages are several chains, none of their blocks left out.
+CHAIN = 64
 
 # Elements of HTML by what they are to a reader.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+#: Formulas are part of the sentence they stand in.
+FORMULA = frozenset("math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mstyle mspace mpadded mphantom menclose merror semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template head svg math iframe object canvas audio video select textarea".split())
+UNSEEN = frozenset("script style noscript template head svg annotation annotation-xml iframe object canvas audio video select textarea".split())
 #: Raw text up to their end tag.
 RAW = frozenset("script style textarea title".split())
 #: An open element of the left kind ends when one of the right starts.
@@ -51,61 +63,112 @@ CLOSED_BY = {
     "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]),
 }
-FORMATTING = frozenset("b i em strong u s small big font code tt a span".split())
 TELLING = ("cookie", "subscribe", "newsletter", "login", "log in", "sign in", "privacy", "copyright", "©", "all rights", "comment", "reply", "share", "advert", "sponsored", "related", "read more", "menu", "search", "posted", "accept")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_WITHIN = INLINE | FORMULA
+_NAME_AT = r"<(/?)([a-zA-Z][^\s/>]*+)"
+#: A tag whose quotes are closed, and one that ends at the next > whatever its quotes.
+_TAG = re.compile(_NAME_AT + r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE = re.compile(_NAME_AT + r"([^>]*+)>")
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("linked", "path", "raw", "text", "words")
+    """A text and what stands around it: the element right above, and all tags and names (of class, id, role) above."""
+
+    __slots__ = ("linked", "names", "parent", "raw", "tags")
+
+    def __init__(self, parent: str, tags: frozenset, names: frozenset, raw: str, linked: int):
+        self.parent, self.tags, self.names, self.raw, self.linked = parent, tags, names, raw, linked
+
+
+def _pieces(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """Text and tags in order, in linear time: ("", "", "", text), or ("/" or "", name, attributes, "").
 
-    def __init__(self, path: tuple, raw: str, linked: int):
-        self.path, self.raw, self.linked = path, raw, linked
+    Comments and declarations are passed over. Raw text is passed over up to its end tag. Once a tag's quotes are not
+    closed before the page's end, tags end at the next >; what looks like a tag that nothing ends is text."""
+    size, at, last = len(page), 0, page.rfind(">")
+    loose, cdata = False, True
+    while at < size:
+        i = page.find("<", at)
+        while 0 <= i < last and not (page[i + 1].isalpha() or page[i + 1] in "/!?"):
+            i = page.find("<", i + 1)
+        if not 0 <= i < last:
+            yield "", "", "", page[at:]
+            return
+        if i > at:
+            yield "", "", "", page[at:i]
+        at = i
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if cdata and page.startswith("<![CDATA[", i):
+            end = page.find("]]>", i)
+            cdata = end >= 0
+            if cdata:
+                at = end + 3
+                continue
+        if page[i + 1] in "!?":
+            at = page.find(">", i) + 1
+            continue
+        found = None if loose else _TAG.match(page, i)
+        if not found:
+            found = _LOOSE.match(page, i)
+            if not found:  # no name after </
+                if page[i + 1] == "/":
+                    at = page.find(">", i) + 1
+                else:
+                    yield "", "", "", page[i]
+                    at = i + 1
+                continue
+            loose = True
+        at = found.end()
+        tag = found[2].lower()
+        yield found[1], tag, found[3], ""
+        if tag in RAW and not found[1]:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end.end() if end else size
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The blocks of text of a page in order; path holds (tag, words of class, id and role) of each open element."""
+    """The blocks of text of a page in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    none = frozenset()
+    #: Of each open element: tag, whether unseen, the block element above or itself, all tags and names above.
+    stack: list[tuple[str, bool, str, frozenset, frozenset]] = []
+    open_: Counter[str] = Counter()
     parts: list[str] = []
-    linked, links, unseen, at = 0, 0, 0, 0
-    hidden: list[bool] = []
+    linked, links, unseen = 0, 0, 0
 
     def close() -> None:
         nonlocal linked
         raw = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if raw:
-            blocks.append(Block(tuple(x for x in stack if x[0] not in INLINE), raw, linked))
+            _, _, parent, tags, names = stack[-1] if stack else ("", False, "", none, none)
+            blocks.append(Block(parent, tags, names, raw, linked))
         parts.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal links, unseen
-        tag, _ = stack.pop()
-        unseen -= hidden.pop()
+        tag, out, _, _, _ = stack.pop()
+        open_[tag] -= 1
+        unseen -= out
         links -= tag == "a"
 
-    size = len(page)
-    while at < size:
-        found = _TOKEN.search(page, at)
-        text = page[at : found.start() if found else size]
-        if text and not unseen:
-            parts.append(text)
-            if links:
-                linked += len(text)
-        if not found:
-            break
-        at = found.end()
-        tag = (found[2] or "").lower()
+    for ending, tag, attributes, text in _pieces(page):
         if not tag:
+            if not unseen:
+                parts.append(text)
+                if links:
+                    linked += len(text)
             continue
-        if found[1]:
-            if any(t == tag for t, _ in stack):
-                if tag not in INLINE:
+        if ending:
+            if open_[tag]:
+                if tag not in _WITHIN:
                     close()
                     while stack[-1][0] != tag:
                         pop()
@@ -116,7 +179,7 @@ def leaf_blocks(page: str) -> list[Block]:
                             while len(stack) > k:
                                 pop()
                             break
-                        if stack[k][0] not in INLINE:
+                        if stack[k][0] not in _WITHIN:
                             break
             elif tag == "br":
                 parts.append(" ")
@@ -124,12 +187,10 @@ def leaf_blocks(page: str) -> list[Block]:
                 close()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
             continue
-        if tag not in INLINE:
+        if tag not in _WITHIN:
             close()
-            while stack and stack[-1][0] in INLINE and any(t in CLOSED_BY and tag in CLOSED_BY[t] for t, _ in stack):
+            while stack and stack[-1][0] in INLINE and any(open_[t] and tag in closers for t, closers in CLOSED_BY.items()):
                 pop()
             while stack and stack[-1][0] in CLOSED_BY and tag in CLOSED_BY[stack[-1][0]]:
                 pop()
@@ -139,7 +200,6 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if tag in VOID:
             continue
-        attributes = found[3]
         names: list[str] = []
         out = tag in UNSEEN
         if attributes and attributes.strip() not in ("", "/"):
@@ -149,8 +209,12 @@ def leaf_blocks(page: str) -> list[Block]:
                     names += _NAME.findall(value)
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     out = True
-        stack.append((tag, tuple(names)))
-        hidden.append(out)
+        _, _, parent, above, called = stack[-1] if stack else ("", False, "", none, none)
+        if tag in _WITHIN:
+            stack.append((tag, out, parent, above, called))
+        else:
+            stack.append((tag, out, tag, above if tag in above else above | {tag}, called if called.issuperset(names) else called.union(names)))
+        open_[tag] += 1
         unseen += out
         links += tag == "a"
         if attributes.endswith("/") and tag in ("svg", "path", "g"):
@@ -177,9 +241,9 @@ def features(blocks: list[Block]) -> list[tuple[list[int], list[int]]]:
     out = []
     n = len(blocks)
     for i, b in enumerate(blocks):
-        above = {f"<{t}" for t, _ in b.path} | {f".{w}" for _, names in b.path for w in names}
-        if b.path:
-            above.add(f"in<{b.path[-1][0]}")
+        above = {f"<{t}" for t in b.tags} | {f".{w}" for w in b.names}
+        if b.parent:
+            above.add(f"in<{b.parent}")
         text, low = b.raw, b.raw.lower()
         words = text.count(" ") + 1
         own = ["bias", f"words{min(7, words.bit_length())}", f"links{min(4, int(4.99 * min(1.0, b.linked / max(1, len(text)))))}"]
@@ -229,7 +293,7 @@ class Field:
     def train(self, pages: list[tuple[list[tuple[list[int], list[int]]], list[int]]]) -> None:
         """Adaptive gradient ascent on the log-likelihood, with forward and backward sums over all pages at once."""
         rng = np.random.default_rng(SEED)
-        pages = [p for p in pages if p[0]]
+        pages = [(f[i : i + CHAIN], y[i : i + CHAIN]) for f, y in pages for i in range(0, len(f), CHAIN)]
         if not pages:
             return
         width, count = max(len(f) for f, _ in pages), len(pages)
@@ -289,10 +353,8 @@ def own_labels(blocks: list[Block]) -> list[int] | None:
     """Which blocks the page's own markup says to be the article; None where it does not say."""
     out = []
     for b in blocks:
-        tags = [t for t, _ in b.path]
-        names = {w for _, ws in b.path for w in ws}
-        told = "article" in tags or "main" in tags
-        out.append(int(told and not _REST.intersection(tags) and not _REST_NAMES & names))
+        told = "article" in b.tags or "main" in b.tags
+        out.append(int(told and not _REST & b.tags and not _REST_NAMES & b.names))
     return out if any(out) else None
 
 
@@ -352,12 +414,23 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         return f'<{t} class="{pick("footer", "bottom", "legal", "copyright")}">' + block(pick("p", "div"), pick("&copy; ", "Copyright ", "") + word() + ".com &middot; " + sentence(3, 15), 0) + f"</{t}>"
 
     def article() -> str:
-        inner = [block(pick("h1", "h1", "h2"), sentence(2, 12), 1)] if rng.random() < 0.9 else []
-        for _ in range(rng.integers(1, 3 if rng.random() < 0.25 else 12)):
+        short = rng.random() < 0.25  # one or two paragraphs and nothing else
+        inner = [block(pick("h1", "h1", "h2"), sentence(2, 12), 1)] if rng.random() < (0.3 if short else 0.9) else []
+        if short:
+            inner += [block("p", " ".join(sentence(3, 20) for _ in range(rng.integers(1, 4))), 1) for _ in range(rng.integers(1, 3) if rng.random() < 0.5 else 1)]
+        for _ in range(0 if short else rng.integers(1, 3 if rng.random() < 0.25 else 12)):
             kind = rng.random()
             text = sentence(2, 14) if rng.random() < 0.25 else " ".join(sentence(4, 25) for _ in range(rng.integers(1, 5)))
-            if kind < 0.72:
+            if kind < 0.6:
                 inner.append(block("p", f"<b>{text}</b>" if rng.random() < 0.1 else text, 1))
+            elif kind < 0.66:
+                cells = rng.integers(2, 5)
+                rows = [f"<tr>{''.join(block(pick('td', 'td', 'th'), word() if rng.random() < 0.7 else str(rng.integers(10**4)), 1) for _ in range(cells))}</tr>" for _ in range(rng.integers(2, 5))]
+                inner.append(f"<table>{pick('', '<tbody>')}{''.join(rows)}</table>")
+            elif kind < 0.69:
+                inner.append('<figure><img src="x">' + block("figcaption", sentence(2, 12), 1) + "</figure>")
+            elif kind < 0.72:
+                inner.append("<dl>" + "".join(block("dt", word(), 1) + block("dd", sentence(2, 12), 1) for _ in range(rng.integers(1, 4))) + "</dl>")
             elif kind < 0.8:
                 inner.append(block(pick("h2", "h3"), sentence(2, 8), 1))
             elif kind < 0.88:
@@ -373,23 +446,26 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         shell = pick("article", "article", "main", "div", "div", "section")
         named = pick("content", "post", "entry", "article", "story", "main", "body", "post-content", "text", "")
         wrap = pick("", "", "main", "div")
-        body = f'<{shell} {pick("class", "id")}="{named}">' + "".join(inner) + f"</{shell}>"
+        body = (f"<{shell}>" if rng.random() < 0.35 else f'<{shell} {pick("class", "id")}="{named}">') + "".join(inner) + f"</{shell}>"
         return f'<{wrap} class="{pick("container", "wrapper", "page", "main")}">{body}</{wrap}>' if wrap else body
 
     def some(kinds: list[str], share: float) -> list[str]:
         return [rest(k) for k in kinds if rng.random() < share]
 
+    if rng.random() < 0.2:  # nothing around the article
+        page = article()
+        return f"<html><body>{page}</body></html>", labels
     page = "".join([*some(["notice", "header", "menu", "crumbs", "form", "ad", "sidebar"], 0.45), article(), *some(["share", "ad", "sidebar", "comments", "form", "notice", "menu", "footer"], 0.45)])
     return f"<html><body>{page}</body></html>", labels
 
 
 def fit(spark: SparkSession, pages: DataFrame, sample: int = SAMPLE) -> Field:
     field = Field()
-    told = pages.select("page_id", "html").filter(F.lower("html").rlike("<(article|main)[ >]"))
+    told = pages.select("page_id", "html").filter(F.lower("html").rlike("<(article|main)[ >]") & (F.octet_length("html") <= SAMPLE_BYTES))
     rows = told.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample)
     labelled = []
     for row in rows.toLocalIterator():
-        blocks = leaf_blocks(row.html)[:400]
+        blocks = leaf_blocks(row.html)
         if (labels := own_labels(blocks)) is not None:
             labelled.append((features(blocks), labels))
     rng = np.random.default_rng(SEED)
