@@ -1,7 +1,8 @@
 """Near-duplicate lines across documents by a deletion-neighbourhood join, with DataFrame functions only.
 
 Lines are compared as words: white space is trimmed and made one space, letters are lower-cased. The edit bound is one
-word: two lines are near if one word is put in, left out or replaced (edit distance over words). A line goes if it
+word, and none for short lines: two lines are near if one word is put in, left out or replaced (edit distance over
+words) and the longer one has ``LEAST`` words at least, so that three quarters of it are the same. A line goes if it
 equals an earlier line, or if an earlier distinct line is near; earlier is by doc_id (null first), then text, then
 place in the text, each distinct line counting where it stands first. Lines without words stay.
 
@@ -13,8 +14,9 @@ without word i is the same differ in word i; a variant that is a whole other lin
 linked to its earliest line alone, so a group of thousands makes as many links as it has lines; links are verified on
 the words.
 
-Null texts are empty. Rows of equal doc_id and equal text are one text here, and all of them come back. Other columns
-are ignored. An empty table gives an empty result.
+Null texts are empty. Very long texts and lines are taken whole. Rows of equal doc_id and equal text are one text here,
+and all of them come back. Other columns are ignored. An empty table gives an empty result. Lines are equal if 64-bit
+hashes of their words are; near lines are told by their words.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 WHITE = r"[\x20\x09-\x0D]+"
+#: Words that the longer one of two near lines has at least.
+LEAST = 4
 
 
 def _words(line: Column) -> Column:
@@ -67,7 +71,8 @@ def _words_at(docs: DataFrame, some: DataFrame) -> DataFrame:
 
 
 def near_lines(spark: SparkSession, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """line_id of the lines of first (line_id, place, halves) that have a near line before them."""
+    """line_id of the lines of first (line_id, place, n, halves) that have a near line before them; written out."""
+    first = first.filter(F.col("n") >= LEAST - 1)
     keys = first.select("line_id", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.min("line_id").alias("x"), F.max("line_id").alias("y")).filter("x <> y").select("half")
     some = keys.join(shared, "half").select("line_id").distinct().join(first.select("line_id", "place"), "line_id")
@@ -85,14 +90,15 @@ def near_lines(spark: SparkSession, docs: DataFrame, first: DataFrame) -> DataFr
         F.bit_xor(moved).over(whole).bitwiseXOR(F.bit_xor(moved).over(upto)).alias("after"),
         F.bit_xor(here).over(whole).alias("full"),
     )
-    variants = common.cut(spark, word.select("line_id", "place", "n", "i", F.col("before").bitwiseXOR(F.col("after")).alias("key"), "full"), "line-variants")
+    variants = variants_held = common.cut(spark, word.select("line_id", "place", "n", "i", F.col("before").bitwiseXOR(F.col("after")).alias("key"), "full"), "line-variants")
+    fulls = variants.filter("i = 0").select((F.col("n") + 1).alias("n"), F.col("full").alias("key"), F.col("line_id").alias("short"), F.col("place").alias("short_place"))
+    variants = variants.filter(F.col("n") >= LEAST)
     # Equal but for word i: linked to the earliest of the group. Few keys have two lines; only these look for it.
     both = variants.groupBy("n", "i", "key").agg(F.min("line_id").alias("x"), F.max("line_id").alias("y")).filter("x <> y").drop("x", "y")
     alike = common.cut(spark, variants.select("line_id", "place", "n", "i", "key").join(both, ["n", "i", "key"]), "line-alike")
     group = alike.groupBy("n", "i", "key").agg(F.min_by("line_id", "place").alias("other"))
     replaced = alike.join(group, ["n", "i", "key"]).filter("line_id <> other").select(F.col("line_id").alias("later"), F.col("other").alias("earlier"), "i", F.lit(0).alias("longer"))
     # Equal to another line but for word i, which that line lacks: the later of the two is linked to the earlier.
-    fulls = variants.filter("i = 0").select((F.col("n") + 1).alias("n"), F.col("full").alias("key"), F.col("line_id").alias("short"), F.col("place").alias("short_place"))
     added = variants.join(fulls, ["n", "key"]).filter("line_id <> short")
     long_later = F.col("place") > F.col("short_place")
     added = added.select(
@@ -105,18 +111,21 @@ def near_lines(spark: SparkSession, docs: DataFrame, first: DataFrame) -> DataFr
     i = F.col("i")
     left = F.when(F.col("longer") == 2, F.col("lw")).otherwise(_without("lw", i))
     right = F.when(F.col("longer") == 1, F.col("ew")).otherwise(_without("ew", i))
-    return links.filter(left == right).select(F.col("later").alias("line_id")).distinct()
+    found = common.cut(spark, links.filter(left == right).select(F.col("later").alias("line_id")).distinct(), "near-lines")
+    common.drop(spark, lines, variants_held, alike)
+    return found
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_equal, n_near (lines removed as equal, as near), and the text that is kept."""
     docs = docs.select("doc_id", "text")
-    lines = _lines(docs).select("doc_id", "mark", "at", F.xxhash64("w").alias("line_id"), _halves().alias("halves"))
+    lines = _lines(docs).select("doc_id", "mark", "at", F.xxhash64("w").alias("line_id"), F.size("w").alias("n"), _halves().alias("halves"))
     lines = common.cut(spark, lines, "lines")
     place = F.struct("doc_id", "mark", "at")
-    first = lines.groupBy("line_id").agg(F.min(place).alias("place"), F.max("halves").alias("halves"))
+    first = lines.groupBy("line_id").agg(F.min(place).alias("place"), F.max("n").alias("n"), F.max("halves").alias("halves"))
     first = common.cut(spark, first, "first-lines")
-    near = common.cut(spark, near_lines(spark, docs, first), "near-lines").withColumn("near", F.lit(True))
+    near_held = near_lines(spark, docs, first)
+    near = near_held.withColumn("near", F.lit(True))
     judged = lines.select("line_id", "doc_id", "mark", "at").join(first.select("line_id", "place"), "line_id").join(near, "line_id", "left")
     equal = place != F.col("place")
     gone = judged.select("doc_id", "mark", "at", equal.alias("equal"), F.coalesce("near", F.lit(False)).alias("near")).filter("equal OR near").distinct()
@@ -124,10 +133,12 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.collect_list("at").alias("gone"), F.count_if("equal").alias("n_equal"), F.count_if(F.expr("near AND NOT equal")).alias("n_near")
     )
     gone = common.cut(spark, gone, "gone-lines").withColumnRenamed("doc_id", "d")
+    common.drop(spark, lines, first, near_held)
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark"), F.split(text, "\n").alias("l"))
     out = whole.join(gone, (whole["mark"] == gone["mark"]) & whole["doc_id"].eqNullSafe(gone["d"]), "left")
-    kept = F.array_join(F.filter("l", lambda _, i: ~F.array_contains("gone", i)), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), "gone")  # in order; one look-up a line
+    kept = F.array_join(F.transform(places, lambda i: F.get("l", i)), "\n")
     return out.select(
         "doc_id",
         F.size("l").cast("long").alias("n_lines"),
@@ -141,7 +152,7 @@ ORACLE = r"""
 WITH l AS (SELECT doc_id, i AS pos, string_split(coalesce(text, ''), chr(10)) AS a, list_filter(string_split_regex(lower(a[i]), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
     FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
 f AS MATERIALIZED (SELECT w, min((doc_id, pos)) AS p FROM l WHERE len(w) > 0 GROUP BY w),
-v AS MATERIALIZED (SELECT p, n, i, hash(list_concat(w[1 : i - 1], w[i + 1 :])) AS k FROM (SELECT w, p, len(w) AS n, unnest(generate_series(1, len(w))) AS i FROM f)),
+v AS MATERIALIZED (SELECT p, n, i, hash(list_concat(w[1 : i - 1], w[i + 1 :])) AS k FROM (SELECT w, p, len(w) AS n, unnest(generate_series(1, len(w))) AS i FROM f WHERE len(w) >= 4)),
 near AS (SELECT p FROM (SELECT p, min(p) OVER (PARTITION BY n, i, k) AS e FROM v) WHERE p <> e
     UNION SELECT greatest(v.p, f.p) FROM v JOIN f ON v.k = hash(f.w) AND v.n = len(f.w) + 1),
 j AS (SELECT l.doc_id, l.pos, l.a, f.p IS NOT NULL AND f.p <> (l.doc_id, l.pos) AS eq, near.p IS NOT NULL AS nr
