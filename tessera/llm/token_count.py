@@ -1,11 +1,15 @@
 """Token counts of whole texts under a sentencepiece BPE model, by rank-synchronous array merging.
 
 Texts are cut into pre-tokens that no piece crosses (a run of word marks and what follows up to the next one; line
-ends stand alone). Distinct pre-tokens of a batch are merged together: their symbols lie in one flat array, and each
-round applies, in every sequence at once, its leftmost pair of lowest rank. What is left is counted; symbols that
-the vocabulary lacks count one token for each of their UTF-8 bytes.
-
-Nulls and empty texts have 0 bytes and 0 tokens. Rows are neither merged nor dropped; other columns are ignored.
+ends stand alone), and these again between two characters that are neighbours in no piece, so texts in unspaced scripts
+fall into short sequences too. Distinct pre-tokens of a batch are merged together: their symbols lie in one flat array,
+and each round applies, in every sequence at once, its leftmost pair of lowest rank. What is left is counted; symbols
+that the vocabulary lacks count one token for each of their UTF-8 bytes. A sequence that is still longer than ``LONG``
+(a letter repeated hundreds of times, say) would need as many rounds: it is merged by itself with a heap of pairs, which
+gives the same count in time near to linear.
+
+Nulls and empty texts have 0 bytes and 0 tokens. Very long texts are counted whole, each in one worker. Rows are neither
+merged nor dropped, and repeated ones are counted alike; other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ LIMIT = 4096
 MARK = "▁"
 #: Counts of pre-tokens that a Python worker keeps.
 CACHE_WORDS = 1_000_000
-#: Longer pre-tokens are merged one by one with a heap, for rounds would be many.
-LONG = 128
+#: Sequences of more symbols are merged one by one with a heap, for rounds would be many.
+LONG = 256
 NONE = np.int32(2**31 - 1)
 
 _models: dict[str, Merges] = {}
@@ -44,8 +48,9 @@ class Merges:
         rank_of = {i: r for r, i in enumerate(sorted(normal, key=lambda i: (-model.get_score(i), i)))}
         self.size = model.vocab_size()
         self.symbol = np.full(0x110000, -1, np.int32)
-        pairs = []
+        pairs, neighbours = [], set()
         for piece, i in ids.items():
+            neighbours.update(zip(piece, piece[1:], strict=False))
             if len(piece) == 1:
                 self.symbol[ord(piece)] = i
             for k in range(1, len(piece)):
@@ -55,6 +60,8 @@ class Merges:
         self.key, self.rank, self.made = (np.array(x) for x in zip(*pairs, strict=True))
         self.rank = self.rank.astype(np.int32)
         self.table = {int(k): (int(r), int(m)) for k, r, m in pairs}
+        #: characters that are neighbours in some piece, as one number each
+        self.neighbours = np.sort(np.array([ord(a) << 21 | ord(b) for a, b in neighbours] or [-1], np.int64))
         #: merged id by rank: a rank names one piece
         self.by_rank = np.zeros(int(self.rank.max()) + 1, np.int32)
         self.by_rank[self.rank] = self.made
@@ -67,19 +74,27 @@ class Merges:
 
     def count(self, tokens: list[str]) -> np.ndarray:
         """Tokens of each pre-token; those are not empty."""
-        out = np.zeros(len(tokens), np.int64)
         length = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        for i in np.flatnonzero(length > LONG):
-            out[i] = self._one(tokens[i])
-        short = np.flatnonzero(length <= LONG)
-        if not len(short):
-            return out
-        points = np.frombuffer("".join([tokens[i] for i in short]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sym = self.symbol[points]
-        seq = np.repeat(np.arange(len(short)), length[short])
+        points = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = np.repeat(np.arange(len(tokens)), length)
+        cut = np.ones(len(points), bool)
+        key = points[:-1].astype(np.int64) << 21 | points[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, key), len(self.neighbours) - 1)
+        cut[1:] = (own[1:] != own[:-1]) | (self.neighbours[at] != key)
+        first = np.flatnonzero(cut)
+        size = np.diff(np.append(first, len(points)))
+        sym, seq = self.symbol[points], np.cumsum(cut) - 1
         # a symbol that is not in the vocabulary is as many tokens as it has bytes
         width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-        total = np.bincount(seq, np.where(sym < 0, width - 1, 0), len(short)).astype(np.int64)
+        total = np.bincount(seq, np.where(sym < 0, width - 1, 0), len(first)).astype(np.int64)
+        for k in np.flatnonzero(size > LONG):
+            total[k] += self._one(sym[first[k] : first[k] + size[k]].tolist())
+        short = (size <= LONG)[seq]
+        self._merge(sym[short], seq[short], total)
+        return np.bincount(own[first], total, len(tokens)).astype(np.int64)
+
+    def _merge(self, sym: np.ndarray, seq: np.ndarray, total: np.ndarray) -> None:
+        """Merge all sequences together and add what is left of each to total."""
         rank = np.full(len(sym), NONE, np.int32)
         rank[:-1] = np.where(seq[1:] == seq[:-1], self.ranks(sym[:-1], sym[1:]), NONE)
         while len(sym):
@@ -103,13 +118,9 @@ class Merges:
             for left in (at, at[at > 0] - 1):
                 right = np.minimum(left + 1, len(sym) - 1)
                 rank[left] = np.where((seq[right] == seq[left]) & (right > left), self.ranks(sym[left], sym[right]), NONE)
-        out[short] = total
-        return out
 
-    def _one(self, token: str) -> int:
-        """The same of one long pre-token, with a heap of pairs and linked symbols."""
-        sym = [int(self.symbol[ord(c)]) for c in token]
-        extra = sum(len(c.encode("utf-8", "surrogatepass")) - 1 for c, s in zip(token, sym, strict=True) if s < 0)
+    def _one(self, sym: list[int]) -> int:
+        """What is left of one long sequence, with a heap of pairs and linked symbols."""
         n = len(sym)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap: list[tuple[int, int, int, int, int]] = []
@@ -131,7 +142,7 @@ class Merges:
             left -= 1
             offer(i)
             offer(before[i])
-        return left + extra
+        return left
 
 
 class Counter:
