@@ -8,7 +8,9 @@ documents share. A store is a folder of three Parquet tables, so that writes go
 * ``shards``: the frames of consecutive documents, one after the other, in blobs of about ``SHARD_BYTES``;
 * ``index``: per document the shard, the frame's offset and length, the ids before it and its own ids.
 
-Nulls count as empty texts. Rows of equal doc_id stay, ordered by their text; null doc_ids come first.
+Nulls count as empty texts. Rows of equal doc_id stay, ordered by their text; null doc_ids come first. Very long texts are
+encoded whole, each in one worker. doc_id has to be of a whole-number type. Other columns are ignored, and an empty table
+makes an empty store.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.llm import common
 
@@ -46,13 +49,23 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+#: Texts that tell whether a tokenizer lower-cases, keeps pre-tokens inside white space, and parts letters from marks.
+PROBES = (
+    "The QUICK brown fox, and the dog.", "  two  spaces\n\nand lines\t tab ", "it's 3.14 % of A.B. !? #x", "end. <|endoftext|> Start", "É ÉCOLE naïve 漢字 Ünïcode ß", "a\u00a0b \u200d c", "x.y z... w!",
+)
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer's pre-tokens never hold white space, so each distinct
-    white-space-free chunk is encoded once by the library and its ids are gathered by numpy."""
+    """Ids of whole texts. Where the tokenizer lower-cases and its pre-tokens never hold white space, each distinct
+    white-space-free chunk is encoded once by the library and its ids are gathered by numpy. PROBES are encoded both ways
+    when a tokenizer is loaded; one that differs has all its texts encoded by the library."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.clear()
+        self.by_chunks = True
+        whole = pa.array(PROBES, pa.large_string())
+        self.by_chunks = all(np.array_equal(a, b) for a, b in zip(self._by_chunks(whole, END_ID), self._whole(whole, END_ID), strict=True))
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}  # the tokenizer lower-cases, so chunks come lower-cased
@@ -81,8 +94,17 @@ class Encoder:
 
     def encode(self, text: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after the other, and the bounds of the rows."""
-        if not pc.any(pc.match_substring(text, "<|")).as_py():  # special strings count as they stand
-            text = pc.ascii_lower(text)
+        return self._by_chunks(text, end_id) if self.by_chunks else self._whole(text, end_id)
+
+    def _whole(self, text: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        more = [] if end_id is None else [end_id]
+        ids = [[*e.ids, *more] for e in self.tokenizer.encode_batch(text.to_pylist(), add_special_tokens=False)]
+        bounds = np.cumsum([0, *map(len, ids)])
+        return np.array([i for row in ids for i in row], np.uint32), bounds
+
+    def _by_chunks(self, text: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        special = pc.match_substring(text, "<|")  # special strings count as they stand
+        text = pc.if_else(special, text, pc.ascii_lower(text))
         # Letters and the marks that close a word are pre-tokens of their own: apart, fewer chunks differ.
         text = pc.replace_substring_regex(text, r"([A-Za-z])([.,!%#*&$|]+)([ \n]|$)", r"\1 \2\3")
         chunks = pc.ascii_split_whitespace(text)
@@ -137,7 +159,10 @@ def _zdict(raw: bytes):
 
 def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode docs (doc_id, text; other columns are ignored) with the tokenizer file and write the store to path."""
-    docs = docs.select("doc_id", "text")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id has to be of a whole-number type")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chosen = docs.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", F.xxhash64("text")).limit(DICTIONARY_DOCUMENTS)
     width = _width(tokenizer)
     encoder = Encoder(tokenizer)
@@ -169,7 +194,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str) -> No
                 names=["part", "seq", "dict_hash", "firsts", "doc_ids", "n_ids", "offsets", "lengths", "payload"],
             )
 
-        for batch in common.slices(batches, limit=4 << 20):
+        for batch in common.slices(batches, limit=2 << 20):
             ids, bounds = coder.encode(batch.column("text"))
             ids = ids.astype(f"<u{width}")
             part = batch.column("part")[0].as_py()
@@ -189,7 +214,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str) -> No
             yield shard()
 
     ranged = (
-        docs.repartitionByRange(common.tasks(spark), F.col("doc_id"), F.xxhash64("text"))
+        docs.repartitionByRange(common.tasks(spark, total), F.col("doc_id"), F.xxhash64("text"))
         .sortWithinPartitions("doc_id", "text")
         .withColumn("part", F.spark_partition_id())
     )
