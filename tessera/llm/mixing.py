@@ -10,7 +10,8 @@ The edge is found by two histogram passes over the hash (4,096 buckets a source
 shuffled), so no task ever sorts a whole source; only the documents of one bucket in 2**24 are put in order.
 
 Null texts have 0 words, null sources are one source, null doc_ids hash as empty text. Repeated rows of one doc_id
-are separate documents. An empty table gives an empty mix. Other columns stay.
+are separate documents; those with the same text are put in order by chance, which changes no result. Very long texts
+count whole. An empty table gives an empty mix. Other columns stay.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _hash(doc_id: Column, seed: str) -> Column:
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def _hash(doc_id: Column, text: Column, seed: str) -> Column:
+    """Of doc_id and text, so that neither many rows without an id nor many copies of a text share one."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(key, 1, 12), 16, 10).cast("long")
 
 
@@ -81,7 +83,7 @@ def _cross(bucketed: DataFrame, keys: list[str], bucket: str, goal: str) -> Data
 def mix(spark: SparkSession, docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken, times, and the columns named in keep as kept_<name>."""
     keys = [F.col(c).alias(f"kept_{c}") for c in keep]
-    h = _hash(F.col("doc_id"), seed)
+    h = _hash(F.col("doc_id"), F.col("text"), seed)
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h"), *keys)
     narrow = common.cut(spark, sized.select("doc_id", "source", "size", "h"), "mix-sizes") if not keep else common.cut(spark, sized, "mix-sizes")
     sources = common.cut(spark, water_fill(_weighted(spark, narrow)), "mix-targets")
@@ -117,7 +119,7 @@ def mix(spark: SparkSession, docs: DataFrame, seed: str = SEED, keep: tuple[str,
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h FROM documents),
+    CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w FROM d GROUP BY source),
 l AS (SELECT *, 2 * source_size / w AS cap_at, sum(2 * source_size) OVER o AS capped, sum(w) OVER () - sum(w) OVER o AS w_left, sum(w) OVER () AS w_all, 1.5 * sum(source_size) OVER () AS budget
     FROM s WINDOW o AS (ORDER BY 2 * source_size / w, source ROWS UNBOUNDED PRECEDING)),
