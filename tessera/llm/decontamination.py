@@ -12,7 +12,8 @@ hash arrays decides.
 
 Null or wordless texts hold nothing and are held by nothing; a text of fewer than five words has one shingle, its
 whole sequence. Rows of equal doc_id, or of equal item_id, are judged apart and reported once, with the largest
-containment. Other columns are ignored.
+containment, and of equal ones that of the larger item. Very long texts are searched whole. Other columns are ignored,
+and empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
         return (bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1 == 1
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, limit=4 << 20):
+        for batch in common.slices(batches):
             buf, off = common.utf8(pc.utf8_lower(batch.column("text")))
             h, row = common.shingles(np.where(_BREAK[buf], np.uint8(32), buf), off, WORDS)
             any_item = has(in_items, h)
@@ -112,9 +113,11 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     sketch = sets.select("item_id", "size_class", F.explode("sketch").alias("hash"))
     least = sets.groupBy("size_class").agg(F.min("needed").alias("least"))
     sketch = sketch.join(F.broadcast(least), "size_class")  # one row for each power of two
-    probes = found.select("doc_id", "found", F.explode("sketched").alias("hash"))
-    pairs = probes.join(sketch, "hash").filter(F.size("found") >= F.col("least")).select("doc_id", "found", "item_id").distinct()
-    checked = pairs.join(sets.select("item_id", "n", "needed", "hashes"), "item_id")
+    # A hash that many documents share is a hot key: only ids and counts meet there, the arrays are joined to what is left.
+    found = found.withColumn("row", F.xxhash64("doc_id", "found"))
+    probes = found.select("row", F.size("found").alias("n_found"), F.explode("sketched").alias("hash"))
+    pairs = probes.join(sketch, "hash").filter(F.col("n_found") >= F.col("least")).select("row", "item_id").distinct()
+    checked = pairs.join(found.select("row", "doc_id", "found"), "row").join(sets.select("item_id", "n", "needed", "hashes"), "item_id")
     checked = checked.withColumn("n_shared", F.size(F.array_intersect("found", "hashes"))).filter("n_shared >= needed")
     best = F.max_by(F.struct(F.col("n"), F.col("n_shared")), F.struct(F.col("n_shared") / F.col("n"), F.col("n")))
     return checked.groupBy("doc_id", "item_id").agg(best.alias("b")).select(

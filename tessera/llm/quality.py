@@ -6,8 +6,10 @@ documents and, for each rule, how often it is right about good and about bad one
 posterior probability that it is good is at least ``KEEP``. Each round is one aggregate over the pattern table, of
 which only the sums return to the driver.
 
-Null texts have no words: all counts 0, base_failed, not kept. Rows are neither merged nor dropped; other columns are
-ignored unless named in keep. With no rows to learn from, the starting values stand.
+Null texts have no words: all counts 0, base_failed, not kept. Very long texts count whole. Repeated rows are judged
+alike, each for itself. A posterior of exactly KEEP keeps. Rows are neither merged nor dropped; other columns are ignored
+unless named in keep, whatever their names. With no rows to learn from, the starting values stand, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -116,6 +118,7 @@ def judge(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...] = ()) -> D
     voted = found.select("*", *votes())
     patterns = common.cut(spark, voted.filter("n_words > 0").groupBy(*names).count().withColumnRenamed("count", "n"), "quality-patterns")
     model = fit(patterns)
+    common.drop(spark, patterns)
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = voted.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & (posterior(model) >= KEEP))
     more = [c for c in keep if c != "doc_id"]
