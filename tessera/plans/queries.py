@@ -29,9 +29,14 @@ def query(sql: str | None):
 # --- grid -------------------------------------------------------------------------------------------------------
 
 
-@query("WITH w AS (SELECT CAST(ceil(sqrt(count(*) / 5.0)) AS BIGINT) AS w FROM orders) SELECT r_regionkey AS wsi_id, CAST(2 AS BIGINT) AS scale, CAST(448 AS BIGINT) AS tile, CAST(224 AS BIGINT) AS half, w AS cols, w AS rows FROM region, w")
+@query("""WITH w AS (SELECT CAST(ceil(sqrt(count(*) / 5.0)) AS BIGINT) AS w FROM orders),
+m AS (SELECT r_regionkey AS wsi_id, 448 * w AS side, [CAST(0.25 AS DOUBLE), 0.2, NULL, 0.5, 2.0][r_regionkey % 5 + 1] AS mpp FROM region, w),
+s AS (SELECT *, greatest(1, CAST(round_even(CAST(0.5 AS DOUBLE) / coalesce(mpp, 0.25), 0) AS BIGINT)) AS scale FROM m)
+SELECT wsi_id, scale, 224 * scale AS tile, 112 * scale AS half, side // (224 * scale) AS cols, side // (224 * scale) AS rows FROM s""")
 def slide_geometry(spark, sf):
-    return grid.slide_geometry(X.slides(spark, sf)).select("wsi_id", "scale", "tile", "half", "cols", "rows")
+    """Slides of five resolutions, one of them missing."""
+    mpp = F.element_at(F.array(*map(F.lit, (0.25, 0.2, None, 0.5, 2.0))), F.col("wsi_id") % 5 + 1)
+    return grid.slide_geometry(X.slides(spark, sf).withColumn("mpp", mpp)).select("wsi_id", "scale", "tile", "half", "cols", "rows")
 
 
 @query("""WITH w AS (SELECT CAST(ceil(sqrt(count(*) / 5.0)) AS BIGINT) AS w FROM orders), g AS (SELECT r_regionkey AS wsi_id, c, r, w, 448 * c AS px, 448 * r + CASE WHEN c % 2 = 1 THEN 224 ELSE 0 END AS py
