@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -77,20 +75,24 @@ def attention_score(x: Column, hidden: Sequence[Sequence[float]], out: Sequence[
     return sum(units[1:], units[0])
 
 
-def mean_vectors(steps: DataFrame, weight: Column | None = None) -> DataFrame:
+def mean_vectors(steps: DataFrame, weight: Column | None = None, width: int | None = None) -> DataFrame:
     """(walk_id, dim, value): the mean of the embeddings of each walk's steps, weighted or not.
 
-    Steps are dealt by walk first: a sum for each walk and task would be larger than a step's vector. Vectors are summed
-    whole, and only the means are laid out by dimension."""
-    weight = F.lit(1.0) if weight is None else weight
-    rows = steps.select("walk_id", weight.alias("w"), array_to_vector(F.col("embedding").cast("array<double>")).alias("x")).repartition("walk_id")
-    means = rows.groupBy("walk_id").agg(vector_to_array(Summarizer.mean(F.col("x"), F.col("w"))).alias("means"))
-    return means.select("walk_id", F.posexplode("means").alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
+    Each dimension is a sum of its own in one hash aggregate; only the means are laid out by dimension. width is the
+    vectors' dimension; without it one row is read to learn it. Steps that are dealt by walk_id are not shuffled again."""
+    if width is None:
+        first = steps.select(F.size("embedding").alias("n")).first()
+        width = first.n if first else 0
+    rows = steps.select("walk_id", (F.lit(1.0) if weight is None else weight).alias("w"), "embedding")
+    sums = [F.sum(F.get("embedding", F.lit(i)).cast("double") * F.col("w")).alias(f"s{i}") for i in range(width)]
+    held = rows.groupBy("walk_id").agg(F.sum("w").alias("w"), *sums)
+    means = F.array(*(F.col(f"s{i}") / F.col("w") for i in range(width))).cast("array<double>")
+    return held.select("walk_id", F.posexplode(means).alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
 
 
 def attention_pool(steps: DataFrame, hidden: Sequence[Sequence[float]], out: Sequence[float]) -> DataFrame:
     """(walk_id, dim, value): the mean embedding of a walk's steps, weighted by the softmax of their attention scores."""
-    return mean_vectors(steps, F.exp(attention_score(F.col("embedding"), hidden, out)))
+    return mean_vectors(steps, F.exp(attention_score(F.col("embedding"), hidden, out)), len(hidden[0]))
 
 
 def valid_mask(length: Column, most: Column, head: bool = True) -> Column:
@@ -99,7 +101,7 @@ def valid_mask(length: Column, most: Column, head: bool = True) -> Column:
     return F.transform(places, lambda i: i < length + (1 if head else 0))
 
 
-def pool(steps: DataFrame, mode: str, hidden: Sequence[Sequence[float]] | None = None, out: Sequence[float] | None = None) -> DataFrame:
+def pool(steps: DataFrame, mode: str, hidden: Sequence[Sequence[float]] | None = None, out: Sequence[float] | None = None, width: int | None = None) -> DataFrame:
     """(walk_id, dim, value) of steps (walk_id, pos, embedding), pos 0 being the head token: its embedding (cls), the mean
     of the others (mean; 0 for a walk without any), both one after the other (concat), or their attention pool (attention)."""
     if mode == "attention":
@@ -110,13 +112,13 @@ def pool(steps: DataFrame, mode: str, hidden: Sequence[Sequence[float]] | None =
     head = wide.filter("pos = 0").select("walk_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
     if mode == "cls":
         return head
-    rest = mean_vectors(wide.filter("pos > 0"))
-    alone = wide.groupBy("walk_id").agg(F.max("pos").alias("last"), F.max(F.size("embedding")).alias("width")).filter("last = 0")
-    rest = rest.unionByName(alone.select("walk_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)).alias("dim"), F.lit(0.0).alias("value")))
+    rest = mean_vectors(wide.filter("pos > 0"), width=width)
+    alone = wide.groupBy("walk_id").agg(F.max("pos").alias("last"), F.max(F.size("embedding")).alias("dims")).filter("last = 0")
+    rest = rest.unionByName(alone.select("walk_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("dims").cast("long") - 1)).alias("dim"), F.lit(0.0).alias("value")))
     if mode == "mean":
         return rest
-    width = wide.filter("pos = 0").select("walk_id", F.size("embedding").cast("long").alias("width"))
-    return head.unionByName(rest.join(width, "walk_id").select("walk_id", (F.col("dim") + F.col("width")).alias("dim"), "value"))
+    dims = wide.filter("pos = 0").select("walk_id", F.size("embedding").cast("long").alias("dims"))
+    return head.unionByName(rest.join(dims, "walk_id").select("walk_id", (F.col("dim") + F.col("dims")).alias("dim"), "value"))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:

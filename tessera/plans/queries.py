@@ -291,6 +291,14 @@ def _steps(spark, sf):
     return w.join(graph.node_index(spark, n).select("wsi_id", "node_id", "global_idx", "label", "cx", "cy"), ["wsi_id", "node_id"])
 
 
+def _embedded(spark, sf):
+    """Steps with the embeddings of their nodes, dealt by walk while they are narrow, and the dimension."""
+    v = X.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n, width = v.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    s = _steps(spark, sf).select("walk_id", "pos", (F.col("global_idx") % n).alias("vec_id")).repartition("walk_id")
+    return s.join(v, "vec_id").select("walk_id", "pos", "embedding"), width
+
+
 @query(X.BASE + _STEPS + "SELECT walk_id, arg_max(label, (c, -p)) AS label FROM (SELECT walk_id, label, count(*) AS c, min(pos) AS p FROM sl GROUP BY ALL) GROUP BY walk_id")
 def walk_label(spark, sf):
     per = _steps(spark, sf).groupBy("walk_id", "label").agg(F.count("*").alias("c"), F.min("pos").alias("p"))
@@ -311,10 +319,8 @@ def walk_polyline(spark, sf):
 
 @query(X.BASE + _STEPS + ", v AS (SELECT vec_id, embedding, count(*) OVER () AS n FROM embeddings) SELECT walk_id, dim, round(avg(CAST(x AS DOUBLE)), 5) + 0.0 AS mean FROM (SELECT walk_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM sl JOIN v ON v.vec_id = sl.global_idx % v.n) GROUP BY ALL")
 def walk_embedding_mean(spark, sf):
-    v = X.table(spark, sf, "embeddings")
-    n = v.count()
-    s = _steps(spark, sf).withColumn("vec_id", F.col("global_idx") % n).join(v.select("vec_id", "embedding"), "vec_id")
-    return sequences.mean_vectors(s).select("walk_id", "dim", (F.round("value", 5) + F.lit(0.0)).alias("mean"))
+    s, width = _embedded(spark, sf)
+    return sequences.mean_vectors(s, width=width).select("walk_id", "dim", (F.round("value", 5) + F.lit(0.0)).alias("mean"))
 
 
 _HEADED = X.walk_sql(False, False) + """, sp AS (SELECT wsi_id, walk_id, unnest(path) AS node_id, generate_subscripts(path, 1) - 1 AS pos FROM walk),
@@ -323,21 +329,17 @@ hd AS (SELECT walk_id, pos, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim
 both_ AS (SELECT walk_id, dim, max(x) FILTER (WHERE pos = 0) AS cls, coalesce(avg(x) FILTER (WHERE pos > 0), 0) AS mean FROM hd GROUP BY ALL)"""
 
 
-def _headed(spark, sf):
-    """Steps of walks with embeddings; the first node stands in for the head token."""
-    v = X.table(spark, sf, "embeddings")
-    n = v.count()
-    return _steps(spark, sf).withColumn("vec_id", F.col("global_idx") % n).join(v.select("vec_id", "embedding"), "vec_id").select("walk_id", "pos", "embedding")
-
-
 @query(X.BASE + _HEADED + "SELECT walk_id, dim, round(cls, 5) + 0.0 AS value FROM both_ UNION ALL SELECT walk_id, dim + 64, round(mean, 5) + 0.0 FROM both_")
 def pool_concat(spark, sf):
-    return sequences.pool(_headed(spark, sf), "concat").withColumn("value", F.round("value", 5) + F.lit(0.0))
+    """The first node stands in for the head token."""
+    steps, width = _embedded(spark, sf)
+    return sequences.pool(steps, "concat", width=width).withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 @query(X.BASE + _HEADED + "SELECT walk_id, dim, round(cls, 5) + 0.0 AS value FROM both_")
 def pool_cls(spark, sf):
-    return sequences.pool(_headed(spark, sf), "cls").withColumn("value", F.round("value", 5) + F.lit(0.0))
+    steps, _ = _embedded(spark, sf)
+    return sequences.pool(steps, "cls").withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 @query(X.BASE + X.walk_sql(False, False) + "SELECT walk_id, array_to_string(list_transform(generate_series(0, 40), lambda i: CASE WHEN i < len(path) + 1 THEN 1 ELSE 0 END), '') AS mask FROM walk")

@@ -10,7 +10,7 @@ from tessera import config
 from tessera.functions import cut, shared_path
 from tessera.operators import graph, grid, learners, metrics, sequences
 from tessera.plans import fixture as X
-from tessera.plans.queries import _STEPS, _regions, _steps, _walks, query
+from tessera.plans.queries import _STEPS, _embedded, _regions, _steps, _walks, query
 from tessera.sources import annotations, store
 
 _SPLIT = """, sp AS (SELECT global_idx, label, row_number() OVER (PARTITION BY label ORDER BY substr(md5('42:' || global_idx), 1, 8), global_idx) AS k, count(*) OVER (PARTITION BY label) AS n FROM idx),
@@ -113,9 +113,7 @@ _HIDDEN = [[0.1] * 64, [0.05 if i % 2 == 0 else -0.05 for i in range(64)]]
 a AS (SELECT walk_id, e, exp(0.7 * tanh(list_sum(list_transform(e, lambda x: 0.1 * x))) - 0.3 * tanh(list_sum(list_transform(e, lambda x, i: CASE WHEN i % 2 = 1 THEN 0.05 * x ELSE -0.05 * x END)))) AS w FROM sl JOIN v ON v.vec_id = sl.global_idx % v.n)
 SELECT walk_id, dim, round(sum(w * x) / sum(w), 5) + 0.0 AS value FROM (SELECT walk_id, w, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM a) GROUP BY ALL""")
 def attention_pool(spark, sf):
-    v = X.table(spark, sf, "embeddings")
-    n = v.count()
-    s = _steps(spark, sf).withColumn("vec_id", F.col("global_idx") % n).join(v.select("vec_id", "embedding"), "vec_id")
+    s, _ = _embedded(spark, sf)
     return sequences.attention_pool(s, _HIDDEN, [0.7, -0.3]).withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
