@@ -126,6 +126,8 @@ def test_toxicity_on_held_out_rows(spark):
     rows = queries.op8_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").collect()
     right = sum(r.predicted == r.toxic for r in rows)
     assert right >= 0.9 * len(rows)
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.7 * len(toxic) and sum(r.predicted for r in clean) <= 0.05 * len(clean)
 
 
 def test_pipeline_over_odd_rows(spark, sf_dir, empty_dir):
