@@ -48,7 +48,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(spark, docs, _table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, toxicity.fit(spark, docs, _table(spark, sf_dir, "labels"))).drop("passages")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

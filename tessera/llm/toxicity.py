@@ -11,7 +11,9 @@
 
 The model is fitted on at most ``SAMPLE`` documents of each label, those with the smallest hashes, never on rows held
 out. Labels of null doc_id or null value are ignored; a document with several labels counts as toxic if one says so.
-Null or wordless texts score 0. Without labels of both kinds every score is 0. Rows are neither merged nor dropped.
+Null or wordless texts score 0 and have no passages. Without labels of both kinds every score is 0. Very long texts are
+scored whole, each in one worker. Repeated rows score alike, each for itself. Other columns are ignored, and an empty
+table gives an empty result. Rows are neither merged nor dropped.
 """
 
 from __future__ import annotations
@@ -45,36 +47,40 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Table slots of each token (a row for each level), and the bounds of the texts in them."""
-    buf, off = common.utf8(pc.utf8_lower(text))
+def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Table slots of each token (a row for each level), the bounds of the texts in them, and where tokens start and end
+    in the bytes of their text. A text that lower-casing makes longer or shorter is lower-cased in ASCII alone."""
+    low = pc.utf8_lower(text)
+    buf, off = common.utf8(pc.if_else(pc.equal(pc.binary_length(low), pc.binary_length(text)), low, pc.ascii_lower(text)))
     start, end, row = common.words(np.where(_BREAK[buf], np.uint8(32), buf), off)
     sums, down = common.prefix_hash(buf), common.powers(len(buf) + 1)[1][start]
     out = np.empty((len(PREFIXES) + 1, len(start)), np.int64)
     for k, size in enumerate((*PREFIXES, 1 << 30)):
         h = common.mix((sums[np.minimum(end, start + size)] - sums[start]) * down)
         out[k] = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    return out, np.searchsorted(row, np.arange(len(off)))
+    return out, np.searchsorted(row, np.arange(len(off))), start - off[row], end - off[row]
 
 
-def segments(score: np.ndarray) -> list[float]:
-    """The scores of all maximal scoring segments, in linear time. Runs of tokens below zero count as one step."""
+def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments as (first token, token after the last, score), in linear time. Of equal ways to cut
+    them the shortest segments are given."""
     up = np.flatnonzero(score > 0)
     if not len(up):
         return []
     total = np.concatenate([[0.0], np.cumsum(score)])
-    kept: list[tuple[float, float]] = []  # running total before and after each segment
-    for left, right in zip(total[up], total[up + 1], strict=True):
+    kept: list[tuple[float, float, int, int]] = []  # running total before and after each segment, and its tokens
+    for left, right, first in zip(total[up], total[up + 1], up.tolist(), strict=True):
+        last = first + 1
         while True:
             j = len(kept) - 1
             while j >= 0 and kept[j][0] >= left:
                 j -= 1
             if j < 0 or kept[j][1] >= right:
-                kept.append((left, right))
+                kept.append((left, right, first, last))
                 break
-            left = kept[j][0]
+            left, first = kept[j][0], kept[j][2]
             del kept[j:]
-    return [b - a for a, b in kept]
+    return [(first, last, float(right - left)) for left, right, first, last in kept]
 
 
 class Model:
@@ -98,9 +104,13 @@ class Model:
         out[up[again]] = -DRIFT
         return out
 
+    def above_chance(self, found: list[float], n: int) -> np.ndarray:
+        """How far the scores of segments of a text of n tokens are above what chance gives; significant ones are above 0."""
+        return self.rate * np.array(found or [0.0]) - np.log(max(self.k * n, 1.0))
+
     def evidence(self, found: list[float], n: int) -> tuple[float, float]:
         """What the segments of a text of n tokens have above chance, on a log scale, and the best of them."""
-        above = self.rate * np.array(found or [0.0]) - np.log(max(self.k * n, 1.0))
+        above = self.above_chance(found, n)
         return float(np.log1p(above[above > 0].sum())), float(max(0.0, above.max()))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
@@ -149,7 +159,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, levels, 1 << BITS), np.uint32)
         for batch in common.slices(batches):
-            slots, at = tokens(batch.column("text"))
+            slots, at, _, _ = tokens(batch.column("text"))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             text = np.repeat(np.arange(len(toxic)), np.diff(at))
             for k in range(levels):  # a text counts once for each of its tokens
@@ -165,17 +175,18 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            slots, at = tokens(batch.column("text"))
+            slots, at, _, _ = tokens(batch.column("text"))
             score, toxic = model.scores(slots, at), batch.column("toxic").to_pylist()
             clean = np.repeat(np.array(toxic) == 0, np.diff(at))
             bins = np.histogram(np.clip(score[clean], EDGES[0], EDGES[-1]), EDGES)[0].astype(np.int64)
-            found = [segments(score[at[i] : at[i + 1]]) for i in range(len(toxic))]
+            found = [[x for _, _, x in segments(score[at[i] : at[i + 1]])] for i in range(len(toxic))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(toxic, pa.int32()), pa.array(np.diff(at), pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array([bins.tobytes(), *[None] * (len(toxic) - 1)], pa.binary())],
                 names=["toxic", "n", "found", "bins"],
             )
 
     measured = rows.mapInArrow(measure, "toxic int, n long, found array<double>, bins binary").collect()  # 2 * sample rows at most
+    common.drop(spark, rows)
     if not rates.get(0) or not rates.get(1) or not measured:
         return model
     model.rate = _rate(sum(np.frombuffer(r.bins, np.int64) for r in measured if r.bins))
@@ -190,28 +201,37 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     return model
 
 
+_PASSAGES = "array<struct<start: int, end: int, above: double>>"
+
+
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted, and the columns named in keep as kept_<name>."""
-    more = list(keep)
-    given = docs.select("doc_id", "text", *(F.col(c).alias(f"kept_{c}") for c in more))
+    """Per row of docs: doc_id, held_out, score, predicted, passages (bytes from start to end, and how far above chance:
+    the significant segments), and the columns named in keep as kept_<name>. The text goes through Python once."""
+    rest = [c for c in keep if c != "text"]
+    given = docs.select(F.col("doc_id"), F.col("text"), *(F.col(c).alias(f"kept_{c}") for c in rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            slots, at = tokens(batch.column("text"))
+        for batch in common.slices(batches, as_given="kept_text"):
+            slots, at, start, end = tokens(batch.column("text"))
             s = model.scores(slots, at)
             hot = np.concatenate([[0], np.cumsum(s > 0)])
             n = np.diff(at)
-            evidence = np.zeros((len(n), 2))
+            evidence, passages = np.zeros((len(n), 2)), [[] for _ in n]
             for i in np.flatnonzero(hot[at[1:]] > hot[at[:-1]]):
-                evidence[i] = model.evidence(segments(s[at[i] : at[i + 1]]), int(n[i]))
+                found = segments(s[at[i] : at[i + 1]])
+                scores = [x for _, _, x in found]
+                evidence[i] = model.evidence(scores, int(n[i]))
+                above = model.above_chance(scores, int(n[i]))
+                passages[i] = [{"start": int(start[at[i] + a]), "end": int(end[at[i] + b - 1]), "above": float(x)} for (a, b, _), x in zip(found, above, strict=True) if x > 0]
             p = np.where(n > 0, model.probability(evidence), 0.0)
-            kept = [batch.column(f"kept_{c}") for c in more]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("above", pa.float64())]))
+            kept = [batch.column(f"kept_{c}") for c in keep]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(p), *kept], names=["doc_id", "score", *(f"kept_{c}" for c in more)]
+                [batch.column("doc_id"), pa.array(p), pa.array(passages, kind), *kept], names=["doc_id", "score", "passages", *(f"kept_{c}" for c in keep)]
             )
 
-    kinds = {f.name: f.dataType.simpleString() for f in given.schema.fields}
-    out = given.mapInArrow(run, f"doc_id {kinds['doc_id']}, score double" + "".join(f", kept_{c} {kinds[f'kept_{c}']}" for c in more))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    out = given.mapInArrow(run, f"doc_id {kinds['doc_id']}, score double, passages {_PASSAGES}" + "".join(f", kept_{c} {kinds[c]}" for c in keep))
     return out.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *(f"kept_{c}" for c in more)
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages", *(f"kept_{c}" for c in keep)
     )
