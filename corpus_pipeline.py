@@ -1,4 +1,12 @@
-"""A corpus pipeline: each stage takes (spark, docs, sf_dir) and gives the documents that the next one works on."""
+"""A corpus pipeline: each stage takes (spark, docs, sf_dir) and gives the documents that the next one works on.
+
+Null and empty texts are clean, link with nothing, hold no item and have no words, so they come through the first three
+stages; the mix takes them as often as their source's hashes say, and the store holds an end id for them. Very long
+texts are worked on whole. Rows of equal doc_id stand or fall together in the stages that go by doc_id (decontamination);
+of repeated rows with words the Jaccard join keeps one. Ties are settled by doc_id, then by hashes, alike in every run.
+Extra columns come through unread, whatever their names. Empty tables give an empty result; without labels of both kinds
+nothing is toxic.
+"""
 
 from __future__ import annotations
 
@@ -13,24 +21,24 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model of the labels table predicts to be toxic go."""
+    """Documents that the model of the labels table predicts to be toxic go; null and wordless texts never are."""
     model = toxicity.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     clean = toxicity.score(docs, model, tuple(docs.columns)).filter("predicted = 0")
     return clean.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest doc_id stays."""
+    """Of each group of linked documents one of smallest doc_id stays; documents without words all stay."""
     return jaccard_join.keep_first(spark, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark table go."""
+    """Documents that hold an item of the benchmark table go, with all rows of their doc_id."""
     return decontamination.clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it."""
+    """Each document as often as the mix of the sources takes it; null sources are one source."""
     return mixing.repeat(spark, docs)
 
 
@@ -48,7 +56,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing sources", mix_sources),
     ("token ids", store_tokens),
 ]
-#: A model's scores and a tokenizer's ids are beyond SQL. No test holds all five stages against a plain version yet.
+#: A model's scores and a tokenizer's ids are beyond SQL; tests/llm/test_values.py holds the stages against plain Python.
 ORACLE_SQL: str | None = None
 
 
