@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, decontamination, jaccard_join, line_dedup, main_text, mixing, quality, repeated_passages, token_count, token_store, toxicity
+from tessera.llm import common, decontamination, jaccard_join, line_dedup, main_text, mixing, periodic_runs, phrases, quality, repeated_passages, secrets, token_count, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(spark, _table(spark, sf_dir, "documents")).withColumn("kept_md5", F.md5("text")).drop("text")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    return periodic_runs.find(_table(spark, sf_dir, "documents"), columns)
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken")))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_mixing": op2_mixing,
@@ -74,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_secrets": op12_secrets,
+    "op13_phrases": op13_phrases,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
@@ -81,4 +97,5 @@ ORACLES: dict[str, str] = {
     "op7_quality": quality.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }

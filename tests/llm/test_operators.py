@@ -50,7 +50,7 @@ def test_odd_rows_and_extra_columns(spark, sf_dir, name):
     n = queries.QUERIES[name](spark, sf_dir).count()
     if name.startswith("op1_"):
         assert n == 5
-    elif name != "op3_decontamination":
+    elif name not in ("op3_decontamination", "op13_phrases"):  # items and phrases, not documents
         assert n == len(cases())
 
 
