@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import cut, shared_path
-from tessera.operators import graph, grid, learners, metrics, sequences
+from tessera.operators import graph, grid, learners, metrics, sequences, training
+from tessera.operators.sequence_model import Shape
 from tessera.plans import fixture as X
 from tessera.plans.queries import _STEPS, _embedded, _regions, _steps, _walks, query
 from tessera.sources import annotations, store
@@ -231,3 +232,52 @@ def walk_classifier(spark, sf):
     rows = pooled.join(F.broadcast(ids), "name")
     # The fit reads its rows many times.
     return learners.linear_probe(cut(spark, rows.select(F.col("walk_id").alias("key"), "label", "embedding"), "pooled"), None)
+
+
+_PLAN = training.Plan(epochs=12, steps=6, rate=3e-3, frozen=2, factor=0.5, patience=4)
+
+
+def _sequences(spark, sf):
+    """(rows, classes, width): the walks from all nodes as sequences of vectors, each a node's embedding and its place in the
+    slide; labels are the classes of the nodes that walks start from, coarse ones left out, numbered anew."""
+    v = X.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n, width = v.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    side = X.edge_tiles(spark, sf) * X.TILE
+    place = F.array(*((2 * F.col(c) / side - 1).cast("float") for c in ("cx", "cy")))
+    s = _steps(spark, sf).select("wsi_id", "walk_id", "pos", "label", (F.col("global_idx") % n).alias("vec_id"), place.alias("place")).repartition("walk_id")
+    s = s.join(v, "vec_id").select("wsi_id", "walk_id", "pos", "label", F.concat("embedding", "place").alias("vector"))
+    steps = F.array_sort(F.collect_list(F.struct("pos", "vector")))  # 40 at most
+    walks = s.groupBy("wsi_id", "walk_id").agg(F.min_by("label", "pos").alias("label"), steps.alias("steps"))
+    walks = walks.filter(~F.col("label").isin(*config.EXCLUDED))
+    walks = walks.select("wsi_id", F.col("walk_id").alias("key"), "label", F.size("steps").alias("length"), F.flatten(F.transform("steps", lambda x: x["vector"])).alias("vectors"))
+    walks = cut(spark, walks, "sequences")
+    names = [r.label for r in walks.select("label").distinct().collect()]  # a row for each class
+    ids = {name: k for k, name in enumerate(sorted(names, key=config.LABELS.__getitem__))}
+    known = spark.createDataFrame(list(ids.items()), "label string, label_id int")
+    parts = metrics.stratified_split(walks.select("key", "label"), "key", "label").select("key", "split")
+    rows = walks.join(F.broadcast(known), "label").join(parts, "key")  # a row for each class
+    return training.prepare(spark, rows.select("wsi_id", "key", "label_id", "split", "length", "vectors"), _PLAN.steps), len(ids), width + 2
+
+
+def _trained(spark, sf, pooling):
+    rows, classes, width = _sequences(spark, sf)
+    shape = Shape(inputs=width, classes=max(classes, 1), pooling=pooling)
+    return rows, shape, training.fit(rows, shape, _PLAN, path=shared_path(spark, "best-model"))
+
+
+@query(None)
+def sequence_training(spark, sf):
+    """The history of a training, a row for each epoch, and in epoch 0 how the best weights do on test."""
+    got = _trained(spark, sf, "attention")[2]
+    names = [k for k in got.history[0] if k not in ("epoch", "phase", "improved")]
+    test = {"epoch": 0, "phase": 0, "improved": False} | {f"va_{k}": v for k, v in got.test.items()}
+    kind = "epoch int, phase int, improved boolean, " + ", ".join(f"{k} double" for k in names)
+    return spark.createDataFrame([tuple(h.get(k) for k in ("epoch", "phase", "improved", *names)) for h in [*got.history, test]], kind)
+
+
+@query(None)
+def slide_vote(spark, sf):
+    """The class of each slide by its test walks, weighted by the trained model's attention."""
+    rows, shape, got = _trained(spark, sf, "attention")
+    predicted = training.predict(rows.filter("split = 'test'"), shape, got.weights, ("wsi_id",))
+    return training.vote(predicted, "wsi_id", shape.classes, training.most_evidence(shape, got.weights))
