@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import cut, shared_path
-from tessera.operators import graph, grid, learners, metrics, sequences, training
+from tessera.operators import graph, grid, learners, metrics, neighbours, sequences, training
 from tessera.operators.sequence_model import Shape
 from tessera.plans import fixture as X
 from tessera.plans.queries import _STEPS, _embedded, _regions, _steps, _walks, query
@@ -217,6 +217,20 @@ def pca_projection(spark, sf):
     return learners.pca_projection(_vectors(spark, sf))
 
 
+@query(None)
+def neighbour_projection(spark, sf):
+    """All embeddings in two dimensions, near ones near each other."""
+    return neighbours.neighbour_projection(spark, _vectors(spark, sf))
+
+
+@query(None)
+def neighbour_distances(spark, sf):
+    """How far the fifteen nearest other embeddings of each one are, as found by the trees."""
+    v = _vectors(spark, sf).select("key", F.col("embedding").cast("array<double>").alias("vector"))
+    near = neighbours.neighbour_graph(spark, v, 15)
+    return near.select("key", F.posexplode("near").alias("rank", "near")).select("key", "rank", F.col("near.key").alias("other"), F.col("near.d").alias("distance"))
+
+
 @query(None)
 def walk_classifier(spark, sf):
     """A classifier of pooled walks from all nodes, fitted on all walks of train and judged on all of test; labels are
