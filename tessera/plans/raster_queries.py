@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera import streaming
 from tessera.functions import cut, shared_path
 from tessera.operators import encoders, grid
 from tessera.operators.sequences import CHANNELS
@@ -152,7 +153,10 @@ dn AS (SELECT wsi_id, node_id, ac.o AS x, kn.o AS y, CAST({_whole("sum(v * red)"
 )
 
 
-@query(_WINDOWS + "SELECT wsi_id, node_id, CAST(sum(red) AS BIGINT) AS red, CAST(sum(green) AS BIGINT) AS green, CAST(sum(blue) AS BIGINT) AS blue, CAST(sum((red + green + blue) * (1 + x + 31 * y)) AS BIGINT) AS mark FROM dn GROUP BY ALL")
+_PATCH_SUMS = _WINDOWS + "SELECT wsi_id, node_id, CAST(sum(red) AS BIGINT) AS red, CAST(sum(green) AS BIGINT) AS green, CAST(sum(blue) AS BIGINT) AS blue, CAST(sum((red + green + blue) * (1 + x + 31 * y)) AS BIGINT) AS mark FROM dn GROUP BY ALL"
+
+
+@query(_PATCH_SUMS)
 def raster_patches(spark, sf):
     got = _windows(_files(spark, sf), X.nodes(spark, sf)).withColumn("side", F.lit(SIDE // 2))
     return _summed(got.select("wsi_id", "node_id", "side", "pixels"), "side", "side").drop("side")
@@ -212,3 +216,14 @@ def patch_encoding(spark, sf):
 def patch_components(spark, sf):
     """Vectors of all patches by an encoder that is fitted on them."""
     return _encoded(spark, sf, "components16").select("global_idx", "embedding")
+
+
+@query(_PATCH_SUMS)
+def patches_as_a_stream(spark, sf):
+    """Patches of slides that come one after the other, a file of nodes each."""
+    files, inbox, out = _files(spark, sf), shared_path(spark, "inbox"), shared_path(spark, "streamed")
+    nodes = X.nodes(spark, sf).select("wsi_id", "node_id", "c", "r")
+    nodes.repartition("wsi_id").write.parquet(inbox)
+    streaming.take_in(spark, inbox, "wsi_id int, node_id long, c long, r long", out, f"{out}-state", lambda rows: _windows(files, rows), ("wsi_id", "node_id"), 1)
+    got = streaming.read(spark, out)
+    return _summed(got.withColumn("side", F.lit(SIDE // 2)).select("wsi_id", "node_id", "side", "pixels"), "side", "side").drop("side")

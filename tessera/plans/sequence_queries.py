@@ -248,7 +248,7 @@ def walk_classifier(spark, sf):
     return learners.linear_probe(cut(spark, rows.select(F.col("walk_id").alias("key"), "label", "embedding"), "pooled"), None)
 
 
-_PLAN = training.Plan(epochs=12, steps=6, rate=3e-3, frozen=2, factor=0.5, patience=4)
+_PLAN = training.Plan(epochs=8, steps=6, rate=3e-3, frozen=2, factor=0.5, patience=3)
 
 
 def _sequences(spark, sf):
