@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera import config
@@ -95,3 +96,45 @@ def test_entry_has_no_unknown_oracle():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def star(x: float, y: float, radius: float, n: int, seed: int) -> list[tuple[float, float]]:
+    rng = np.random.default_rng(seed)
+    r, a = radius * rng.uniform(0.5, 1, n), np.sort(rng.uniform(0, 2 * np.pi, n))
+    return [(float(x + p * np.cos(t)), float(y + p * np.sin(t))) for p, t in zip(r, a, strict=True)]
+
+
+def test_cover_finds_what_a_test_of_all_pairs_finds(spark):
+    square = [(100.0, 100.0), (900.0, 100.0), (900.0, 900.0), (100.0, 900.0)]
+    polygons = [
+        (0, 1, "a", [square, [(300.0, 300.0), (500.0, 300.0), (500.0, 512.0), (300.0, 512.0)]]), (0, 2, "b", [star(500, 500, 700, 4000, 1)]), (0, 3, "c", [[(0.0, 0.0), (1024.0, 1023.0), (13.0, 700.0)]]),
+        (1, 4, "d", [star(-300, 200, 900, 9, 2), star(-300, 200, 200, 30, 3)]), (1, 5, None, [[]]), (1, 6, "f", None), (1, 7, "g", [[(0.0, 0.0), (None, 5.0), (5.0, 5.0)]]), (1, 8, "h", [[(0.0, 0.0), (50.0, 0.0), (50.0, 0.0), (0.0, 0.0)]]),
+        (0, 9, "a", [[(256.0, 256.0), (512.0, 256.0), (512.0, 512.0), (256.0, 512.0), (256.0, 256.0)]]),
+    ]
+    polygons = spark.createDataFrame([(w, p, c, 1.0, r) for w, p, c, r in polygons], f"wsi_id int, poly_id int, cls string, area double, rings {RINGS}")
+    rng = np.random.default_rng(8)
+    at = [(float(x), float(y)) for x, y in rng.integers(-1300, 1400, (1200, 2))] + [(float(x), float(y)) for x in range(0, 1025, 64) for y in range(0, 1025, 64)]
+    points = spark.createDataFrame([(k % 2, k, x, y) for k, (x, y) in enumerate(at)], "wsi_id int, node_id long, cx double, cy double")
+    want = points.join(polygons, "wsi_id").filter(spatial.within(F.col("rings"), F.col("cx"), F.col("cy"))).select("wsi_id", "node_id", "poly_id", "cls", "area")
+    want = sorted(map(tuple, want.filter("poly_id <> 7").collect()), key=str)  # a point without a place: no polygon
+    for cell in (4096, 1024, 96):
+        assert sorted(map(tuple, spatial.point_in_polygon(points, polygons, cell).collect()), key=str) == want, cell
+
+
+def test_rings_are_tested_at_borders_only(spark):
+    polygon = spark.createDataFrame([(0, 1, "a", 1.0, [star(50_000, 50_000, 45_000, 60_000, 4)])], f"wsi_id int, poly_id int, cls string, area double, rings {RINGS}")
+    big = spark.createDataFrame([(0, 1, "a", 1.0, [[(1000.0, 1000.0), (99_000.0, 1000.0), (99_000.0, 99_000.0), (1000.0, 99_000.0)]])], f"wsi_id int, poly_id int, cls string, area double, rings {RINGS}")
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(0, k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 100_000, (20_000, 2)))], "wsi_id int, node_id long, cx double, cy double")
+    near = spatial.near_cells(points, big)
+    tested, all_ = near.filter("sides IS NOT NULL").count(), near.count()
+    assert all_ > 19_000 and tested < 0.03 * all_
+    cells = spatial.cover(polygon)  # a side of a cell is held by the cells whose points it may matter to
+    sides = cells.agg(F.max(F.size("sides")).alias("most"), F.sum(F.coalesce(F.size("sides"), F.lit(0))).alias("held")).first()
+    assert sides.most < 0.2 * 60_000
+
+
+def test_a_polygon_of_no_width_has_no_points(spark):
+    assert list(spatial.cells_of(np.zeros((0, 4)), 64)) == [] and list(spatial.cells_of(np.array([[0, 0, np.nan, 1]]), 64)) == []
+    inner = [c for c in spatial.cells_of(np.array([[0, 0, 300, 0], [300, 0, 300, 300], [300, 300, 0, 300], [0, 300, 0, 0.0]]), 64, 2) if c[3] is None]
+    assert len(inner) > 4 and {c[0] for c in inner} == {0, 1}
