@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.operators import spatial
+from tessera.sources import json_parts
 
-_FEATURES = "features array<struct<properties: struct<classification: string>, geometry: struct<type: string, coordinates: string>>>"
+_FEATURE = "properties struct<classification: string>, geometry struct<type: string, coordinates: string>"
+_FEATURES = f"features array<struct<{_FEATURE.replace(' struct<', ': struct<')}>>"
 _POLYGON = "array<array<array<double>>>"
 
 
@@ -35,7 +37,11 @@ def parse_features(collections: DataFrame, key: str, text: str, name: Callable[[
     """(key, feature, cls, rings, area), cls by that rule of names, of each Polygon or MultiPolygon in the GeoJSON texts. Text that is no feature
     collection, and features of another kind, give no rows. Rings of all parts stand in one list; area counts holes off."""
     parsed = collections.select(key, F.from_json(F.col(text), _FEATURES).alias("j"))
-    flat = parsed.select(key, F.posexplode("j.features").alias("feature", "f"))
+    return _polygons(parsed.select(key, F.posexplode("j.features").alias("feature", "f")), key, name)
+
+
+def _polygons(flat: DataFrame, key: str, name: Callable[[Column], Column]) -> DataFrame:
+    """parse_features of rows (key, feature, f), f a feature."""
     kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     parts = F.when(kind == "Polygon", F.array(F.from_json(raw, _POLYGON))).when(kind == "MultiPolygon", F.from_json(raw, f"array<{_POLYGON}>"))
     flat = flat.select(key, "feature", name(F.col("f.properties.classification")).alias("cls"), parts.alias("parts")).filter("parts IS NOT NULL AND parts[0] IS NOT NULL")
@@ -48,10 +54,11 @@ def parse_features(collections: DataFrame, key: str, text: str, name: Callable[[
     return flat.select(key, "feature", "cls", F.flatten("parts").alias("rings"), area.alias("area"))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """parse_features of the files under path, keyed by file."""
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    return parse_features(texts, "file", "value")
+def read_geojson(spark: SparkSession, path: str, stretch: int = json_parts.STRETCH, name: Callable[[Column], Column] = spatial.extract_label) -> DataFrame:
+    """parse_features of the files under path, keyed by file; a file of more bytes than a stretch is read by several tasks."""
+    items = json_parts.list_items(spark, path, stretch)
+    flat = items.select("file", F.col("item").cast("int").alias("feature"), F.from_json("json", _FEATURE).alias("f"))
+    return _polygons(flat, "file", name)
 
 
 def class_counts(spark: SparkSession, folder: str, out: str | None = None, patch: int = config.PATCH) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
@@ -63,8 +70,8 @@ def class_counts(spark: SparkSession, folder: str, out: str | None = None, patch
     names = [r.path for r in paths.collect()]  # files
     if not names:
         return None, None
-    texts = spark.read.text(names, wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[^.]*$", "").alias("slide"), F.col("value"))
-    each = parse_features(texts, "slide", "value", spatial.extract_label_for_counts).select("slide", F.col("cls").alias("class"), (F.col("area") / patch**2).alias("patches"))
+    each = read_geojson(spark, names, name=spatial.extract_label_for_counts).withColumn("slide", F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", ""))
+    each = each.select("slide", F.col("cls").alias("class"), (F.col("area") / patch**2).alias("patches"))
     per_slide = each.groupBy("slide", "class").agg(F.count("*").alias("polygons"), F.sum("patches").alias("patches"))
     whole = each.groupBy("class").agg(F.count("*").alias("polygons"), F.sum("patches").alias("patches"))
     whole = whole.withColumn("pct", 100 * F.col("patches") / F.sum("patches").over(Window.partitionBy()))  # a row for each class
