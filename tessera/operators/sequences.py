@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -51,10 +51,13 @@ def channel_normalize(channels: Sequence[Column], kind: str = "photographs") ->
     return [(c / 255 - m) / s for c, m, s in zip(channels, *CHANNELS[kind], strict=True)]
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def to_half(vectors: pd.Series) -> pd.Series:
-    """Vectors rounded to what half precision can hold; null stays null."""
-    return vectors.map(lambda v: None if v is None else np.asarray(v, np.float32).astype(np.float16).astype(np.float32))
+@F.arrow_udf(ArrayType(FloatType()))
+def to_half(vectors: pa.Array) -> pa.Array:
+    """Vectors rounded to what half precision can hold; null stays null, vectors and numbers alike."""
+    flat = vectors.flatten()
+    half = pa.array(flat.to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32), mask=np.array(flat.is_null()))
+    ends = np.append(0, np.cumsum(np.array(vectors.value_lengths().fill_null(0)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), half, mask=vectors.is_null())
 
 
 def positional_encoding(spark: SparkSession, length: int, width: int) -> DataFrame:
@@ -75,19 +78,69 @@ def attention_score(x: Column, hidden: Sequence[Sequence[float]], out: Sequence[
     return sum(units[1:], units[0])
 
 
+def _summed(key: pa.Array, weight: np.ndarray, vectors: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Keys once each, and the sums of their weights and vectors."""
+    coded = key.dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(number, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(number[order]) > 0))
+    return coded.dictionary, np.add.reduceat(weight[order], first), np.add.reduceat(vectors[order], first, 0)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists as rows of one width: what is missing or null is 0."""
+    flat = column.flatten().cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    n = np.array(column.value_lengths().fill_null(0))
+    if (n == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(n), width))
+    out[np.arange(width) < n[:, None]] = flat[(np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)) < width]
+    return out
+
+
 def mean_vectors(steps: DataFrame, weight: Column | None = None, width: int | None = None) -> DataFrame:
-    """(walk_id, dim, value): the mean of the embeddings of each walk's steps, weighted or not.
+    """(walk_id, dim, value): the mean of the embeddings of each walk's steps, weighted or not; a null vector counts as one
+    of zeros.
 
-    Each dimension is a sum of its own in one hash aggregate; only the means are laid out by dimension. width is the
-    vectors' dimension; without it one row is read to learn it. Steps that are dealt by walk_id are not shuffled again."""
+    Tasks sum vectors as whole arrays, batch by batch; only these sums are dealt by walk, and only the means are laid out by
+    dimension, so the plan is the same for any width. width is the vectors' dimension; without it one row is read to
+    learn it."""
     if width is None:
         first = steps.select(F.size("embedding").alias("n")).first()
         width = first.n if first else 0
-    rows = steps.select("walk_id", (F.lit(1.0) if weight is None else weight).alias("w"), "embedding")
-    sums = [F.sum(F.get("embedding", F.lit(i)).cast("double") * F.col("w")).alias(f"s{i}") for i in range(width)]
-    held = rows.groupBy("walk_id").agg(F.sum("w").alias("w"), *sums)
-    means = F.array(*(F.col(f"s{i}") / F.col("w") for i in range(width))).cast("array<double>")
-    return held.select("walk_id", F.posexplode(means).alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
+    kind = f"walk_id {steps.schema['walk_id'].dataType.simpleString()}, w double, sums array<double>"
+
+    def batch_of(key: pa.Array, w: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(x.ravel()))
+        return pa.RecordBatch.from_arrays([key, pa.array(w), lists], names=["walk_id", "w", "sums"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                w = batch.column(1).to_numpy(zero_copy_only=False)
+                yield batch_of(*_summed(batch.column(0), w, _matrix(batch.column(2), width) * w[:, None]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last walk, of which the next batch may have more
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                key, w, x = _summed(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), _matrix(batch.column(2), width))
+                if held is not None and held[0].equals(key.slice(0, 1)):
+                    w[0], x[0] = w[0] + held[1][0], x[0] + held[2][0]
+                elif held is not None:
+                    yield batch_of(*held)
+                if len(key) > 1:
+                    yield batch_of(key.slice(0, len(key) - 1), w[:-1], x[:-1])
+                held = (key.slice(len(key) - 1), w[-1:], x[-1:])
+        if held is not None:
+            yield batch_of(*held)
+
+    rows = steps.select("walk_id", (F.lit(1.0) if weight is None else weight).cast("double").alias("w"), "embedding")
+    sums = rows.mapInArrow(part, kind).repartition("walk_id").sortWithinPartitions("walk_id").mapInArrow(meet, kind)
+    means = sums.select("walk_id", F.posexplode(F.transform("sums", lambda x: x / F.col("w"))).alias("dim", "value"))
+    return means.withColumn("dim", F.col("dim").cast("long"))
 
 
 def attention_pool(steps: DataFrame, hidden: Sequence[Sequence[float]], out: Sequence[float]) -> DataFrame:

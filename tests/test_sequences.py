@@ -141,3 +141,25 @@ def test_walk_classifier_is_judged_on_the_test_walks_of_all_nodes(spark):
     walks = fixture.labelled(spark, SF).select((F.col("wsi_id").cast("long") * 10_000_000 + F.col("node_id")).alias("key"), "label")
     want = metrics.stratified_split(walks, "key", "label", 0.70, 0.0, 42).filter("split = 'test'").count()
     assert plans.QUERIES["walk_classifier"](spark, SF).first().n == want
+
+
+def test_means_of_wide_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(k), float(w), rng.normal(size=1536).astype(np.float32)) for k, w in zip(rng.integers(0, 40, 900), rng.uniform(0.5, 2, 900), strict=True)]
+    rows += [(99, 2.0, None), (99, 1.0, np.ones(1536)), (100, 1.0, np.full(3, 7.0))]
+    df = spark.createDataFrame([(k, w, None if x is None else [float(v) for v in x]) for k, w, x in rows], "walk_id long, w double, embedding array<float>").repartition(7)
+    out = {}
+    for r in sequences.mean_vectors(df, F.col("w")).groupBy("walk_id").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).collect():
+        assert [x.dim for x in r.v] == list(range(1536))
+        out[r.walk_id] = np.array([x.value for x in r.v])
+    for k in out:
+        own = [(w, np.zeros(1536) if x is None else np.pad(x, (0, 1536 - len(x)))) for i, w, x in rows if i == k]
+        assert np.allclose(out[k], sum(w * x for w, x in own) / sum(w for w, _ in own), atol=1e-6)
+    assert len(out) == len({k for k, *_ in rows})
+    assert sequences.mean_vectors(df.limit(0)).count() == 0
+
+
+def test_half_precision_of_whole_columns(spark):
+    rows = [(0, [0.1, 1e-9, 70000.0]), (1, None), (2, []), (3, [None, 3.14159265])]
+    got = {r.k: r.h for r in spark.createDataFrame(rows, "k int, v array<float>").repartition(1).select("k", sequences.to_half("v").alias("h")).collect()}
+    assert got[1] is None and got[2] == [] and got[3][0] is None and got[3][1] == float(np.float16(3.14159265)) and got[0][:2] == [float(np.float16(0.1)), 0.0] and np.isinf(got[0][2])
