@@ -132,6 +132,26 @@ def cosine_schedule(spark: SparkSession, epochs: int, lr: float = 2e-4, least: f
     return spark.range(1, epochs + 1).select(F.col("id").alias("epoch")).withColumn("lr", F.lit(least) + (F.lit(lr) - F.lit(least)) * fall)
 
 
+def cosine_rates(history: DataFrame, lr: float = 2e-4, least: float = 1e-6, period: int | None = None, growth: int = 1, runs: tuple[str, ...] = ()) -> DataFrame:
+    """Adds lr to (epoch, ...) of each run, as cosine_schedule gives it for as many epochs as the run has."""
+    place = F.col("epoch") - 1
+    if period is None:
+        width = F.count("*").over(Window.partitionBy(*runs))  # a row for each epoch
+    else:
+        begins, widths = [0], [period]
+        while begins[-1] < 1 << 31 and len(begins) < (1 << 10 if growth > 1 else 1):
+            begins.append(begins[-1] + widths[-1])
+            widths.append(widths[-1] * growth)
+        if growth > 1:
+            k = F.size(F.filter(F.array(*map(F.lit, begins)), lambda b: b <= place)) - 1
+            width = F.get(F.array(*map(F.lit, widths)), k)
+            place = place - F.get(F.array(*map(F.lit, begins)), k)
+        else:
+            width, place = F.lit(period), place % period
+    fall = (1 + F.cos(F.lit(3.141592653589793) * (place / width))) / 2
+    return history.withColumn("lr", F.lit(least) + (F.lit(lr) - F.lit(least)) * fall)
+
+
 #: What counts as better for the plateau schedule: a loss below this share of the best one.
 PLATEAU_SHARE = 1 - 1e-4
 

@@ -67,6 +67,13 @@ def positional_encoding(spark: SparkSession, length: int, width: int) -> DataFra
     return spark.range(length * width).select(pos.alias("pos"), dim.alias("dim"), F.when(dim % 2 == 0, F.sin(at)).otherwise(F.cos(at)).alias("value"))
 
 
+def with_positions(steps: DataFrame, width: int) -> DataFrame:
+    """steps (pos, embedding, ...) with positional_encoding added to their embeddings."""
+    rate = F.array(*(F.lit(math.exp(-(d - d % 2) * (math.log(10000.0) / width))) for d in range(width)))
+    add = F.zip_with("embedding", F.transform(rate, lambda r, d: F.struct((F.col("pos") * r).alias("at"), (d % 2).alias("odd"))), lambda x, p: x.cast("double") + F.when(p["odd"] == 0, F.sin(p["at"])).otherwise(F.cos(p["at"])))
+    return steps.withColumn("embedding", add)
+
+
 def attention_score(x: Column, hidden: Sequence[Sequence[float]], out: Sequence[float]) -> Column:
     """out . tanh(hidden x). At most the sum of |out|, so its exponential needs no shift."""
 

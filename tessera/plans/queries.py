@@ -517,17 +517,6 @@ def embedding_alignment(spark, sf):
     return both.agg(F.count("*").alias("n_nodes"), F.count("vec_id").alias("n_found"), F.min(some).alias("least_dim"), F.max(some).alias("most_dim"))
 
 
-@query("SELECT epoch, round(CAST(0.000001 AS DOUBLE) + (CAST(0.0002 AS DOUBLE) - CAST(0.000001 AS DOUBLE)) * (1 + cos(pi() * (epoch - 1) / 30)) / 2, 10) AS lr FROM (SELECT unnest(generate_series(1, 30)) AS epoch)")
-def lr_schedule_cosine(spark, sf):
-    return metrics.cosine_schedule(spark, 30).withColumn("lr", F.round("lr", 10))
-
-
-@query("SELECT vec_id, i - 1 AS dim, round(z[i], 4) AS z FROM (SELECT vec_id, unnest(generate_series(1, len(z))) AS i, z FROM (SELECT vec_id, list_transform(e, lambda x: (x - list_avg(e)) / sqrt(list_var_pop(e) + 0.00001)) AS z FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)))")
-def layer_norm(spark, sf):
-    z = X.table(spark, sf, "embeddings").select("vec_id", F.posexplode(metrics.layer_norm(F.col("embedding"))).alias("dim", "z"))
-    return z.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("z", 4).alias("z"))
-
-
 _HISTORY = "h AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS epoch, round(CAST('0x' || substr(md5('h:' || event_id), 1, 8) AS BIGINT) / 4294967296.0, 6) AS va_f1m FROM events)"
 
 
@@ -557,14 +546,29 @@ def lr_schedule_plateau(spark, sf):
     return metrics.plateau_schedule(h, runs=("user_id",)).select("user_id", "epoch", F.round(F.col("lr") * 1000000, 6).alias("micro_lr"))
 
 
-@query("SELECT epoch, round(CAST(0.000001 AS DOUBLE) + (CAST(0.0002 AS DOUBLE) - CAST(0.000001 AS DOUBLE)) * (1 + cos(pi() * CASE WHEN epoch <= 10 THEN (epoch - 1) / 10 ELSE (epoch - 11) / 20 END)) / 2, 10) AS lr FROM (SELECT unnest(generate_series(1, 30)) AS epoch)")
+def _cosine_sql(place: str, width: str) -> str:
+    return f"(CAST(0.000001 AS DOUBLE) + (CAST(0.0002 AS DOUBLE) - CAST(0.000001 AS DOUBLE)) * (1 + cos(pi() * {place} / {width})) / 2)"
+
+
+_COUNTED = "WITH " + _HISTORY + ", c AS (SELECT user_id, epoch, count(*) OVER (PARTITION BY user_id) AS n FROM h), k AS (SELECT *, floor(log2(1 + (epoch - 1) / 10.0) + 1e-9) AS cycle FROM c) "
+
+
+@query(_COUNTED + f"SELECT user_id, epoch, round({_cosine_sql('(epoch - 1)', 'n')}, 10) AS lr FROM c")
+def lr_schedule_cosine(spark, sf):
+    h = metrics.cosine_rates(_history(spark, sf), runs=("user_id",))
+    return h.select("user_id", "epoch", F.round("lr", 10).alias("lr"))
+
+
+@query(_COUNTED + f"SELECT user_id, epoch, round({_cosine_sql('(epoch - 1 - 10 * (power(2, cycle) - 1))', '(10 * power(2, cycle))')}, 10) AS lr FROM k")
 def lr_schedule_restart(spark, sf):
-    return metrics.schedule(spark, "cosine_restart", 30, period=10, growth=2).withColumn("lr", F.round("lr", 10))
+    h = metrics.cosine_rates(_history(spark, sf), period=10, growth=2, runs=("user_id",))
+    return h.select("user_id", "epoch", F.round("lr", 10).alias("lr"))
 
 
-@query("SELECT epoch, CASE WHEN epoch > 4 THEN 2 ELSE 1 END AS phase, round((CAST(0.000001 AS DOUBLE) + (CAST(0.0002 AS DOUBLE) - CAST(0.000001 AS DOUBLE)) * (1 + cos(pi() * (epoch - 1) / 30)) / 2) * CASE WHEN epoch > 4 THEN 0.1 ELSE 1 END, 10) AS lr FROM (SELECT unnest(generate_series(1, 30)) AS epoch)")
+@query(_COUNTED + f"SELECT user_id, epoch, CASE WHEN epoch > 4 THEN 2 ELSE 1 END AS phase, round({_cosine_sql('(epoch - 1)', 'n')} * CASE WHEN epoch > 4 THEN 0.1 ELSE 1 END, 10) AS lr FROM c")
 def two_phases(spark, sf):
-    return metrics.two_phases(metrics.schedule(spark, "cosine", 30), 4).withColumn("lr", F.round("lr", 10))
+    h = metrics.two_phases(metrics.cosine_rates(_history(spark, sf), runs=("user_id",)), 4)
+    return h.select("user_id", "epoch", "phase", F.round("lr", 10).alias("lr"))
 
 
 @query("SELECT vec_id, CASE WHEN b < 1.5 / 10 THEN 'fail' WHEN b > 0.45 THEN 'separable' ELSE 'intermediate' END AS verdict FROM (SELECT vec_id, (vec_id % 100) / 100.0 AS b FROM embeddings)")

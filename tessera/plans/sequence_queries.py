@@ -99,12 +99,16 @@ def fp16_quantize(spark, sf):
     return X.table(spark, sf, "embeddings").select("vec_id", sequences.to_half("embedding").alias("embedding"))
 
 
-_POSITION = 0.5756462732485115  # ln(10000) / 16
+_POSITION = 0.14391156831212787  # ln(10000) / 64
 
 
-@query(f"SELECT pos, dim, round(CASE WHEN dim % 2 = 0 THEN sin(pos * exp(-(dim - dim % 2) * CAST({_POSITION} AS DOUBLE))) ELSE cos(pos * exp(-(dim - dim % 2) * CAST({_POSITION} AS DOUBLE))) END, 6) AS value FROM (SELECT unnest(generate_series(0, 39)) AS pos), (SELECT unnest(generate_series(0, 15)) AS dim)")
+@query(X.BASE + _STEPS + f""", v AS (SELECT vec_id, embedding, count(*) OVER () AS n FROM embeddings),
+x AS (SELECT walk_id, pos - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM sl JOIN v ON v.vec_id = sl.global_idx % v.n)
+SELECT walk_id, dim, round(avg(x + CASE WHEN dim % 2 = 0 THEN sin(pos * exp(-(dim - dim % 2) * CAST({_POSITION} AS DOUBLE))) ELSE cos(pos * exp(-(dim - dim % 2) * CAST({_POSITION} AS DOUBLE))) END), 5) + 0.0 AS value FROM x GROUP BY ALL""")
 def positional_encoding(spark, sf):
-    return sequences.positional_encoding(spark, 40, 16).withColumn("value", F.round("value", 6))
+    """The means of walks whose steps' embeddings have their positions added."""
+    steps, width = _embedded(spark, sf)
+    return sequences.mean_vectors(sequences.with_positions(steps, width), width=width).withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 _HIDDEN = [[0.1] * 64, [0.05 if i % 2 == 0 else -0.05 for i in range(64)]]
