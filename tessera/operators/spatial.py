@@ -116,7 +116,9 @@ def cells_of(sides: np.ndarray, cell: int, levels: int = LEVELS) -> Iterator[tup
             if _odd(sides[band], x + size / 2, y + size / 2):
                 yield level, c, r, None
         elif level == levels - 1:
-            yield level, c, r, sides[band]
+            # Sides right of the cell that reach over all its height are met by the level line of any of its points.
+            over = (xs[band].min(1) > x + size) & (ys[band].min(1) < y) & (ys[band].max(1) > y + size)
+            yield level, c, r, sides[np.append(band[~over], band[over][: over.sum() % 2])]
         else:
             stack += [(level + 1, c * SPLIT + i, r * SPLIT + j, near, band) for i in range(SPLIT) for j in range(SPLIT)]
 
