@@ -219,7 +219,8 @@ def walks(edges: DataFrame, attempts: DataFrame, bounce: bool, sharp: int = 1, s
     at = edges.select(F.col("wsi_id").alias("graph"), F.col("src").alias("start"), "src_c", "src_r").distinct()
     todo = attempts.select(F.col("wsi_id").alias("slide"), "walk_id", "start", "length")
     todo = todo.join(at.withColumnRenamed("graph", "slide"), ["slide", "start"], "left")  # a start without edges is a walk by itself
+    alone = {"c": F.expr(f"-2L - start div {PART}"), "r": F.lit(-2).cast("long")}  # and is worked on in blocks apart from the slide's
     draws = F.when(F.col("length") > 1, F.transform(F.sequence(F.lit(1), F.col("length").cast("int") - 1), lambda i: draw(F.lit(seed), F.col("walk_id").cast("string"), i.cast("string"))))
-    todo = todo.select("slide", "walk_id", "start", "length", *(F.coalesce(F.floor(F.col(f"src_{x}") / BLOCK), F.lit(0)).alias(f"t{x}") for x in "cr"), F.coalesce(draws, F.array().cast("array<bigint>")).alias("draws"))
+    todo = todo.select("slide", "walk_id", "start", "length", *(F.coalesce(F.floor(F.col(f"src_{x}") / BLOCK), alone[x]).alias(f"t{x}") for x in "cr"), F.coalesce(draws, F.array().cast("array<bigint>")).alias("draws"))
     grouped = near.select("graph", "bc", "br", "src", "ways").groupBy("graph", "bc", "br").cogroup(todo.groupBy("slide", "tc", "tr"))
     return grouped.applyInPandas(block, "slide int, walk_id long, start long, length long, path array<long>").withColumnRenamed("slide", "wsi_id")

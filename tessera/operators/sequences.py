@@ -282,7 +282,9 @@ def attempts_between(nodes: DataFrame, ranges: DataFrame, seed: str = "attempt")
     ranked = rank_by_parts(nodes.select("wsi_id", "label", "root", "node_id"), ["wsi_id", "label", "root"], F.expr(f"node_id div {graph.PART}"), ["node_id"])
     placed = ranked.select("wsi_id", "label", "root", "node_id", (F.col("k_") - 1).cast("long").alias("place"))
     out = tries.join(placed, ["wsi_id", "label", "root", "place"])
-    return out.select("wsi_id", F.abs(F.xxhash64(name)).alias("walk_id"), F.col("node_id").alias("start"), F.col("length").cast("long").alias("length"), "label", "root", "attempt", "quota")
+    h = F.xxhash64(name)
+    walk_id = F.when(h == F.lit(-(2**63)), F.lit(0).cast("long")).otherwise(F.abs(h))  # the smallest number has no size of its own
+    return out.select("wsi_id", walk_id.alias("walk_id"), F.col("node_id").alias("start"), F.col("length").cast("long").alias("length"), "label", "root", "attempt", "quota")
 
 
 def accept(walks: DataFrame, tries: DataFrame, least: int = config.WALK_MIN) -> DataFrame:

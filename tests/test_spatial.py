@@ -137,3 +137,11 @@ def test_a_polygon_of_no_width_has_no_points(spark):
     assert list(spatial.cells_of(np.zeros((0, 4)), 64)) == [] and list(spatial.cells_of(np.array([[0, 0, np.nan, 1]]), 64)) == []
     inner = [c for c in spatial.cells_of(np.array([[0, 0, 300, 0], [300, 0, 300, 300], [300, 300, 0, 300], [0, 300, 0, 0.0]]), 64, 2) if c[3] is None]
     assert len(inner) > 4 and {c[0] for c in inner} == {0, 1}
+
+
+def test_starts_without_edges_are_walks_by_themselves(spark):
+    nodes = spark.createDataFrame([(0, c * 3, r * 3, c * 100 + r, "SOLIDE") for c in range(4) for r in range(4)] + [(0, 0, 1, 900, "SOLIDE")], "wsi_id int, c long, r long, node_id long, label string")
+    tries = spark.createDataFrame([(0, 10 * n + k, n, 5) for n in (0, 101, 303, 900, 123_456_789) for k in range(3)], "wsi_id int, walk_id long, start long, length long")
+    got = {r.walk_id: r.path for r in graph.walks(grid.neighbours(spark, nodes), tries, False).collect()}
+    assert len(got) == 15 and all(got[10 * n + k] == [n] for n in (101, 303, 123_456_789) for k in range(3))
+    assert all(set(got[10 * n + k]) == {0, 900} and got[10 * n + k][0] == n for n in (0, 900) for k in range(3))
