@@ -1,6 +1,7 @@
 """The operators against plain Python over a small corpus with nulls, repeated rows, ties, copies and clashing columns."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -325,6 +326,37 @@ PAGES = [
     (f"<article><h1>Areas</h1><p>The area <math><mi>A</mi><mo>=</mo><mi>x</mi></math> grows with the side, and so on.</p><p>{TWO}</p></article>", ["Areas", "The area A=x grows with the side, and so on.", TWO]),
     (f'<body><div class="cookie-banner"><p>We use cookies to improve the site.</p><button>Accept</button></div>{MENU}<article><h1>The plan</h1><p>{ONE}</p><div class="ad">Buy new shoes today, half price</div><p>{TWO}</p><blockquote>{ONE}</blockquote></article>{BAR}{FOOT}</body>', ["The plan", ONE, TWO, ONE]),
     (f"<body>{MENU}<article><h1>Terms</h1><dl><dt>plan</dt><dd>what the committee reviews</dd></dl><p>{TWO} &amp; more&hellip;</p></article><form class='search'><input><button>Search</button></form>{FOOT}</body>", ["Terms", "plan", "what the committee reviews", TWO + " & more…"]),
+    # Text right in its shell, in lines, and pages with hardly any markup.
+    (f"<body>{MENU}<article>{ONE}<br><br>{TWO}</article>{FOOT}</body>", [f"{ONE} {TWO}"]),
+    (f'<body>{MENU}<div class=content>{ONE}<br>{TWO}</div>{FOOT}</body>', [f"{ONE} {TWO}"]),
+    (f"<html><body><article>{ONE}<br/><br/>{TWO}<br/>{ONE}</article></body></html>", [f"{ONE} {TWO} {ONE}"]),
+    (f"<body>{MENU}<main><h1>The plan</h1>{ONE}<h2>Time</h2>{TWO}</main>{BAR}{FOOT}</body>", ["The plan", ONE, "Time", TWO]),
+    (f'<body>{MENU}<div id="story">{ONE}<blockquote>{TWO}</blockquote>{ONE}</div>{TALK}{FOOT}</body>', [ONE, TWO, ONE]),
+    (f"{ONE} {TWO}", [f"{ONE} {TWO}"]), (ONE, [ONE]), (f"<p>{ONE}</p><p>{TWO}</p>", [ONE, TWO]), (f"{ONE}\n\n{TWO}", [f"{ONE} {TWO}"]),
+    (f"<html><body>{ONE}<br>{TWO}</body></html>", [f"{ONE} {TWO}"]),
+    # What does not belong inside an article.
+    (f"<body>{MENU}<article><h1>The plan</h1><p>{ONE}</p><aside class=notice><p>This story was updated on Friday.</p></aside><p>{TWO}</p></article>{FOOT}</body>", ["The plan", ONE, TWO]),
+    (f'<body>{MENU}<article><h1>The plan</h1><p>{ONE}</p><div class="newsletter"><p>Get the best stories in your inbox each week.</p></div><p>{TWO}</p></article>{FOOT}</body>', ["The plan", ONE, TWO]),
+    (f"<body>{MENU}<article><h1>The plan</h1><p>{ONE}</p><div>Advertisement</div><div>Save on garden chairs and tables until Sunday.</div><p>{TWO}</p><p>{ONE}</p></article>{FOOT}</body>", ["The plan", ONE, TWO, ONE]),
+    (f"<body>{MENU}<article><p>{ONE}</p><p>ADVERTISEMENT</p><p>Fly to the sea for less with Blue Wings.</p><p>{TWO}</p></article>{FOOT}</body>", [ONE, TWO]),
+    (f"<body>{MENU}<article><h1>The plan</h1><p>{ONE}</p><form class=subscribe><p>Your email</p><input><button>Send</button></form><p>{TWO}</p></article>{FOOT}</body>", ["The plan", ONE, TWO]),
+    (f"<body>{MENU}<article><h1>The plan</h1><p>{ONE}</p><p>{TWO}</p>{TALK}</article>{FOOT}</body>", ["The plan", ONE, TWO]),
+    (f"<body>{MENU}<article><h1>The plan</h1><p>{ONE}</p><nav><ul><li><a href=#a>One</a></li><li><a href=#b>Two</a></li></ul></nav><p>{TWO}</p></article>{FOOT}</body>", ["The plan", ONE, TWO]),
+    (f'<body><article><h1>The plan</h1><div class="social"><a href=#>Share</a> <a href=#>Post</a></div><p>{ONE}</p><p>{TWO}</p></article></body>', ["The plan", ONE, TWO]),
+    (f'<body>{MENU}<div class="post"><h1>The plan</h1><p>{ONE}</p><div class="promo"><p>Read our guide to the best walks.</p></div><p>{TWO}</p></div>{BAR}{FOOT}</body>', ["The plan", ONE, TWO]),
+    # Unseen elements inside a sentence leave it whole.
+    ("<article><p>The vote <svg viewBox='0 0 1 1'><path d='M0'/><title>icon</title></svg> was close. More is to come on Monday.</p></article>", ["The vote was close. More is to come on Monday."]),
+    ("<article><p>The code is a7 <button>Copy</button> and it opens the door to the hall.</p></article>", ["The code is a7 and it opens the door to the hall."]),
+    ("<article><p>The hall <noscript><div>no picture</div></noscript> was full when <script>x()</script>the chair spoke.</p></article>", ["The hall was full when the chair spoke."]),
+    (f"<body>{MENU}<article><div>{ONE} <select><option>a</option></select> {TWO}</div></article>{FOOT}</body>", [f"{ONE} {TWO}"]),
+    (f"<article><p>{ONE}<svg><p>{TWO}</p></svg></p></article>", [ONE]),
+    # Other layouts.
+    (f'<body><header><h1>Daily Page</h1></header>{MENU}<div class="wrapper"><div class="entry"><h2>The plan</h2><p>{ONE}</p><pre>a = 1</pre><p>{TWO}</p></div>{BAR}</div>{FOOT}</body>', ["The plan", ONE, "a = 1", TWO]),
+    (f"<body>{MENU}<section id=article><p><b>{ONE}</b></p><p><em>{TWO}</em></p></section>{TALK}</body>", [ONE, TWO]),
+    (f'<body><div class="breadcrumb"><a href=/>Home</a> &gt; <a href=/n>News</a></div><article><h1>&Uuml;ber den Plan</h1><p>{ONE}</p><ol><li>first of all</li><li>last of all</li></ol></article>{FOOT}</body>', ["Über den Plan", ONE, "first of all", "last of all"]),
+    (f'<body>{MENU}<div class="container"><main><article><h1>The plan</h1><p>{ONE}</p><h3>Time</h3><p>{TWO}</p></article></main><aside><p>Popular now</p><ul><li><a href=/y>How to mend a roof</a></li></ul></aside></div>{FOOT}</body>', ["The plan", ONE, "Time", TWO]),
+    (f"<body>{MENU}<article><h1>计划</h1><p>委员会星期二开会讨论了计划。三月将再次开会。</p><p>成员要求更多时间，主席同意等待。</p></article>{FOOT}</body>", ["计划", "委员会星期二开会讨论了计划。三月将再次开会。", "成员要求更多时间，主席同意等待。"]),
+    (f'<body>{MENU}<article><p>{ONE}</p><p hidden>{TWO}</p><p style="display: none">{TWO}</p></article>{FOOT}</body>', [ONE]),
     ("", []), (None, []), ("<script>x</script><style>p {}</style><!-- <p>no</p> -->", []),
 ]
 
@@ -343,6 +375,56 @@ def test_main_text_of_hand_made_pages(spark):
     assert f1 >= 0.95
 
 
+def test_no_page_with_an_article_is_empty(spark):
+    rows = spark.createDataFrame([(k, "u", h) for k, (h, _) in enumerate(PAGES)], "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in main_text.extract(spark, rows).collect()}
+    assert all(texts[k] for k, (_, want) in enumerate(PAGES) if want) and not any(texts[k] for k, (_, want) in enumerate(PAGES) if not want)
+
+
+def chains(rng, n: int, most: int) -> list[tuple]:
+    return [([([int(x) for x in rng.integers(0, 1 << main_text.BITS, 2)], [int(x) for x in rng.integers(0, 9, 3)]) for _ in range(k)], [int(x) for x in rng.integers(0, 2, k)]) for k in rng.integers(1, most + 1, n)]
+
+
+def drawn_field(rng) -> main_text.Field:
+    field = main_text.Field()
+    field.unary, field.step = rng.normal(0, 1, field.unary.shape), rng.normal(0, 1, (2, 2))
+    return field
+
+
+def score_of(field: main_text.Field, slots: list[list[int]], states: tuple) -> float:
+    return sum(field.unary[s, y].sum() for s, y in zip(slots, states, strict=True)) + sum(field.step[a, b] for a, b in itertools.pairwise(states))
+
+
+def test_decode_takes_the_best_of_all_paths():
+    rng = np.random.default_rng(5)
+    for feats, _ in chains(rng, 60, 9):
+        field, slots = drawn_field(rng), [a + b for a, b in feats]
+        best = max(itertools.product((0, 1), repeat=len(slots)), key=lambda y: score_of(field, slots, y))
+        assert tuple(field.decode(slots)) == best
+
+
+def test_likelihood_and_gradient_against_all_paths_and_differences():
+    rng = np.random.default_rng(6)
+    pages, field = chains(rng, 7, 8), drawn_field(rng)
+    held = main_text.Chains(pages)
+    keep = np.ones(len(held.flat), bool)
+    value, unary, step = field.likelihood(held, keep)
+    plain = 0.0
+    for feats, gold in pages:
+        slots = [a + b for a, b in feats]
+        plain += score_of(field, slots, tuple(gold)) - np.logaddexp.reduce([score_of(field, slots, y) for y in itertools.product((0, 1), repeat=len(slots))])
+    assert abs(value - (plain / len(pages) - main_text.RIDGE / 2 * ((field.unary**2).sum() + (field.step**2).sum()))) < 1e-9
+    spots = [(field.unary, unary, (s, y)) for s in (0, 3, 8, pages[0][0][0][0][0]) for y in (0, 1)] + [(field.step, step, (a, b)) for a in (0, 1) for b in (0, 1)]
+    for weights, gradient, at in spots:
+        old = weights[at]
+        weights[at] = old + 1e-5
+        up = field.likelihood(held, keep)[0]
+        weights[at] = old - 1e-5
+        down = field.likelihood(held, keep)[0]
+        weights[at] = old
+        assert abs((up - down) / 2e-5 - gradient[at]) < 1e-6
+
+
 @pytest.mark.parametrize("page", ['<p x="' * 200_000, "<p " * 200_000, "<![CDATA[" * 100_000, "<p>" * 100_000 + "x", "<div>y " * 50_000])
 def test_long_and_broken_pages_take_linear_time(page):
     import time
