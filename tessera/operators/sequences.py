@@ -282,8 +282,7 @@ def attempts_between(nodes: DataFrame, ranges: DataFrame, seed: str = "attempt")
     ranked = rank_by_parts(nodes.select("wsi_id", "label", "root", "node_id"), ["wsi_id", "label", "root"], F.expr(f"node_id div {graph.PART}"), ["node_id"])
     placed = ranked.select("wsi_id", "label", "root", "node_id", (F.col("k_") - 1).cast("long").alias("place"))
     out = tries.join(placed, ["wsi_id", "label", "root", "place"])
-    h = F.xxhash64(name)
-    walk_id = F.when(h == F.lit(-(2**63)), F.lit(0).cast("long")).otherwise(F.abs(h))  # the smallest number has no size of its own
+    walk_id = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")  # 60 bits, which any engine makes alike
     return out.select("wsi_id", walk_id.alias("walk_id"), F.col("node_id").alias("start"), F.col("length").cast("long").alias("length"), "label", "root", "attempt", "quota")
 
 
@@ -293,8 +292,10 @@ def accept(walks: DataFrame, tries: DataFrame, least: int = config.WALK_MIN) ->
 
 
 def _long_enough(walks: DataFrame, tries: DataFrame, least: int) -> DataFrame:
-    w = walks.filter(F.size("path") >= least).select("wsi_id", "walk_id", "path")
-    return w.join(tries.select("wsi_id", "walk_id", "label", "root", "attempt", "quota"), ["wsi_id", "walk_id"])
+    # A start is in one region, so tries that share an id are told apart, or are the same walk.
+    same = ["wsi_id", "walk_id", "start", "length"]
+    w = walks.filter(F.size("path") >= least).select(*same, "path")
+    return w.join(tries.select(*same, "label", "root", "attempt", "quota"), same)
 
 
 def _first_distinct(w: DataFrame) -> DataFrame:

@@ -124,18 +124,22 @@ cap0 AS (SELECT label, count(*) AS n_regions, CAST(sum(n_nodes) AS BIGINT) AS n_
 cap AS (SELECT *, least(capacity, min(capacity) OVER () * {config.MAX_IMBALANCE}) AS target FROM cap0)"""
 
 
-def walk_sql(bounce: bool, same_label: bool, sharp: int = 1) -> str:
-    """CTE walk(wsi_id, walk_id, path): the walks from all nodes on the graph, step by step."""
+def walk_sql(bounce: bool, same_label: bool, sharp: int = 1, tries: str | None = None) -> str:
+    """CTE walk(wsi_id, walk_id, path): the walks from all nodes on the graph, step by step, or those of a CTE
+    tries(wsi_id, walk_id, start, length)."""
     same = "WHERE src_label = dst_label" if same_label else ""
     only = f"WHERE label NOT IN ({_EXCLUDED})" if same_label else ""
+    begun = f"""st AS (SELECT wsi_id, CAST(wsi_id AS BIGINT) * 10000000 + node_id AS walk_id, node_id AS start FROM lab {only}),
+stl AS (SELECT *, {config.WALK_MIN} + CAST('0x' || substr(md5('length:' || walk_id), 1, 8) AS BIGINT) % {config.WALK_MAX - config.WALK_MIN + 1} AS length FROM st)"""
+    if tries:
+        begun = f"stl AS (SELECT wsi_id, walk_id, start, length FROM {tries})"
     weights = f"list_transform(dirs, lambda x: CASE WHEN came IS NULL OR (x - came + 6) % 6 NOT IN (2, 4) THEN 10 ELSE {sharp} END)"
     if sharp == 0:  # where only sharp turns are left they count in full, or not at all without bounce
         only_sharp = "list_transform(dirs, lambda x: 1)" if bounce else "list_transform(dirs, lambda x: 0)"
         weights = f"CASE WHEN list_sum({weights}) > 0 THEN {weights} ELSE {only_sharp} END"
     back = "CASE WHEN came IS NOT NULL AND d[(came + 3) % 6 + 1] IS NOT NULL THEN (came + 3) % 6 END" if bounce else "NULL"
     return f""", adj AS MATERIALIZED (SELECT wsi_id, src, [max(dst) FILTER (WHERE dir = 0), max(dst) FILTER (WHERE dir = 1), max(dst) FILTER (WHERE dir = 2), max(dst) FILTER (WHERE dir = 3), max(dst) FILTER (WHERE dir = 4), max(dst) FILTER (WHERE dir = 5)] AS d FROM e {same} GROUP BY wsi_id, src),
-st AS (SELECT wsi_id, CAST(wsi_id AS BIGINT) * 10000000 + node_id AS walk_id, node_id AS start FROM lab {only}),
-stl AS (SELECT *, {config.WALK_MIN} + CAST('0x' || substr(md5('length:' || walk_id), 1, 8) AS BIGINT) % {config.WALK_MAX - config.WALK_MIN + 1} AS length FROM st),
+{begun},
 wk(wsi_id, walk_id, length, step, nd, came, path) AS (SELECT wsi_id, walk_id, length, CAST(1 AS BIGINT), start, CAST(NULL AS INTEGER), [start] FROM stl
     UNION ALL SELECT wsi_id, walk_id, length, step + 1, d[go + 1], go, list_append(path, d[go + 1]) FROM (
         SELECT *, coalesce(dirs[list_position(list_transform(generate_series(1, len(ws)), lambda i: list_sum(ws[1:i]) > h % list_sum(ws)), true)], {back}) AS go FROM (

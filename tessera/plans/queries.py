@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions import cut, draw
 from tessera.operators import graph, grid, metrics, sequences, spatial, walk_pipeline
+from tessera.plans import drawn_walks as W
 from tessera.plans import fixture as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,7 +356,7 @@ def walk_sample(spark, sf):
     return w.orderBy(draw(F.lit(str(config.SEED)), F.col("walk_id").cast("string")), "walk_id").limit(300).select("walk_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
-@query(None)
+@query(W.PER_SLIDE + "SELECT wsi_id, attempt, array_to_string(path, ',') AS path FROM made")
 def walks_per_slide(spark, sf):
     """Fifty walks of each slide, over nodes of all labels."""
     return walk_pipeline.slide_walks(spark, cut(spark, X.labelled(spark, sf), "labelled")).select("wsi_id", "attempt", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
@@ -365,13 +366,13 @@ def _numbered(walks):
     return walks.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
 
 
-@query(None)
+@query(W.BALANCED + W.FINISHED + W.BY_WALK)
 def walk_pipeline_balanced(spark, sf):
     """The whole pipeline: balanced walks, split by walks of each label."""
     return _numbered(walk_pipeline.run(spark, X.labelled(spark, sf)))
 
 
-@query(None)
+@query(W.PER_REGION + W.FINISHED + W.BY_REGION)
 def walk_pipeline_holdout(spark, sf):
     """The whole pipeline: thirty walks a region, split by whole regions."""
     return _numbered(walk_pipeline.run(spark, X.labelled(spark, sf), balanced=False, holdout={"default": 1, "SOLIDE": 2}))

@@ -10,6 +10,7 @@ from tessera import config
 from tessera.functions import cut, shared_path
 from tessera.operators import graph, grid, learners, metrics, neighbours, sequences, training
 from tessera.operators.sequence_model import Shape
+from tessera.plans import drawn_walks as W
 from tessera.plans import fixture as X
 from tessera.plans.queries import _STEPS, _embedded, _regions, _steps, _walks, query
 from tessera.sources import annotations, store
@@ -170,7 +171,7 @@ def overfit_subset(spark, sf):
     return metrics.overfit_subset(X.index(spark, sf).select("global_idx", "label"), "global_idx", "label", 32)
 
 
-@query(None)
+@query(W.BALANCED + W.REPORT)
 def walk_report(spark, sf):
     sizes, _, made = _balanced(spark, sf)
     return sequences.walk_report(made, graph.class_capacity(sizes)).withColumn("redundancy", F.round("redundancy", 6))
@@ -192,13 +193,13 @@ def _region_walks(spark, sf, quotas):
     return sequences.accept(graph.walks(e, tries, True), tries).select("wsi_id", "label", "root", "attempt", _text("path"))
 
 
-@query(None)
+@query(W.PER_REGION + "SELECT wsi_id, label, root, attempt, array_to_string(path, ',') AS path FROM made")
 def walks_by_region(spark, sf):
     """Thirty walks of each region."""
     return _region_walks(spark, sf, lambda sizes: sizes.withColumn("quota", F.lit(30).cast("long")))
 
 
-@query(None)
+@query(W.BALANCED + "SELECT wsi_id, label, root, attempt, array_to_string(path, ',') AS path FROM made")
 def walks_balanced(spark, sf):
     """The whole balanced allocation of each region; what a region falls short of is shared among later ones."""
     return _balanced(spark, sf)[1].select("wsi_id", "label", "root", "attempt", _text("path"))
