@@ -27,3 +27,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         if done:
             common.drop(spark, pairs)
             return labels
+
+
+def merged(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """labels (id, root) after moved (id, root), the components of links between roots and ids that had no label."""
+    to = moved.select(F.col("id").alias("root"), F.col("root").alias("to"))
+    known = labels.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    return known.unionByName(moved.join(labels.select("id"), "id", "left_anti"))

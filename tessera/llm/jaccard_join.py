@@ -14,7 +14,9 @@ are one shingle as a whole. Sets are arrays of 64-bit hashes.
    together here, with as many pairs as rows.
 5. Tiles: for each key that still holds several components, the sets of neighbouring size bands (sizes in a ratio under
    4:3), in blocks of at most ``BLOCK`` a side. In a tile, all pairs from different components whose bit counts allow a
-   link are candidates, each given by the first key that it shares.
+   link are candidates, each tested by the first key that it shares. Sets with a candidate get their arrays and meet
+   again in their tile, which tests them and gives one link for each two components that fall together: rows are sets
+   of tiles, never pairs.
 
 A test has two parts: bits that only one bitmap has are shingles that the other set lacks, which bounds the overlap
 from above; what passes is decided by intersecting the sorted arrays. Pairs within a component are left out.
@@ -28,7 +30,7 @@ ignored, and an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.components import components
+from tessera.llm.components import components, merged
 
 WORDS = 5
 TABLE_BITS = 21
@@ -44,6 +46,8 @@ CHUNK_BITS = 15
 #: Keys whose table entry is this many times the mean (as a power of two) are dealt out over several groups.
 HOT_LEVEL = 6
 BLOCK = 512
+#: Bytes of arrays in a block, about.
+BLOCK_BYTES = 32 << 20
 BAND = np.log(4 / 3)
 #: Rounds of tests against drawn sets of a key, and how many are drawn for each key and round.
 TURNS = 2
@@ -212,13 +216,17 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.dropDuplicates(["set_id"])
 
 
+def _linked(x: bytes | pa.Buffer, y: bytes | pa.Buffer) -> bool:
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    return 7 * len(np.intersect1d(u, v, assume_unique=True)) >= 3 * (len(u) + len(v))
+
+
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
         ok = []
         for x, y in zip(left, right, strict=True):
-            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            ok.append(7 * len(np.intersect1d(u, v, assume_unique=True)) >= 3 * (len(u) + len(v)))
+            ok.append(_linked(x, y))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], names=["a", "b", "linked"])
 
 
@@ -257,6 +265,24 @@ class Linker:
                 pairs = pairs.filter((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
         return pairs.select("a", "b", "na", "nb", "left", "right").mapInArrow(_bounded, "a long, b long")
 
+    def arrays(self, ids: DataFrame) -> DataFrame:
+        """(set_id, hashes) of the sets (set_id)."""
+        wanted = ids.distinct().join(self.sets.select("set_id", "first_key"), "set_id")
+        return common.cut(self.spark, _arrays(self.docs, wanted), "arrays")
+
+    def merge(self, links: DataFrame) -> None:
+        """Components that the links (a, b) join become one; only their names are looked at, not what made them."""
+        if links.isEmpty():
+            return
+        edges = self.label(links).select(*_ordered("ra", "rb")).filter("a <> b").distinct()
+        moved = components(self.spark, edges)
+        if self.labels is None:
+            self.labels = moved
+            return
+        labels = common.cut(self.spark, merged(self.labels, moved), "labels")
+        common.drop(self.spark, self.labels, moved)
+        self.labels = labels
+
     def connect(self, pairs: DataFrame) -> None:
         """Test the pairs (a, b; bounded already) that weren't tested before, and label the components anew."""
         pairs = self.label(pairs.distinct()).filter("ra <> rb").select("a", "b")
@@ -265,14 +291,24 @@ class Linker:
         pairs = common.cut(self.spark, pairs, "candidates")
         if pairs.isEmpty():
             return
-        wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(self.sets.select("set_id", "first_key"), "set_id")
-        arrays = common.cut(self.spark, _arrays(self.docs, wanted), "arrays")
+        arrays = self.arrays(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")))
         both = pairs.join(arrays.select(F.col("set_id").alias("b"), F.col("hashes").alias("right")), "b")
         both = both.join(arrays.select(F.col("set_id").alias("a"), F.col("hashes").alias("left")), "a").select("a", "b", "left", "right")
         fresh = common.cut(self.spark, both.mapInArrow(_intersect, "a long, b long, linked boolean"), "tested")
         common.drop(self.spark, arrays, pairs)
         self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
-        self.labels = components(self.spark, self.tested.filter("linked"))
+        self.merge(fresh.filter("linked"))
+
+    def finish(self, owned: DataFrame) -> None:
+        """Test all pairs of different components that share one of the owned keys."""
+        hopeful = common.cut(self.spark, tiles(self.spark, owned, self.sets), "hopeful")
+        if hopeful.isEmpty():
+            return
+        arrays = self.arrays(hopeful.select("set_id"))
+        rows = _dealt(self.spark, hopeful.join(arrays, "set_id"))
+        links = common.cut(self.spark, rows.mapInArrow(_tile, "a long, b long"), "links")
+        common.drop(self.spark, arrays, hopeful)
+        self.merge(links)
 
     def owned(self, held: DataFrame) -> DataFrame:
         """(key, set_id, n, root) of the keys that several components share; of keys with the same sets (those of one
@@ -303,40 +339,27 @@ def hubs(owned: DataFrame, turn: int) -> DataFrame:
 # --- 5: tiles ---------------------------------------------------------------------------------------------------
 
 
-def _tile_pairs(key: int, own: np.ndarray, n: np.ndarray, root: np.ndarray, low: np.ndarray, side: np.ndarray, bits: list[bytes], rings: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of different components of a tile that bit counts allow, of those whose least common key this is."""
-    i, j = np.triu_indices(len(own), 1)
+def _tile_pairs(n: np.ndarray, root: np.ndarray, low: np.ndarray, side: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Pairs of different components of a tile that sizes and bit counts allow."""
+    i, j = np.triu_indices(len(n), 1)
     ok = (root[i] != root[j]) & (low[i] | low[j]) & ((side[i] == 0) | (side[i] != side[j])) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
     i, j = i[ok], j[ok]
     if not len(i):
-        return []
-    folded, out = _folded(bits), []
+        return
+    folded = _folded(bits)
     step = max(1, (1 << 19) // folded.shape[1])
     for k in range(0, len(i), step):
         a, b = i[k : k + step], j[k : k + step]
         keep = _possible(folded[a], folded[b], n[a], n[b])
-        for x, y in zip(a[keep], b[keep], strict=True):
-            if np.intersect1d(rings[x], rings[y], assume_unique=True)[0] == key:
-                out.append((min(own[x], own[y]), max(own[x], own[y])))
-    return out
+        yield from zip(a[keep].tolist(), b[keep].tolist(), strict=True)
 
 
-def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components from the rows of each tile, which come one after the other."""
-
-    def found(rows: pa.RecordBatch, starts: np.ndarray) -> list[tuple[int, int]]:
-        key, own, n, root, low, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "set_id", "n", "root", "low", "side"))
-        n, ring, bits, out = n.astype(np.int64), rows.column("keys"), rows.column("bits"), []
-        ends, keys = ring.offsets.to_numpy(), ring.values.to_numpy()
-        for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True):
-            if b - a > 1 and (root[a:b] != root[a]).any():
-                rings = [keys[ends[k] : ends[k + 1]] for k in range(a, b)]
-                out += _tile_pairs(key[a], own[a:b], n[a:b], root[a:b], low[a:b], side[a:b], bits.slice(a, b - a).to_pylist(), rings)
-        return out
-
-    def result(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+    """The rows of whole tiles, which come one after the other, and where each tile of several components starts and ends."""
+
+    def several(rows: pa.RecordBatch, starts: np.ndarray) -> list[tuple[int, int]]:
+        root = rows.column("root").to_numpy()
+        return [(a, b) for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True) if (root[a:b] != root[a]).any()]
 
     rest: pa.RecordBatch | None = None  # the last tile so far
     for batch in batches:
@@ -350,20 +373,63 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(new)
         rest = batch.slice(starts[-1])
         if len(starts) > 1:
-            whole = pa.concat_batches([batch.slice(0, starts[-1])])
-            yield result(found(whole, starts[:-1]))
+            yield (whole := pa.concat_batches([batch.slice(0, starts[-1])])), several(whole, starts[:-1])
     if rest is not None:
-        yield result(found(pa.concat_batches([rest]), np.zeros(1, np.int64)))
+        yield (whole := pa.concat_batches([rest])), several(whole, np.zeros(1, np.int64))
+
+
+def _candidates(rows: pa.RecordBatch, a: int, b: int, skip: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of the tile from a to b that may link and whose least common key this is, but for those to skip."""
+    n, root, low, side = (rows.column(c).slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("n", "root", "low", "side"))
+    ring = rows.column("keys")
+    ends, keys, key = ring.offsets.to_numpy(), ring.values.to_numpy(), rows.column("key")[a].as_py()
+    for i, j in _tile_pairs(n.astype(np.int64), root, low, side, rows.column("bits").slice(a, b - a).to_pylist()):
+        x, y = a + i, a + j
+        if not skip(x, y) and np.intersect1d(keys[ends[x] : ends[x + 1]], keys[ends[y] : ends[y + 1]], assume_unique=True)[0] == key:
+            yield x, y
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of tiles that are in a candidate pair there."""
+    for rows, whole in _in_tiles(batches):
+        some = np.zeros(rows.num_rows, bool)
+        for a, b in whole:
+            for x, y in _candidates(rows, a, b, lambda x, y: some[x] and some[y]):
+                some[[x, y]] = True
+        yield rows.filter(pa.array(some))
+
+
+def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different components from the rows of each tile: those that may link or, where rows have their
+    hashes, those that do, as many as make one of what they join."""
+    for rows, whole in _in_tiles(batches):
+        own, root = rows.column("set_id").to_numpy(), rows.column("root").to_numpy()
+        hashes = rows.column("hashes") if "hashes" in rows.schema.names else None
+        out: list[tuple[int, int]] = []
+        for a, b in whole:
+            joined = root[a:b].copy() if hashes is not None else None  # the components as this tile's links join them
+            for x, y in _candidates(rows, a, b, lambda x, y: joined is not None and joined[x - a] == joined[y - a]):
+                if hashes is not None:
+                    if not _linked(hashes[x].as_buffer(), hashes[y].as_buffer()):
+                        continue
+                    joined[joined == joined[y - a]] = joined[x - a]
+                out.append((min(own[x], own[y]), max(own[x], own[y])))
+        left, right = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def _dealt(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    return rows.repartition(common.tasks(spark), "key", "band", "tile").sortWithinPartitions("key", "band", "tile", "set_id")
 
 
 def tiles(spark: SparkSession, owned: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of owned (key, set_id, n, root)."""
+    """The rows of tiles of owned (key, set_id, n, root) that are in a candidate pair there."""
     band = F.floor(F.log("n") / F.lit(BAND)).cast("int")
     rings = owned.groupBy("set_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # a quarter of the set at most
     rows = owned.select("key", "set_id", "n", "root", band.alias("own"))
     rows = rows.select("*", F.explode(F.array("own", F.col("own") - 1)).alias("band")).withColumn("low", F.col("own") == F.col("band"))
-    size = rows.groupBy("key", "band").agg(F.count("*").alias("c"), F.count_if("low").alias("lows"), F.min("root").alias("x"), F.max("root").alias("y"))
-    size = size.filter("c > 1 AND lows > 0 AND x <> y").select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    size = rows.groupBy("key", "band").agg(F.count("*").alias("c"), F.sum("n").alias("all"), F.count_if("low").alias("lows"), F.min("root").alias("x"), F.max("root").alias("y"))
+    size = size.filter("c > 1 AND lows > 0 AND x <> y").select("key", "band", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(8 * F.col("all") / BLOCK_BYTES)).cast("int").alias("blocks"))
     rows = rows.join(size, ["key", "band"])
     # Beyond one block, a row goes to the tiles of its block with each block: side 0 is a block with itself.
     block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
@@ -372,8 +438,7 @@ def tiles(spark: SparkSession, owned: DataFrame, sets: DataFrame) -> DataFrame:
     side = F.when(F.col("block") == F.col("with"), 0).when(F.col("block") < F.col("with"), 1).otherwise(2)
     rows = rows.select("key", "band", tile.alias("tile"), "set_id", "n", "root", "low", side.cast("int").alias("side"))
     rows = rows.join(sets.select("set_id", "bits").join(rings, "set_id"), "set_id").select("key", "band", "tile", "set_id", "n", "root", "low", "side", "bits", "keys")
-    rows = rows.repartition(common.tasks(spark), "key", "band", "tile").sortWithinPartitions("key", "band", "tile", "set_id")
-    return rows.mapInArrow(_tile, "a long, b long").distinct()
+    return _dealt(spark, rows).mapInArrow(_hopeful, rows.schema)
 
 
 def _grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -392,7 +457,7 @@ def _grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
         linker.connect(linker.bounded(hubs(owned, turn)))
         common.drop(spark, owned)
     owned = linker.owned(held)
-    linker.connect(tiles(spark, owned, sets))
+    linker.finish(owned)
     common.drop(spark, owned, held)
 
     named = profiles.withColumn("root", F.col("set_id"))
