@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from tessera import config
 from tessera.functions import cut, discard, draw, rank_by_parts
@@ -13,6 +20,10 @@ from tessera.operators import grid
 
 #: A block of tiles that one task joins up: at most BLOCK * BLOCK nodes, whatever a slide holds.
 BLOCK = 64
+#: A block of starts that one task walks from; with a margin of the longest walk on all sides.
+WALK_BLOCK = 128
+#: Walks that take their steps together.
+TOGETHER = 8192
 #: Neighbouring node_ids that are put in order together, and rows of an index that are hashed together.
 PART, CHUNK = 4096, 1024
 
@@ -224,3 +235,157 @@ def walks(edges: DataFrame, attempts: DataFrame, bounce: bool, sharp: int = 1, s
     todo = todo.select("slide", "walk_id", "start", "length", *(F.coalesce(F.floor(F.col(f"src_{x}") / BLOCK), alone[x]).alias(f"t{x}") for x in "cr"), F.coalesce(draws, F.array().cast("array<bigint>")).alias("draws"))
     grouped = near.select("graph", "bc", "br", "src", "ways").groupBy("graph", "bc", "br").cogroup(todo.groupBy("slide", "tc", "tr"))
     return grouped.applyInPandas(block, "slide int, walk_id long, start long, length long, path array<long>").withColumnRenamed("slide", "wsi_id")
+
+
+# --- walks over tiles -------------------------------------------------------------------------------------------
+
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+
+
+def _md5_head(words: list[np.ndarray | np.uint32], n: int) -> np.ndarray:
+    """The first 32 bits of the md5 of n messages of one block each, given as their sixteen words."""
+    a, b, c, d = (np.full(n, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f = f + a + _SINES[i] + words[g]
+        turn = _TURNS[i // 16][i % 4]
+        a, d, c, b = d, c, b, b + ((f << np.uint32(turn)) | (f >> np.uint32(32 - turn)))
+    return (a + np.uint32(0x67452301)).byteswap()
+
+
+def step_draws(seed: str, walk_id: np.ndarray, most: int) -> np.ndarray:
+    """draw(seed, walk_id, step) of each walk (a row each) and step from 1 to most."""
+    out = np.empty((len(walk_id), most), np.int64)
+    heads = [f"{seed}:{w}:".encode() for w in walk_id.tolist()]
+    wide = np.array([len(h) for h in heads], np.int64)
+    for n in np.unique(wide):
+        own = np.flatnonzero(wide == n)
+        if n + len(str(most)) > 55:  # more than a block of md5
+            for i in own:
+                out[i] = [int(hashlib.md5(heads[i] + str(k).encode()).hexdigest()[:8], 16) for k in range(1, most + 1)]
+            continue
+        text = np.zeros((len(own), 64), np.uint8)
+        text[:, :n] = np.frombuffer(b"".join(heads[i] for i in own), np.uint8).reshape(-1, n)
+        for k in range(1, most + 1):
+            tail = str(k).encode() + b"\x80"
+            text[:, n : n + len(tail)] = np.frombuffer(tail, np.uint8)
+            text[:, 56:58] = np.frombuffer((8 * (int(n) + len(tail) - 1)).to_bytes(2, "little"), np.uint8)
+            words = np.ascontiguousarray(text.view("<u4").T)
+            out[own, k - 1] = _md5_head([words[j] if 4 * j < n + len(tail) or j == 14 else np.uint32(0) for j in range(16)], len(own))
+    return out
+
+
+def _ways(c: np.ndarray, r: np.ndarray, label: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """For each tile the places of its six neighbours of the same label, -1 where there is none; of several tiles in one
+    place the one of the largest node counts."""
+    high, wide = c - c.min() + 1, r - r.min() + 1
+    span = int(wide.max()) + 2
+    at = (label.astype(np.int64) * (int(high.max()) + 2) + high) * span + wide
+    order = np.lexsort((node, at))
+    last = order[np.append(at[order][1:] != at[order][:-1], True)]
+    known = at[last]
+    out = np.full((len(c), 6), -1)
+    for parity, ring in config.NEIGHBOURS.items():
+        own = np.flatnonzero(c % 2 == parity)
+        for d, (dc, dr) in enumerate(ring):
+            to = at[own] + dc * span + dr
+            place = np.minimum(np.searchsorted(known, to), len(known) - 1)
+            out[own, d] = np.where(known[place] == to, last[place], -1)
+    return out
+
+
+def along(places: np.ndarray, made: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """For each walk the values at the places that it visits."""
+    flat = places[np.arange(places.shape[1]) < made[:, None]]
+    ends = np.append(0, np.cumsum(made)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values.take(pa.array(flat, mask=flat < 0)))
+
+
+def grid_walks(
+    nodes: DataFrame, attempts: DataFrame, bounce: bool, same_label: bool = False, sharp: int = 1, straight: int = 10, seed: str = "walk", most: int = config.WALK_MAX,
+    keep: Sequence[str] = (), carry: Sequence[str] = (), fold: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]] | None = None, folded: str = "",
+) -> DataFrame:
+    """The walks of walks() over the tiles of nodes (wsi_id, node_id, c, r, ...), next to each other or, with same_label, of the
+    same label too.
+
+    A task has a block of starts and the nodes within `most` of it, finds their neighbours and makes the draws itself: neither
+    edges nor draws are shuffled, and no step is joined with its node. Columns of attempts named in keep stay; those of nodes
+    named in carry come as arrays along the path. With a fold its columns (named by the types `folded`) come in place of path
+    and arrays: it gets the block's nodes in order of node_id with their carried columns (a node has several rows where nodes
+    has), the first row of each, and of some walks the places on their paths (-1 after the end; nodes counted once) and lengths.
+
+    attempts that have c and r of their starts are not joined with nodes for them."""
+    named = [x for x in carry if x != "label"]
+    columns = ["wsi_id", "node_id", "c", "r", *(["label"] if same_label or "label" in carry else []), *named]
+    todo = attempts
+    if not {"c", "r"} <= set(attempts.columns):
+        todo = attempts.join(nodes.select("wsi_id", F.col("node_id").alias("start"), "c", "r").distinct(), ["wsi_id", "start"], "left")
+    kinds = {f.name: f.dataType for f in nodes.schema.fields}
+    schema = StructType()
+    for f in todo.select("wsi_id", "walk_id", "start", "length", *keep).schema.fields:
+        schema = schema.add(f.name, f.dataType)
+    if fold is None:
+        schema = schema.add("path", ArrayType(LongType()))
+        for x in carry:
+            schema = schema.add(f"path_{x}", ArrayType(kinds[x]))
+    else:
+        schema = StructType([*schema.fields, *StructType.fromDDL(folded).fields])
+    shape = to_arrow_schema(schema)
+
+    def block(near: pa.Table, todo: pa.Table) -> pa.Table:
+        if not todo.num_rows:
+            return shape.empty_table()
+        near, todo = near.sort_by("node_id"), todo.rename_columns(["slide", "tc", "tr", *shape.names[: len(keep) + 4][1:]])
+        node = near.column("node_id").to_numpy()
+        ids, first = np.unique(node, return_index=True)
+        start = todo.column("start").to_numpy()
+        known, ways = len(ids), np.full((0, 6), -1)
+        if known:
+            one = near.take(pa.array(first)).combine_chunks()
+            if same_label:
+                label = one.column("label").combine_chunks().dictionary_encode()
+                label = (label.chunk(0) if isinstance(label, pa.ChunkedArray) else label).indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            else:
+                label = np.zeros(known, np.int64)
+            ways = _ways(one.column("c").to_numpy(), one.column("r").to_numpy(), label, ids)
+            if same_label:
+                ways[label < 0] = -1
+        lost = np.setdiff1d(start, ids)  # starts that are no nodes are walks by themselves
+        ways = np.concatenate([ways, np.full((len(lost), 6), -1)])
+        at = np.searchsorted(ids, start)
+        here = (at < known) & (ids[np.minimum(at, known - 1)] == start) if known else np.zeros(len(start), bool)
+        at = np.where(here, at, known + np.searchsorted(lost, start))
+        length = todo.column("length").to_numpy().astype(np.int64)
+        if length.max() > most:
+            raise ValueError(f"a walk of more than {most} steps needs a wider margin")
+        every, walk_id, out = pa.array(np.concatenate([ids, lost])), todo.column("walk_id").to_numpy(), []
+        held = todo.select(["slide", *shape.names[1 : len(keep) + 4]])
+        for i in range(0, len(start), TOGETHER):
+            some = slice(i, i + TOGETHER)
+            draws = step_draws(seed, walk_id[some], max(int(length[some].max()) - 1, 0))
+            path, made = _stepped(draws, length[some], at[some], ways, bounce, sharp, straight)
+            if fold is None:
+                seen = np.where(path < known, path, -1)
+                got = [along(path, made, every), *(along(seen, made, one.column(x).combine_chunks() if known else pa.nulls(1, shape.field(f"path_{x}").type.value_type)) for x in carry)]
+            else:
+                got = fold(near, first, np.where(path < known, path, -1), made)
+            rows = held.slice(i, TOGETHER).combine_chunks()
+            out.append(pa.Table.from_arrays([*(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in rows.columns), *got], names=shape.names).cast(shape))
+        return pa.concat_tables(out)
+
+    near = nodes.filter("c IS NOT NULL AND r IS NOT NULL AND node_id IS NOT NULL").select(*columns)
+    for x in "cr":
+        low, high = F.floor((F.col(x) - most) / WALK_BLOCK), F.floor((F.col(x) + most) / WALK_BLOCK)
+        near = near.withColumn(f"b{x}", F.explode(F.sequence(low, high)))
+    alone = {"c": F.expr(f"-2L - start div {PART}"), "r": F.lit(-2).cast("long")}
+    todo = todo.select("wsi_id", *(F.coalesce(F.floor(F.col(x) / WALK_BLOCK), alone[x]).alias(f"t{x}") for x in "cr"), "walk_id", "start", "length", *keep)
+    near = near.withColumnRenamed("wsi_id", "graph").groupBy("graph", "bc", "br")
+    return near.cogroup(todo.withColumnRenamed("wsi_id", "slide").groupBy("slide", "tc", "tr")).applyInArrow(block, schema)

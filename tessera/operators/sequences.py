@@ -155,6 +155,64 @@ def attention_pool(steps: DataFrame, hidden: Sequence[Sequence[float]], out: Seq
     return mean_vectors(steps, F.exp(attention_score(F.col("embedding"), hidden, out)), len(hidden[0]))
 
 
+def label_of_most(nodes: pa.Table, first: np.ndarray, places: np.ndarray, made: np.ndarray) -> list[pa.Array]:
+    """A fold of graph.grid_walks: the label of most of a walk's nodes, the first met of equals."""
+    held = nodes.column("label").combine_chunks().take(pa.array(first)).dictionary_encode()
+    code = np.append(held.indices.fill_null(-1).to_numpy(zero_copy_only=False), -1)[places]
+    best, count, since = np.full(len(code), -1), np.zeros(len(code), np.int64), np.full(len(code), code.shape[1])
+    for k in range(len(held.dictionary)):
+        hit = code == k
+        n, at = hit.sum(1), hit.argmax(1)
+        more = (n > count) | ((n == count) & (n > 0) & (at < since))
+        best, count, since = np.where(more, k, best), np.where(more, n, count), np.where(more, at, since)
+    return [held.dictionary.take(pa.array(best, mask=best < 0))]
+
+
+def walk_means(
+    nodes: DataFrame, starts: DataFrame, vectors: DataFrame, on: str, width: int, weight: Column | None = None, positions: bool = False, head: bool = False, bounce: bool = False, keep: Sequence[str] = (), flat: bool = True
+) -> DataFrame:
+    """(walk_id, dim, value): the means over the walks from starts of the vectors (on, vector) of their nodes (wsi_id, node_id, c, r,
+    and the column named by on), weighted or not, with positional_encoding added or not. With head a walk's first vector comes
+    first, as dimensions of their own, and the mean is that of the others (0 where there are none).
+
+    A step whose node has no vector, or a null one, doesn't count; where a key has several all count. Vectors travel with the nodes
+    to the blocks that walks are made in, so nothing is as large as the steps. Without flat: (walk_id, vector) and the columns of starts named in keep."""
+    known = vectors.filter("vector IS NOT NULL").withColumn("w_", (F.lit(1.0) if weight is None else weight).cast("double"))
+    near = nodes.select("wsi_id", "node_id", "c", "r", on).join(known, on, "left").drop(on)
+    rate = np.exp(-(np.arange(width) - np.arange(width) % 2) * (math.log(10000.0) / width))
+
+    def fold(table: pa.Table, first: np.ndarray, places: np.ndarray, made: np.ndarray) -> list[pa.Array]:
+        if not len(first):
+            return [pa.nulls(len(made), pa.list_(pa.float64()))]
+        x = _matrix(table.column("vector").combine_chunks(), width)
+        w = table.column("w_").combine_chunks().fill_null(0.0).to_numpy(zero_copy_only=False)
+        mass = np.append(np.add.reduceat(w, first), 0.0)
+        sums = np.concatenate([np.add.reduceat(x * w[:, None], first), np.zeros((1, width))])  # the last is that of no node
+        out, total = np.zeros((len(made), width)), np.zeros(len(made))
+        for k in range(1 if head else 0, places.shape[1]):
+            at = places[:, k]
+            out += sums[at]
+            total += mass[at]
+            if positions:
+                turn = np.where(np.arange(width) % 2 == 0, np.sin(k * rate), np.cos(k * rate))
+                out += mass[at][:, None] * turn
+        out /= np.where(total > 0, total, 1.0)[:, None]
+        none = total <= 0
+        if head:
+            begun = np.maximum.reduceat(np.where(w[:, None] > 0, x, -np.inf), first)
+            begun = np.concatenate([begun, np.full((1, width), -np.inf)])[places[:, 0]]
+            none &= mass[places[:, 0]] <= 0
+            out = np.concatenate([begun, out], 1)
+        ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
+        values = pa.array(out.ravel(), mask=np.isneginf(out.ravel())) if head else pa.array(out.ravel())
+        return [pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(none))]
+
+    got = graph.grid_walks(near, starts, bounce, keep=keep, carry=("vector", "w_"), fold=fold, folded="vector array<double>")
+    if not flat:
+        return got.select("walk_id", *keep, "vector")
+    return got.select("walk_id", F.posexplode("vector").alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
+
+
 def valid_mask(length: Column, most: Column, head: bool = True) -> Column:
     """Which of the places of a padded sequence count, as booleans: those before its end, and the head token before all."""
     places = F.sequence(F.lit(0), most.cast("int") - (0 if head else 1))

@@ -79,11 +79,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def starts(nodes_: DataFrame, excluded: bool) -> DataFrame:
-    """(wsi_id, walk_id, start, length) of a walk from each node, those of excluded labels too or not."""
+    """(wsi_id, walk_id, start, length) and (c, r, label) of the start of a walk from each node, those of excluded labels too or not."""
     n = nodes_ if excluded else nodes_.filter(~F.col("label").isin(*config.EXCLUDED))
     walk = F.col("wsi_id").cast("long") * 10_000_000 + F.col("node_id")
     length = config.WALK_MIN + draw(F.lit("length"), walk.cast("string")) % (config.WALK_MAX - config.WALK_MIN + 1)
-    return n.select("wsi_id", walk.alias("walk_id"), F.col("node_id").alias("start"), length.alias("length"))
+    return n.select("wsi_id", walk.alias("walk_id"), F.col("node_id").alias("start"), length.alias("length"), "c", "r", "label")
 
 
 _LABELS = ", ".join(f"('{k}', {v})" for k, v in config.LABELS.items())

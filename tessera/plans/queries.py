@@ -253,11 +253,9 @@ def balanced_alloc(spark, sf):
 # --- walks ------------------------------------------------------------------------------------------------------
 
 
-def _walks(spark, sf, bounce: bool, same: bool, sharp: int = 1, n=None):
-    n = cut(spark, X.labelled(spark, sf), "labelled") if n is None else n
-    e = grid.neighbours(spark, n)
-    e = e.filter("src_label = dst_label") if same else e
-    return graph.walks(e, X.starts(n, not same), bounce, sharp)
+def _walks(spark, sf, bounce: bool, same: bool, sharp: int = 1):
+    n = cut(spark, X.labelled(spark, sf).select("wsi_id", "node_id", "c", "r", "label"), "labelled")
+    return graph.grid_walks(n, X.starts(n, not same), bounce, same, sharp)
 
 
 @query(X.BASE + X.walk_sql(False, False) + "SELECT wsi_id, walk_id, array_to_string(path, ',') AS path FROM walk")
@@ -285,43 +283,44 @@ def walk_dedup(spark, sf):
 _STEPS = X.walk_sql(False, False) + ", sp AS (SELECT wsi_id, walk_id, unnest(path) AS node_id, generate_subscripts(path, 1) AS pos FROM walk), sl AS (SELECT sp.walk_id, pos, idx.* FROM sp JOIN idx ON idx.wsi_id = sp.wsi_id AND idx.node_id = sp.node_id)"
 
 
-def _steps(spark, sf):
-    n = cut(spark, X.labelled(spark, sf), "labelled")
-    w = _walks(spark, sf, False, False, n=n)
-    w = w.select("wsi_id", "walk_id", F.posexplode("path").alias("pos", "node_id"))
-    return w.join(graph.node_index(spark, n).select("wsi_id", "node_id", "global_idx", "label", "cx", "cy"), ["wsi_id", "node_id"])
+def _indexed(spark, sf, *columns):
+    """The nodes and some of their columns, written out."""
+    return cut(spark, X.index(spark, sf).select("wsi_id", "node_id", "c", "r", "label", *columns), "indexed")
 
 
-def _embedded(spark, sf):
-    """Steps with the embeddings of their nodes, dealt by walk while they are narrow, and the dimension."""
+def _along(spark, sf, *columns, **more):
+    """The walks from all nodes with columns of their nodes along them."""
+    n = _indexed(spark, sf, *(x for x in columns if x != "label"))
+    return graph.grid_walks(n, X.starts(n, True), False, carry=columns, **more)
+
+
+def _pooled(spark, sf, **how):
+    """Means of the embeddings along the walks from all nodes."""
     v = X.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    n, width = v.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    s = _steps(spark, sf).select("walk_id", "pos", (F.col("global_idx") % n).alias("vec_id")).repartition("walk_id")
-    return s.join(v, "vec_id").select("walk_id", "pos", "embedding"), width
+    count, width = v.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    n = _indexed(spark, sf, (F.col("global_idx") % count).alias("vec_id"))
+    return sequences.walk_means(n, X.starts(n, True), v.withColumnRenamed("embedding", "vector"), "vec_id", width, **how)
 
 
 @query(X.BASE + _STEPS + "SELECT walk_id, arg_max(label, (c, -p)) AS label FROM (SELECT walk_id, label, count(*) AS c, min(pos) AS p FROM sl GROUP BY ALL) GROUP BY walk_id")
 def walk_label(spark, sf):
-    per = _steps(spark, sf).groupBy("walk_id", "label").agg(F.count("*").alias("c"), F.min("pos").alias("p"))
-    return per.groupBy("walk_id").agg(F.max_by("label", F.struct("c", -F.col("p"))).alias("label"))
+    return _along(spark, sf, "label", fold=sequences.label_of_most, folded="label string").select("walk_id", "label")
 
 
 @query(X.BASE + _STEPS + "SELECT walk_id, string_agg(global_idx, ',' ORDER BY pos) AS path FROM sl GROUP BY walk_id")
 def walk_to_global(spark, sf):
-    g = _steps(spark, sf).groupBy("walk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "global_idx"))).alias("p"))  # a walk's steps: 40 at most
-    return g.select("walk_id", F.array_join(F.transform("p", lambda s: s["global_idx"].cast("string")), ",").alias("path"))
+    return _along(spark, sf, "global_idx").select("walk_id", F.array_join(F.col("path_global_idx").cast("array<string>"), ",").alias("path"))
 
 
 @query(X.BASE + _STEPS + "SELECT walk_id, string_agg(cx || ' ' || cy, ',' ORDER BY pos) AS line FROM sl GROUP BY walk_id")
 def walk_polyline(spark, sf):
-    g = _steps(spark, sf).groupBy("walk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "cx", "cy"))).alias("p"))
-    return g.select("walk_id", F.array_join(F.transform("p", lambda s: F.concat_ws(" ", s["cx"].cast("string"), s["cy"].cast("string"))), ",").alias("line"))
+    points = F.zip_with("path_cx", "path_cy", lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string")))
+    return _along(spark, sf, "cx", "cy").select("walk_id", F.array_join(points, ",").alias("line"))
 
 
 @query(X.BASE + _STEPS + ", v AS (SELECT vec_id, embedding, count(*) OVER () AS n FROM embeddings) SELECT walk_id, dim, round(avg(CAST(x AS DOUBLE)), 5) + 0.0 AS mean FROM (SELECT walk_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM sl JOIN v ON v.vec_id = sl.global_idx % v.n) GROUP BY ALL")
 def walk_embedding_mean(spark, sf):
-    s, width = _embedded(spark, sf)
-    return sequences.mean_vectors(s, width=width).select("walk_id", "dim", (F.round("value", 5) + F.lit(0.0)).alias("mean"))
+    return _pooled(spark, sf).select("walk_id", "dim", (F.round("value", 5) + F.lit(0.0)).alias("mean"))
 
 
 _HEADED = X.walk_sql(False, False) + """, sp AS (SELECT wsi_id, walk_id, unnest(path) AS node_id, generate_subscripts(path, 1) - 1 AS pos FROM walk),
@@ -333,13 +332,17 @@ both_ AS (SELECT walk_id, dim, max(x) FILTER (WHERE pos = 0) AS cls, coalesce(av
 @query(X.BASE + _HEADED + "SELECT walk_id, dim, round(cls, 5) + 0.0 AS value FROM both_ UNION ALL SELECT walk_id, dim + 64, round(mean, 5) + 0.0 FROM both_")
 def pool_concat(spark, sf):
     """The first node stands in for the head token."""
-    steps, width = _embedded(spark, sf)
-    return sequences.pool(steps, "concat", width=width).withColumn("value", F.round("value", 5) + F.lit(0.0))
+    return _pooled(spark, sf, head=True).withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 @query(X.BASE + _HEADED + "SELECT walk_id, dim, round(cls, 5) + 0.0 AS value FROM both_")
 def pool_cls(spark, sf):
-    steps, _ = _embedded(spark, sf)
+    v = X.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    count = v.count()
+    # A walk's head is its start.
+    n = _indexed(spark, sf, (F.col("global_idx") % count).alias("vec_id"))
+    heads = X.starts(n, True).join(n.select("wsi_id", F.col("node_id").alias("start"), "vec_id"), ["wsi_id", "start"]).select("walk_id", "vec_id")
+    steps = heads.join(v, "vec_id").select("walk_id", F.lit(0).alias("pos"), "embedding")
     return sequences.pool(steps, "cls").withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 

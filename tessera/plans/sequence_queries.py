@@ -12,7 +12,7 @@ from tessera.operators import graph, grid, learners, metrics, neighbours, sequen
 from tessera.operators.sequence_model import Shape
 from tessera.plans import drawn_walks as W
 from tessera.plans import fixture as X
-from tessera.plans.queries import _STEPS, _embedded, _regions, _steps, _walks, query
+from tessera.plans.queries import _STEPS, _indexed, _pooled, _regions, _walks, query
 from tessera.sources import annotations, store
 
 _SPLIT = """, sp AS (SELECT global_idx, label, row_number() OVER (PARTITION BY label ORDER BY substr(md5('42:' || global_idx), 1, 8), global_idx) AS k, count(*) OVER (PARTITION BY label) AS n FROM idx),
@@ -108,8 +108,7 @@ x AS (SELECT walk_id, pos - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS x, ge
 SELECT walk_id, dim, round(avg(x + CASE WHEN dim % 2 = 0 THEN sin(pos * exp(-(dim - dim % 2) * CAST({_POSITION} AS DOUBLE))) ELSE cos(pos * exp(-(dim - dim % 2) * CAST({_POSITION} AS DOUBLE))) END), 5) + 0.0 AS value FROM x GROUP BY ALL""")
 def positional_encoding(spark, sf):
     """The means of walks whose steps' embeddings have their positions added."""
-    steps, width = _embedded(spark, sf)
-    return sequences.mean_vectors(sequences.with_positions(steps, width), width=width).withColumn("value", F.round("value", 5) + F.lit(0.0))
+    return _pooled(spark, sf, positions=True).withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 _HIDDEN = [[0.1] * 64, [0.05 if i % 2 == 0 else -0.05 for i in range(64)]]
@@ -119,8 +118,8 @@ _HIDDEN = [[0.1] * 64, [0.05 if i % 2 == 0 else -0.05 for i in range(64)]]
 a AS (SELECT walk_id, e, exp(0.7 * tanh(list_sum(list_transform(e, lambda x: 0.1 * x))) - 0.3 * tanh(list_sum(list_transform(e, lambda x, i: CASE WHEN i % 2 = 1 THEN 0.05 * x ELSE -0.05 * x END)))) AS w FROM sl JOIN v ON v.vec_id = sl.global_idx % v.n)
 SELECT walk_id, dim, round(sum(w * x) / sum(w), 5) + 0.0 AS value FROM (SELECT walk_id, w, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM a) GROUP BY ALL""")
 def attention_pool(spark, sf):
-    s, _ = _embedded(spark, sf)
-    return sequences.attention_pool(s, _HIDDEN, [0.7, -0.3]).withColumn("value", F.round("value", 5) + F.lit(0.0))
+    weight = F.exp(sequences.attention_score(F.col("vector"), _HIDDEN, [0.7, -0.3]))
+    return _pooled(spark, sf, weight=weight).withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 @query("SELECT vec_id, CAST(list_position(e, list_max(e)) - 1 AS BIGINT) AS best, round(1 / list_sum(list_transform(e, lambda x: exp(x - list_max(e)))), 6) AS p FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)")
