@@ -322,7 +322,8 @@ def most_attempts(quota: Column) -> Column:
 
 
 def attempts(nodes: DataFrame, quotas: DataFrame, seed: str = "attempt") -> DataFrame:
-    """(wsi_id, walk_id, start, length, label, root, attempt, quota): all tries that a region's quota may take.
+    """(wsi_id, walk_id, start, length, label, root, attempt, quota), and (c, r) where nodes have them: all tries that a region's
+    quota may take.
 
     nodes has (wsi_id, node_id, label, root), quotas (wsi_id, label, root, n_nodes, quota). Starts and lengths are md5
     draws of region and attempt."""
@@ -333,23 +334,41 @@ def attempts(nodes: DataFrame, quotas: DataFrame, seed: str = "attempt") -> Data
 def attempts_between(nodes: DataFrame, ranges: DataFrame, seed: str = "attempt") -> DataFrame:
     """The attempts of ranges (wsi_id, label, root, n_nodes, quota, since, until), until excluded."""
     region = F.concat_ws(":", F.col("wsi_id").cast("string"), "label", F.col("root").cast("string"))
-    tries = ranges.filter("since < until").select("*", F.explode(F.sequence(F.col("since"), F.col("until") - 1)).alias("attempt"))
+    # A plan has a row for each region but tries by the million: they are made in many tasks, and joined by sorting, as a planner
+    # that goes by the plan's size would gather them on the driver to send them to all tasks.
+    parts = F.sequence(F.expr(f"since div {graph.PART}"), F.expr(f"(until - 1) div {graph.PART}"))
+    tries = ranges.filter("since < until").select("*", F.explode(parts).alias("part_"))
+    tries = tries.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "wsi_id", "label", "root", "part_")
+    low, high = F.greatest("since", F.col("part_") * graph.PART), F.least("until", (F.col("part_") + 1) * graph.PART)
+    tries = tries.select("*", F.explode(F.sequence(low, high - 1)).alias("attempt")).drop("part_")
     name = F.concat_ws(":", region, F.col("attempt").cast("string"))
     tries = tries.withColumn("place", draw(F.lit(seed), name) % F.col("n_nodes"))
     tries = tries.withColumn("length", config.WALK_MIN + draw(F.lit("length"), name) % (config.WALK_MAX - config.WALK_MIN + 1))
-    ranked = rank_by_parts(nodes.select("wsi_id", "label", "root", "node_id"), ["wsi_id", "label", "root"], F.expr(f"node_id div {graph.PART}"), ["node_id"])
-    placed = ranked.select("wsi_id", "label", "root", "node_id", (F.col("k_") - 1).cast("long").alias("place"))
-    out = tries.join(placed, ["wsi_id", "label", "root", "place"])
+    tile = [x for x in ("c", "r") if {"c", "r"} <= set(nodes.columns)]
+    ranked = rank_by_parts(nodes.select("wsi_id", "label", "root", "node_id", *tile), ["wsi_id", "label", "root"], F.expr(f"node_id div {graph.PART}"), ["node_id"])
+    placed = ranked.select("wsi_id", "label", "root", "node_id", *tile, (F.col("k_") - 1).cast("long").alias("place"))
+    out = tries.hint("merge").join(placed, ["wsi_id", "label", "root", "place"])
     walk_id = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")  # 60 bits, which any engine makes alike
-    return out.select("wsi_id", walk_id.alias("walk_id"), F.col("node_id").alias("start"), F.col("length").cast("long").alias("length"), "label", "root", "attempt", "quota")
+    return out.select("wsi_id", walk_id.alias("walk_id"), F.col("node_id").alias("start"), F.col("length").cast("long").alias("length"), "label", "root", "attempt", "quota", *tile)
+
+
+_TRY = ("walk_id", "start", "length")
 
 
 def accept(walks: DataFrame, tries: DataFrame, least: int = config.WALK_MIN) -> DataFrame:
-    """The first walks of each region, up to its quota, that are long enough and no earlier walk either way round."""
-    return _first_distinct(_long_enough(walks, tries, least)).select("wsi_id", "label", "root", "attempt", "path")
+    """The first walks of each region, up to its quota, that are long enough and no earlier walk either way round, with
+    walk_id, start and length of their tries. walks that have the tries' columns (see tile_walks) are not joined with them."""
+    return _first_distinct(_long_enough(walks, tries, least)).select("wsi_id", "label", "root", "attempt", *_TRY, "path")
+
+
+def tile_walks(nodes: DataFrame, tries: DataFrame, bounce: bool, same_label: bool = True) -> DataFrame:
+    """Walks of tries over tiles, with the tries' columns."""
+    return graph.grid_walks(nodes, tries, bounce, same_label, keep=("label", "root", "attempt", "quota"))
 
 
 def _long_enough(walks: DataFrame, tries: DataFrame, least: int) -> DataFrame:
+    if "attempt" in walks.columns:
+        return walks.filter(F.size("path") >= least)
     # A start is in one region, so tries that share an id are told apart, or are the same walk.
     same = ["wsi_id", "walk_id", "start", "length"]
     w = walks.filter(F.size("path") >= least).select(*same, "path")
@@ -357,19 +376,23 @@ def _long_enough(walks: DataFrame, tries: DataFrame, least: int) -> DataFrame:
 
 
 def _first_distinct(w: DataFrame) -> DataFrame:
-    w = w.withColumn("canonical", F.least("path", F.reverse("path")))
-    first = w.groupBy("wsi_id", "label", "root", "quota", "canonical").agg(F.min("attempt").alias("attempt"), F.min_by("path", "attempt").alias("path"))
+    # One way round of a path travels, with a sign of which.
+    w = w.withColumn("canonical", F.least("path", F.reverse("path"))).withColumn("turned", F.col("path") != F.col("canonical"))
+    first = w.groupBy("wsi_id", "label", "root", "quota", "canonical").agg(F.min(F.struct("attempt", "turned", *_TRY)).alias("f"))
+    path = F.when(F.col("f.turned"), F.reverse("canonical")).otherwise(F.col("canonical"))
+    first = first.select("wsi_id", "label", "root", "quota", "f.attempt", *(f"f.{x}" for x in _TRY), path.alias("path"))
     k = F.row_number().over(Window.partitionBy("wsi_id", "label", "root").orderBy("attempt"))
     return first.withColumn("k", k).filter("k <= quota")
 
 
-def balanced_walks(spark: SparkSession, edges: DataFrame, nodes: DataFrame, sizes: DataFrame, bounce: bool, least: int = config.WALK_MIN) -> tuple[DataFrame, DataFrame]:
+def balanced_walks(spark: SparkSession, edges: DataFrame | None, nodes: DataFrame, sizes: DataFrame, bounce: bool, least: int = config.WALK_MIN) -> tuple[DataFrame, DataFrame]:
     """(walks, made) of the whole balanced allocation: walks (wsi_id, label, root, attempt, path) and per region made
     (wsi_id, label, root, quota, tried, got).
 
     What a region does not yield in ten tries a walk is shared among the later regions of its label. Each round takes
     the regions at their word that are not through yet, makes the walks that this needs, and counts; it ends when no
-    region has tries left that it needs and all allocations rest on counts. edges lead to nodes of the same label."""
+    region has tries left that it needs and all allocations rest on counts. edges lead to nodes of the same label; without them
+    nodes are tiles (c, r), and walks go to neighbours of the same label. walks have walk_id, start and length of their tries, too."""
     region = ["wsi_id", "label", "root"]
     walked: DataFrame | None = None
     made: DataFrame | None = None
@@ -389,11 +412,12 @@ def balanced_walks(spark: SparkSession, edges: DataFrame, nodes: DataFrame, size
             break
         tries = attempts_between(nodes, plan.select(*region, "n_nodes", F.col("alloc").alias("quota"), F.col("tried").alias("since"), "until"))
         tries = cut(spark, tries, "attempts")
-        fresh = cut(spark, _long_enough(graph.walks(edges, tries, bounce), tries, least).select(*region, "attempt", "path"), "walked")
+        made_now = tile_walks(nodes, tries, bounce) if edges is None else graph.walks(edges, tries, bounce)
+        fresh = cut(spark, _long_enough(made_now, tries, least).select(*region, "attempt", *_TRY, "path"), "walked")
         walked = fresh if walked is None else walked.unionByName(fresh)
         now = plan.select(*region, F.col("alloc").alias("quota"), F.col("until").alias("tried"))
         kept = _first_distinct(walked.join(now, region).filter(F.col("attempt") < most_attempts(quota)))
-        kept = cut(spark, kept.select(*region, "attempt", "path"), "kept")
+        kept = cut(spark, kept.select(*region, "attempt", *_TRY, "path"), "kept")
         counts = kept.groupBy(*region).agg(F.count("*").alias("got"))
         made = cut(spark, now.join(counts, region, "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long"))), "made")
     return kept, made

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import cut, rank_by_parts
-from tessera.operators import graph, grid, metrics, sequences
+from tessera.operators import graph, metrics, sequences
 
 REGION = ["wsi_id", "label", "root"]
 
@@ -21,8 +21,7 @@ def slide_walks(spark: SparkSession, nodes: DataFrame, per_slide: int = 50, leas
     whole = nodes.select("wsi_id", "node_id", "c", "r").withColumn("label", F.lit("")).withColumn("root", F.lit(0).cast("long"))
     quotas = whole.groupBy(*REGION).agg(F.count("*").alias("n_nodes")).filter(F.col("n_nodes") >= least).withColumn("quota", F.lit(per_slide).cast("long"))
     tries = cut(spark, sequences.attempts(whole, quotas, "slide"), "slide-attempts")
-    walked = graph.walks(grid.neighbours(spark, nodes.select("wsi_id", "node_id", "c", "r")), tries, False)
-    return sequences.accept(walked, tries, least).select("wsi_id", "attempt", "path")
+    return sequences.accept(sequences.tile_walks(nodes, tries, False, False), tries, least).select("wsi_id", "attempt", "path")
 
 
 def to_global(walks: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,16 +34,15 @@ def to_global(walks: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def region_walks(spark: SparkSession, nodes: DataFrame, balanced: bool = True, per_region: int = 30, bounce: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(walks, regions): walks (wsi_id, label, root, attempt, path) inside regions (wsi_id, label, root, component_id,
+    """(walks, regions): walks (wsi_id, label, root, attempt, walk_id, start, length, path) inside regions (wsi_id, label, root, component_id,
     region_key), by the balanced allocation or so many of each region. nodes are numbered and labelled."""
     found = cut(spark, graph.regions(spark, nodes), "regions")
     sizes = cut(spark, graph.region_sizes(found), "region-sizes")
-    edges = cut(spark, grid.neighbours(spark, nodes).filter("src_label = dst_label"), "edges")
     if balanced:
-        made = sequences.balanced_walks(spark, edges, found, sizes, bounce)[0]
+        made = sequences.balanced_walks(spark, None, found, sizes, bounce)[0]
     else:
         tries = cut(spark, sequences.attempts(found, sizes.withColumn("quota", F.lit(per_region).cast("long"))), "attempts")
-        made = sequences.accept(graph.walks(edges, tries, bounce), tries)
+        made = sequences.accept(sequences.tile_walks(found, tries, bounce), tries)
     key = F.concat_ws("__", F.col("wsi_id").cast("string"), "label", F.col("component_id").cast("string"))
     return made, sizes.select(*REGION, "component_id", key.alias("region_key"))
 
@@ -60,10 +58,12 @@ def run(
     kept = cut(spark, graph.drop_label(nodes), "tissue")
     index = cut(spark, graph.node_index(spark, kept), "index")
     made, regions = region_walks(spark, kept, balanced, per_region)
-    made = cut(spark, made, "made-walks")
-    keys = [*REGION, "attempt"]
+    made = cut(spark, made.drop("path"), "made-walks")
     ids = spark.createDataFrame(list(config.LABELS.items()), "label string, label_id int")
-    paths = to_global(made, index, keys).drop("label_id").join(F.broadcast(ids), "label")  # a region's walks have its label
+    # The walks made are taken again with the numbers of their nodes: no step is joined with its node.
+    paths = graph.grid_walks(index, made, True, True, keep=("label", "root", "attempt"), carry=("global_idx",))
+    paths = paths.select(*REGION, "attempt", F.col("path_global_idx").alias("path"), F.size("path").cast("long").alias("path_len"))
+    paths = paths.join(F.broadcast(ids), "label")  # a region's walks have its label
     regions = regions.withColumn("place", F.row_number().over(Window.orderBy("wsi_id", "label", "component_id")))  # a row for each region
     ranked = rank_by_parts(paths.join(regions, REGION), [], F.col("place"), ["attempt"])
     walks = ranked.withColumn("path_id", (F.col("k_") - 1).cast("long")).drop("k_", "n_", "place")
