@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import config
+from tessera.functions import cut
 from tessera.operators import metrics
 
 
@@ -24,7 +25,12 @@ def linear_probe(items: DataFrame, most: int | None = 2000, seed: int = config.S
     count alike, is fitted on the train and val splits and judged on test."""
     chosen = items if most is None else metrics.stratified_sample(items, "key", "label", most, seed)
     chosen = chosen.filter(F.exists("embedding", lambda v: v != 0))
-    parts = metrics.stratified_split(chosen, "key", "label", 0.70, 0.0, seed)
+    if most is None:
+        # Keys, which are unique here, and labels alone are ranked; vectors are dealt once and written, as the fit reads them often.
+        split = metrics.stratified_split(chosen.select("key", "label"), "key", "label", 0.70, 0.0, seed).select("key", "split")
+        parts = cut(items.sparkSession, chosen.join(split, "key"), "split")
+    else:
+        parts = metrics.stratified_split(chosen, "key", "label", 0.70, 0.0, seed)
     weights = parts.filter("split <> 'test'").groupBy("label").agg((1 / F.count("*")).alias("weight"))
     rows = parts.join(F.broadcast(weights), "label").select("key", "label", "split", "weight", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))  # a row for each class
     model = Pipeline(stages=[_scaled(), LogisticRegression(labelCol="label", weightCol="weight", maxIter=100)]).fit(rows.filter("split <> 'test'"))

@@ -1,12 +1,15 @@
 """Walks over tiles: the same walks as over edges, the same draws as in SQL, and no row for each step."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import draw
-from tessera.operators import graph, grid, sequences
+from tessera.functions import cut, draw
+from tessera.operators import graph, grid, sequences, training
+from tessera.operators.sequence_model import Shape
 from tessera.plans import fixture as X
 from tessera.plans import queries as Q
 from tessera.plans import sequence_queries as S
@@ -64,3 +67,26 @@ def test_label_of_most_takes_the_first_met_of_equals():
 def test_no_row_for_each_step_and_no_draws_are_shuffled(spark, query):
     plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode(path" not in plan and "concat_ws(:, walk" not in plan
+
+
+def test_tries_are_made_in_many_tasks_and_not_gathered_on_the_driver(spark):
+    n = spark.createDataFrame([(0, "a", 0, k) for k in range(50)], "wsi_id int, label string, root long, node_id long")
+    quotas = cut(spark, spark.createDataFrame([(0, "a", 0, 50, 2000)], "wsi_id int, label string, root long, n_nodes long, quota long").coalesce(1), "quotas")
+    tries = sequences.attempts(n, quotas)
+    plan = tries._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*place", plan) and re.search(r"SortMergeJoin \[[^\]]*place", plan)
+    assert sorted(r.attempt for r in tries.select("attempt").collect()) == list(range(20_000))
+
+
+def test_sequences_hold_numbers_of_vectors_or_the_vectors(spark, monkeypatch):
+    rows, classes, width, known = S._sequences(spark, SF)
+    assert {"numbers", "more"} <= set(rows.columns) and "vectors" not in rows.columns
+    monkeypatch.setattr(S, "_HELD", 0)
+    wide, _, _, none = S._sequences(spark, SF)
+    assert none is None
+    read = lambda df, kn: {int(k): (int(n), x[i, :n]) for b, x, ns in training._batches(iter(df.toArrow().to_batches()), width, kn) for i, (k, n) in enumerate(zip(b.column("key").to_pylist(), ns, strict=True))}
+    a, b = read(rows, known), read(wide, none)
+    assert set(a) == set(b) and all(a[k][0] == b[k][0] and np.array_equal(a[k][1], b[k][1]) for k in a)
+    w = training.M.create(Shape(inputs=width, classes=classes, pooling="attention"), 1)
+    p = [{r.key: r.y_pred for r in training.predict(df.filter("split = 'test'"), Shape(inputs=width, classes=classes, pooling="attention"), w, known=kn).collect()} for df, kn in ((rows, known), (wide, none))]
+    assert p[0] == p[1]
