@@ -49,6 +49,11 @@ BUCKET = 2_000_000
 #: Suffixes that are sorted at a time.
 BLOCK = 600_000
 SLICE = 4 << 20
+#: What a task gathers of its slices before it is dealt: hashes, and bytes of pieces or runs of lost suffixes. A row is made for
+#: each bucket then, so rows would grow with the square of the input if each slice were dealt by itself.
+HASHES, TEXT, RUNS = 2_000_000, 24 << 20, 1_000_000
+#: Buckets of the first pass hold the hashes of so many buckets' text.
+WIDER = 4
 
 #: The cover: each difference modulo 21 is one between two of these residues.
 PERIOD = 21
@@ -263,6 +268,16 @@ def _tied(targets: int):
         return _rows([(int(target[i[0]]), False, doc[i], h[i]) for i in _pieces_of(target)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        for some in tied(batches):
+            found.append(some)
+            if sum(len(h) for h, _ in found) >= HASHES:
+                yield out(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                found = []
+        if found:
+            yield out(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         bucket, held = None, []
         for batch in batches:
             for row in range(batch.num_rows):
@@ -270,15 +285,15 @@ def _tied(targets: int):
                 docs, counts = (batch.column(c)[row].values.to_numpy() for c in ("doc_ids", "counts"))
                 h, doc = np.frombuffer(batch.column("hashes")[row].as_buffer(), np.uint64), np.repeat(docs, counts)
                 if done:
-                    yield out(h, doc)
+                    yield h.copy(), doc
                     continue
                 if b != bucket and held:
-                    yield out(*_settle(*(np.concatenate(x) for x in zip(*held, strict=True)))[:2])
+                    yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))[:2]
                     held = []
                 bucket = b
                 held.append((h.copy(), doc))
         if held:
-            yield out(*_settle(*(np.concatenate(x) for x in zip(*held, strict=True)))[:2])
+            yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))[:2]
 
     return run
 
@@ -337,9 +352,14 @@ def _packed(key: np.ndarray, done: bool, doc: np.ndarray, mark: np.ndarray, star
         wide = width[order]
         from_ = (np.cumsum(width) - width)[order]
         to = np.concatenate([[0], np.cumsum(wide)])
-        data = text[np.repeat(from_ - to[:-1], wide) + np.arange(to[-1])]
-        squeeze = zstandard.ZstdCompressor(level=1)
-        blobs = pa.array([squeeze.compress(data[a:b]) for a, b in zip(to[ends], to[ends[1:]], strict=False)], pa.binary())
+        squeeze, held, k = zstandard.ZstdCompressor(level=1), [], 0
+        while k < n:  # some megabytes at a time, one key at least
+            upto = max(k + 1, int(np.searchsorted(to[ends], to[ends[k]] + SLICE, "right")) - 1)
+            a, b = ends[k], ends[upto]
+            data = text[np.repeat(from_[a:b] - to[a:b] + to[a], wide[a:b]) + np.arange(to[b] - to[a])]
+            held += [squeeze.compress(data[i:j]) for i, j in zip(to[ends[k:upto]] - to[a], to[ends[k + 1 : upto + 1]] - to[a], strict=True)]
+            k = upto
+        blobs = pa.array(held, pa.binary())
     columns = [_lists(x[order], ends) for x in (doc, mark.astype(np.int32), start.astype(np.int32), count.astype(np.int32))]
     return pa.RecordBatch.from_arrays(
         [pa.array(key[order[ends[:-1]]], pa.int32()), pa.array(np.full(n, done)), *columns, blobs], names=["bucket", "done", "doc_ids", "marks", "starts", "counts", "text"]
@@ -352,9 +372,9 @@ def _stretches(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(breaks)))
 
 
-def _sent(batch: pa.RecordBatch, length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A slice's suffixes of tied hashes: those that a smaller document of the slice has are lost; the others go to
-    their buckets as pieces of text."""
+def _sent(batch: pa.RecordBatch, length: int, buckets: int, targets: int) -> Iterator[tuple[bool, tuple[np.ndarray, ...]]]:
+    """A slice's suffixes of tied hashes, as what _packed takes: those that a smaller document of the slice has are lost
+    (true); the others go to their buckets as pieces of text (false)."""
     buf, off = common.utf8(batch.column("text"))
     first, count, h, row = runs(buf, off, length)
     hit = _row_mask(h, row, batch, batch.num_rows)
@@ -365,7 +385,7 @@ def _sent(batch: pa.RecordBatch, length: int, buckets: int) -> Iterator[pa.Recor
     copy = twins(buf, first, count + length - 1, docs[row])  # whole pieces first, then suffix by suffix
     if copy.any():
         r = row[copy]
-        yield _packed(_target(docs[r], buckets), True, docs[r], marks[r], first[copy] - off[r], count[copy])
+        yield True, (_target(docs[r], targets), docs[r], marks[r], first[copy] - off[r], count[copy])
         first, count, h, row = first[~copy], count[~copy], h[~copy], row[~copy]
     to = np.cumsum(count)
     run = np.repeat(np.arange(len(first)), count)
@@ -391,12 +411,32 @@ def _sent(batch: pa.RecordBatch, length: int, buckets: int) -> Iterator[pa.Recor
         a, n = _stretches(breaks)
         start, r = place[a], row[of[a]]
         if gone:
-            yield _packed(_target(docs[r], buckets), True, docs[r], marks[r], start - off[r], n)
+            yield True, (_target(docs[r], targets), docs[r], marks[r], start - off[r], n)
             continue
         width = n + length - 1
         ends = np.cumsum(width)
         text = buf[np.repeat(start - ends + width, width) + np.arange(ends[-1])]
-        yield _packed((h[of[a]] % np.uint64(buckets)).astype(np.int64), False, docs[r], marks[r], start - off[r], n, text, width)
+        yield False, ((h[of[a]] % np.uint64(buckets)).astype(np.int64), docs[r], marks[r], start - off[r], n, text, width)
+
+
+def _dealt(parts: Iterator[tuple[bool, tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+    """Packed rows of parts (lost or not, what _packed takes), so many parts together that rows are few."""
+    held: dict[bool, list[tuple[np.ndarray, ...]]] = {True: [], False: []}
+    size = {True: 0, False: 0}
+
+    def close(gone: bool) -> pa.RecordBatch:
+        key, *rest = (np.concatenate(x) for x in zip(*held[gone], strict=True))
+        held[gone], size[gone] = [], 0
+        return _packed(key, gone, *rest)
+
+    for gone, part in parts:
+        held[gone].append(part)
+        size[gone] += len(part[0]) if gone else len(part[5])
+        if size[gone] >= (RUNS if gone else TEXT):
+            yield close(gone)
+    for gone in (True, False):
+        if held[gone]:
+            yield close(gone)
 
 
 class Bucket:
@@ -448,18 +488,21 @@ class Bucket:
 def _lost(length: int, targets: int):
     """Reads pieces bucket by bucket; gives the runs of suffixes that are lost, packed for as many targets."""
 
-    def out(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def out(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[bool, tuple[np.ndarray, ...]]]:
         if len(doc):
-            yield _packed(_target(doc, targets), True, doc, mark, start, count)
+            yield True, (_target(doc, targets), doc, mark, start, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _dealt(lost(batches))
+
+    def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, tuple[np.ndarray, ...]]]:
         bucket, held = None, Bucket(length)
         for batch in batches:
             for row in range(batch.num_rows):
                 b = batch.column("bucket")[row].as_py()
                 doc, mark, start, count = (batch.column(c)[row].values.to_numpy() for c in ("doc_ids", "marks", "starts", "counts"))
                 if batch.column("done")[row].as_py():
-                    yield from out(doc, mark, start, count)
+                    yield from out(doc.copy(), mark.copy(), start.copy(), count.copy())
                     continue
                 if b != bucket:
                     if held.fresh:
@@ -547,15 +590,22 @@ def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFr
     n = common.tasks(spark, total)
     buckets = max(4 * n, total // BUCKET)
 
+    wide = max(4 * n, total // (WIDER * BUCKET))
+
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in common.slices(batches, limit=SLICE):
             _, _, h, row = runs(*common.utf8(batch.column("text")), length)
             if len(h):
-                yield _deal(h, batch.column("doc_id").to_numpy()[row], buckets)
+                held.append((h, batch.column("doc_id").to_numpy()[row]))
+            if sum(len(h) for h, _ in held) >= HASHES:
+                yield _deal(*(np.concatenate(x) for x in zip(*held, strict=True)), wide)
+                held = []
+        if held:
+            yield _deal(*(np.concatenate(x) for x in zip(*held, strict=True)), wide)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, limit=SLICE):
-            yield from _sent(batch, length, buckets)
+        yield from _dealt(part for batch in common.slices(batches, limit=SLICE) for part in _sent(batch, length, buckets, n))
 
     dealt = known.select("doc_id", "text").mapInArrow(hashes, _HASHES).repartition(n, "bucket").sortWithinPartitions("bucket", "done")
     packed = dealt.mapInArrow(_tied(n), _HASHES).repartition(n, "bucket").sortWithinPartitions("bucket")

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import zstandard
 
 passages = pytest.importorskip("tessera.llm.repeated_passages")
 
@@ -94,3 +95,19 @@ def test_groups_are_in_order_of_bytes(length):
         strings = [text[a : a + length].tobytes() for a in at]
         number = {s: i for i, s in enumerate(sorted(set(strings)))}
         assert passages.suffix_groups(text, at, length).tolist() == [number[s] for s in strings]
+
+
+def test_rows_are_dealt_for_many_slices_together(monkeypatch):
+    """Rows sent to buckets grow with the input, not with its slices times its buckets."""
+    rng = np.random.default_rng(3)
+    part = lambda k: (False, (np.arange(50) + 0, np.full(50, k), np.zeros(50, np.int64), np.arange(50), np.ones(50, np.int64), rng.integers(97, 123, 50 * 50).astype(np.uint8), np.full(50, 50)))
+    parts = [part(k) for k in range(40)]
+    got = list(passages._dealt(iter(parts)))
+    assert sum(b.num_rows for b in got) == 50  # not 40 * 50
+    monkeypatch.setattr(passages, "SLICE", 300)  # text is packed in stretches
+    small = list(passages._dealt(iter(parts)))
+    assert [b.to_pylist() for b in small] == [b.to_pylist() for b in got]
+    text = zstandard.ZstdDecompressor().decompress(got[0].column("text")[7].as_py())
+    assert text == b"".join(p[5][7 * 50 : 8 * 50].tobytes() for _, p in parts)
+    monkeypatch.setattr(passages, "TEXT", 5000)
+    assert sum(b.num_rows for b in passages._dealt(iter(parts))) == 20 * 50
